@@ -28,7 +28,7 @@ RULES = {
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "shouting": "n_upper > n_lower",
 }
 BASE = ("few_words", "repeated_words")
