@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import quality_rules
+from obsengine.llm import bpe, quality_rules
 from obsengine.llm.common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
