@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,21 +47,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], schema: str, rows: int = 512) -> DataFrame:
     """fn over slices of at most `rows` rows, as columns of Python lists, to columns of lists or arrays.
 
-    Slices bound the worker's memory by `rows` texts, however large Spark's Arrow batches are.
+    Slices bound the worker's memory, however large Spark's Arrow batches are: one that holds several rows
+    has no more than SLICE_BYTES.
     """
     target = df.sparkSession.createDataFrame([], schema).schema
     fields = [(f.name, _arrow_type(f.dataType)) for f in target.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in _slices(batch, rows):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], [n for n, _ in fields])
 
     return df.mapInArrow(run, target)
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            yield from _slices(part, (part.num_rows + 1) // 2)
+        else:
+            yield part
+
+
 def _arrow_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, quality_rules
+from obsengine.llm import bpe, quality_rules, telephony
 from obsengine.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,12 +15,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.payload_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_telephony": op4_telephony,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
