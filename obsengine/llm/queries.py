@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, quality_rules, simhash, telephony
+from obsengine.llm import bpe, packing, quality_rules, simhash, telephony
 from obsengine.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.payload_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_telephony": op4_telephony,
+    "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
