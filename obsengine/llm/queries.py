@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, packing, quality_rules, simhash, telephony
+from obsengine.llm import bpe, language_id, packing, quality_rules, simhash, telephony
 from obsengine.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.payload_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_language_id": op3_language_id,
     "op4_telephony": op4_telephony,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
