@@ -62,6 +62,19 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], sch
     return df.mapInArrow(run, target)
 
 
+def filter_rows(df: DataFrame, text_column: str, keep: Callable[[list[str | None]], list[bool]], rows: int = 64) -> DataFrame:
+    """df, all columns, without the rows whose texts `keep` denies. Columns go by position: any names will do."""
+    at = df.columns.index(text_column)
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, rows):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
+
+
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)

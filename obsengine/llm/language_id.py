@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import crc_mod, map_rows, require_small
+from obsengine.llm.common import crc_mod, filter_rows, map_rows, require_small
 
 DIMENSIONS, SEED = 1024, 20240607
 BUCKETS = 512  # letters up to U+017F have their own, the others share the rest; 0 is whatever is no letter
@@ -106,6 +106,10 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     return {r.lang: np.array([v.value for v in r["values"]], np.float64) for r in sorted(found, key=lambda r: r.lang)}
 
 
+def units_of(prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    return np.array([v / max(1e-12, np.linalg.norm(v)) for v in prototypes.values()])
+
+
 def compare(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Each text's language and score; prototypes are rows of length one."""
     if not names:
@@ -122,8 +126,7 @@ def compare(texts: list[str | None], names: list[str], prototypes: np.ndarray) -
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The columns `keep`, lang_pred and score. A narrow map."""
-    names = list(prototypes)
-    units = np.array([prototypes[n] / max(1e-12, np.linalg.norm(prototypes[n])) for n in names])
+    names, units = list(prototypes), units_of(prototypes)
     rows = docs.select(*keep, F.col(text_column).alias("_text"))
 
     def run(part: dict[str, list]) -> dict[str, list]:
@@ -142,5 +145,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs, all columns, without those of no language."""
-    found = predict(docs, learn(docs.filter(crc_mod("doc_id", 3) != 1)), tuple(docs.columns))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    known = learn(docs.filter(crc_mod("doc_id", 3) != 1))
+    names, units = list(known), units_of(known)
+    return filter_rows(docs, "text", lambda texts: [x != UNKNOWN for x in compare(texts, names, units)[0]])
