@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, language_id, packing, quality_rules, simhash, telephony, toxicity
+from obsengine.llm import bpe, language_id, packing, quality_classifier, quality_rules, simhash, telephony, toxicity
 from obsengine.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.payload_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op4_telephony": op4_telephony,
+    "op5_quality": op5_quality,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
