@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms (runs of letters, lower-cased, hashed to BUCKETS). The machine adds a weight
+A document is the set of its terms: runs of letters, lower-cased, and longer ones' first STEM letters, which stand
+for a word's other forms; hashed to BUCKETS. The machine adds a weight
 for each term and, for each pair of terms, the product of their factors, so that it can learn a pair, say an
 insult with a mention of a group, that says more than its two terms, which additive weights can't.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from obsengine.llm.common import crc_mod, filter_rows, map_rows, staged
 
 TERMS = re.compile(r"[^\W\d_]+")
+STEM = 4
 BUCKETS = 1 << 22
 SAMPLE = 20_000
 FACTORS, EPOCHS, BATCH, RATE = 4, 30, 128, 0.1
@@ -39,12 +42,13 @@ Model = tuple[float, np.ndarray, np.ndarray, np.ndarray]  # bias; terms, ascendi
 
 
 @lru_cache(maxsize=1 << 18)
-def bucket(term: str) -> int:
-    return xxhash.xxh64_intdigest(term, SEED) % BUCKETS
+def buckets(word: str) -> tuple[int, ...]:
+    found = [word] if len(word) < STEM + 2 else [word, f"{word[:STEM]}-"]
+    return tuple(xxhash.xxh64_intdigest(t, SEED) % BUCKETS for t in found)
 
 
 def terms_of(text: str | None) -> list[int]:
-    return sorted(set(map(bucket, set(TERMS.findall((text or "").lower())))))
+    return sorted(set(chain.from_iterable(map(buckets, set(TERMS.findall((text or "").lower()))))))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> np.ndarray:
