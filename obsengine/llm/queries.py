@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, language_id, packing, quality_classifier, quality_rules, simhash, telephony, toxicity
+from obsengine.llm import bpe, language_id, packing, quality_classifier, quality_rules, simhash, telephony, toxicity, warc
 from obsengine.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -44,6 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op4_telephony": op4_telephony,
