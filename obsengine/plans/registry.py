@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from obsengine.plans import join_queries, sequence_queries
+
+MODULES = (sequence_queries, join_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
