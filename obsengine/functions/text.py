@@ -24,11 +24,11 @@ def without(words: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The set of n-grams as space-joined strings, empty for fewer than n words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """The set of n-grams as space-joined strings, empty for fewer than n words. Shifted copies are zipped, in linear time."""
+    grams = words
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
 
 
 def jaccard(a: Column, b: Column) -> Column:

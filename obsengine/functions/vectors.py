@@ -19,7 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
 def softmax(values: Column, temperature: float = 1.0) -> Column:
     top = F.array_max(values)
     powers = F.transform(values, lambda v: F.exp((v - top) / temperature))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
+    sums = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    once = F.array(F.struct(powers.alias("p"), sums.alias("s")))  # bound, so that the sum isn't taken again for each element
+    return F.flatten(F.transform(once, lambda o: F.transform(o["p"], lambda p: p / o["s"])))
 
 
 def argmax(values: Column) -> Column:
