@@ -171,6 +171,7 @@ def proximity(
         (F.col("idle"), "inconclusive", "operating_state_unknown"),
         (F.col("vague"), "inconclusive", "inconclusive_distance"),
     ], ("clear", "workers_outside_near_band"))
+    found = found.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")
     return incidents(found, "R4", "active_machine_near_band", "high", s.place_debounce), coverage
 
 
@@ -222,6 +223,7 @@ def open_edge(obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFra
         (F.col("doubts") > 0, "inconclusive", "inconclusive_distance"),
     ], ("clear", "guarded_or_outside_edge_band"))
     ready = found.join(scenes.filter("scene_status = 'ok'"), "run_id", "left_semi")
+    ready = ready.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")
     return incidents(ready, "R5", "visible_unguarded_edge", "high", s.place_debounce), coverage
 
 
