@@ -41,14 +41,16 @@ SEED = 7
 Model = tuple[float, np.ndarray, np.ndarray, np.ndarray]  # bias; terms, ascending; their weights; their factors
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def buckets(word: str) -> tuple[int, ...]:
     found = [word] if len(word) < STEM + 2 else [word, f"{word[:STEM]}-"]
     return tuple(xxhash.xxh64_intdigest(t, SEED) % BUCKETS for t in found)
 
 
-def terms_of(text: str | None) -> list[int]:
-    return sorted(set(chain.from_iterable(map(buckets, set(TERMS.findall((text or "").lower()))))))
+def terms_of(text: str | None) -> np.ndarray:
+    """The text's set of terms, ascending."""
+    found = set(chain.from_iterable(map(buckets, set(TERMS.findall((text or "").lower())))))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -72,9 +74,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling_terms(documents: list[list[int]], labels: np.ndarray) -> np.ndarray:
+def telling_terms(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The terms, ascending, whose documents' labels differ from the share of all by more than chance."""
-    flat = np.array([t for d in documents for t in d], np.int64)
+    flat = np.concatenate([*documents, np.empty(0, np.int32)])
     terms, at, times = np.unique(flat, return_inverse=True, return_counts=True)
     share = labels.mean() if len(labels) else 0.0
     toxic = np.bincount(at, np.repeat(labels, [len(d) for d in documents]), len(terms))
@@ -82,10 +84,10 @@ def telling_terms(documents: list[list[int]], labels: np.ndarray) -> np.ndarray:
     return np.sort(terms[np.argsort(-evidence, kind="stable")[: min(TERMS_KEPT, int((evidence > EVIDENCE).sum()))]])
 
 
-def fit(documents: list[list[int]], labels: np.ndarray) -> Model:
-    """Trains on sets of terms, equal ones with equal labels once."""
-    distinct = sorted({(tuple(d), float(y)) for d, y in zip(documents, labels)})
-    documents, labels = [list(d) for d, _ in distinct], np.array([y for _, y in distinct])
+def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
+    """Trains on sets of terms, equal ones with equal labels once, whatever their order."""
+    distinct = sorted({(d.tobytes(), float(y)) for d, y in zip(documents, labels)})
+    documents, labels = [np.frombuffer(d, np.int32) for d, _ in distinct], np.array([y for _, y in distinct])
     terms = telling_terms(documents, labels)
     rng = np.random.default_rng(SEED)
     weights, factors = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS))
@@ -130,16 +132,15 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", folds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
 
     def featurize(part: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": part["doc_id"], "label": part["label"], "terms": [terms_of(t) for t in part["text"]]}
+        return {"label": part["label"], "terms": [terms_of(t).tobytes() for t in part["text"]]}
 
-    rows = map_rows(texts.select("doc_id", "label", "text"), featurize, "doc_id long, label int, terms array<int>")
+    rows = map_rows(texts.select("label", "text"), featurize, "label int, terms binary")
     staged_rows = staged(rows, "toxicity-sample")
 
     def train(batches):
         held_rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         if held_rows:
-            held_rows.sort()
-            bias, terms, weights, factors = fit([r[2] for r in held_rows], np.array([r[1] for r in held_rows], float))
+            bias, terms, weights, factors = fit([np.frombuffer(r[1], np.int32) for r in held_rows], np.array([r[0] for r in held_rows], float))
             names = ["bias", "terms", "weights", "factors"]
             columns = [pa.array([x]) for x in (bias, terms.tolist(), weights.tolist(), factors.ravel().tolist())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], names)
@@ -155,9 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", folds
 
 def score(texts: list[str | None], model: Model) -> np.ndarray:
     bias, terms, weights, factors = model
-    sets = [np.array(terms_of(t), np.int64) for t in texts]
+    sets = [terms_of(t) for t in texts]
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate([*sets, np.empty(0, np.int64)])
+    flat = np.concatenate([*sets, np.empty(0, np.int32)]).astype(np.int64)
     at = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1))
     known = terms[at] == flat if len(terms) else np.zeros(len(flat), bool)
     counts = np.bincount(np.repeat(np.arange(len(sets)), sizes)[known], minlength=len(sets))
