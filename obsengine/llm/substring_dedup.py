@@ -179,7 +179,10 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
-    """The occurrences of clusters in several documents, without each cluster's first."""
+    """The occurrences of clusters in several documents, without each cluster's first.
+
+    Callers write the result before going on: Spark splits a hot cluster only in a stage of no more than this join.
+    """
     place = F.struct("doc_id", "start")
     clusters = occurrences.groupBy(cluster).agg(F.min(place).alias("kept"), F.max("doc_id").alias("last")).filter("kept.doc_id < last")
     return occurrences.join(clusters, cluster).filter(place != F.col("kept")).select(
@@ -195,7 +198,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     roots = components(similar_lines(lines), "lines")
     nodes = lines.select("doc_id", "start", "words", F.xxhash64("content").alias("node"))
     clustered = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
-    removed = _removals(found, "content").union(_removals(clustered, "cluster"))
+    removed = staged(_removals(found, "content"), "window-removals").union(staged(_removals(clustered, "cluster"), "line-removals"))
     return merged(removed)
 
 
