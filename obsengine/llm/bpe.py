@@ -38,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LAST_END = regex.compile(r"(?r)(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 RUNS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
 SLICE = 1 << 15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 
 

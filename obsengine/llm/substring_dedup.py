@@ -32,7 +32,7 @@ from obsengine.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 GAP, SPAN = 20, 28
 LINE_WORDS, BANDS, ROWS = 50, 10, 4
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
 PARAGRAPHS = "doc_id long, start int, words int, content binary, bands array<long>, shingles binary"
 
