@@ -38,6 +38,7 @@ from obsengine.llm.common import staged, staging_path
 
 BLOCK = 256
 ARCHIVE_BYTES = 256 << 20
+FETCH_BYTES = 8 << 20  # what a task reads, about
 LEVEL = 5
 CAPTURE = "key string, page_id long, archive string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -245,8 +246,13 @@ def lookup(keys: DataFrame, path: str, shards: list[tuple[tuple, str]]) -> DataF
 
 
 def fetch(captures: DataFrame, path: str, payloads: bool = True) -> DataFrame:
-    """RECORD rows of the captures, each read by its range; without payloads if they aren't wanted."""
-    rows = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    """RECORD rows of the captures, each read by its range; without payloads if they aren't wanted.
+
+    Tasks are as many as the bytes to read call for: the rows to shuffle are tiny and would all go to one.
+    """
+    located = staged(captures.select("archive", "offset", "length"), "located")
+    size = located.agg(F.sum("length")).first()[0] or 0
+    rows = located.repartitionByRange(1 + size // FETCH_BYTES, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(path)
