@@ -70,6 +70,17 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
+#: DuckDB has no base-32: the digest's bits are taken in fives.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first,
+  array_to_string(list_transform(range(40), lambda i: right('000' || bin(('0x' || x[i + 1:i + 1])::INTEGER), 4)), '') AS bits FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5),
+         lambda j: substr(bits, i * 5 + j + 1, 1)::INTEGER * (16 // (2 ** j)::INTEGER)))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM k"""
+
 ORACLE_SQL = {
+    "op1_warc": WARC_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
