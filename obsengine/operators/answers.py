@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions import text as t
@@ -73,9 +73,11 @@ def briefings(hits: DataFrame) -> DataFrame:
 def context(incidents: DataFrame, most: int = 5) -> DataFrame:
     """(run_id, context): the first incidents of each run by id, one a line, and how many there are."""
     line = F.concat_ws(" ", "rule_id", "canonical_track_id", F.format_string("%.1f", "first_seen_s"))
-    ranked = incidents.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("incident_id", line.alias("line")))).alias("all"))
-    lines = F.transform(F.slice("all", 1, most), lambda r: r["line"])
-    return ranked.select("run_id", F.concat_ws("\n", F.format_string("%d incidents", F.size("all")), F.array_join(lines, "\n")).alias("context"))
+    ranked = incidents.select("run_id", line.alias("line"), F.row_number().over(Window.partitionBy("run_id").orderBy("incident_id")).alias("k"))
+    first = ranked.filter(F.col("k") <= most).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("first"))
+    joined = incidents.groupBy("run_id").agg(F.count("*").alias("n")).join(first, "run_id")
+    lines = F.array_join(F.transform("first", lambda r: r["line"]), "\n")
+    return joined.select("run_id", F.concat_ws("\n", F.format_string("%d incidents", "n"), lines).alias("context"))
 
 
 def gated(requests: DataFrame, raw: Column, subject: Column, band: Column, numbers: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_GROUPS = 1_000_000  # of a grouped split, whose fold is one task's
+
 
 def budgeted(df: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int) -> DataFrame:
     """df with `rank` in the order and `reviewed` for the first `budget` of each key."""
@@ -35,6 +37,7 @@ def grouped_split(df: DataFrame, group: str, ratios: dict[str, float], seed: int
         have = F.transform(state["have"], lambda h, i: F.when(i == at, h + g["n"]).otherwise(h))
         return F.struct(have.alias("have"), F.array_append(state["out"], F.struct(g["g"].alias("g"), g["n"].alias("n"), at.alias("at"))).alias("out"))
 
+    packed = packed.withColumn("gs", F.when(F.size("gs") > MOST_GROUPS, F.raise_error(F.lit(f"more than {MOST_GROUPS} groups"))).otherwise(F.col("gs")))
     done = packed.select(F.explode(F.aggregate("gs", start, step, lambda s: s["out"])).alias("r"))
     split = F.element_at(F.array(*map(F.lit, names)), F.col("r.at") + 1)
     return done.select(F.col("r.g").alias(group), F.col("r.n").alias("n"), split.alias("split"))

@@ -1,18 +1,21 @@
 """Operators on a key's rows in order of time: runs, recursive state, trailing ranges, spacing, thinning.
 
 Times are numbers. Runs are found within blocks of time first and stitched by their ends, so that a key with very
-many rows is spread over tasks, and only its block summaries meet. Folds (spacing, anchored segments, recursive
-averages) depend on what was kept before, so they take a key's rows in order, one Arrow batch after the other.
+many rows is spread over tasks, and only its block summaries meet. Folds (spacing, anchored segments)
+depend on what was kept before, so they take a key's rows in order, one Arrow batch after the other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.aggregates import linear_quantiles
+
 
 def runs(df: DataFrame, keys: Sequence[str], time: str, max_gap: float, block: float | None = None) -> DataFrame:
     """(keys, first, last, n): maximal chains whose neighbours are at most max_gap apart, the gap included."""
@@ -54,10 +57,23 @@ def recursive_average(values: Column, alpha: float) -> Column:
     return F.aggregate(values, start, step, lambda s: s["e"])
 
 
+def last_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float) -> DataFrame:
+    """(keys, n, average): the recursive average after each key's last row.
+
+    Weights fall by 1 - alpha a row, so that beyond the last `reach` rows they are below a double's precision: no more
+    rows of a key are sorted into place, however many it has (a rank limit, which Spark also applies before shuffling).
+    """
+    reach = max(2, math.ceil(math.log(1e-20) / math.log(1 - alpha))) if alpha < 1 else 2
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    tail = df.select(*keys, *order, F.col(value).alias("_v")).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= reach)
+    weight = F.pow(F.lit(1 - alpha), F.col("_r") - 1) * F.when(F.col("_r") == F.col("n"), 1.0).otherwise(alpha)
+    return tail.join(counts, list(keys)).groupBy(*keys).agg(F.max("n").alias("n"), F.sum(weight * F.col("_v")).alias("average"))
+
+
 def gated_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, accepted: Column, alpha: float, least: int, floor: float) -> DataFrame:
     """(keys, n, average, state): `yes` or `no` only from `least` accepted values on, and beyond the confidence floor."""
-    taken = df.filter(accepted).groupBy(*keys).agg(ordered_list(order, F.col(value)).alias("_values"))
-    known = taken.select(*keys, F.size("_values").alias("n"), recursive_average(F.col("_values"), alpha).alias("average"))
+    known = last_average(df.filter(accepted), keys, order, value, alpha)
     enough = (F.col("n") >= least) & (F.greatest("average", 1 - F.col("average")) >= floor)
     return known.withColumn("state", F.when(enough & (F.col("average") >= 0.5), "yes").when(enough, "no").otherwise("unknown"))
 
@@ -217,7 +233,7 @@ def bin_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: Co
 
 def median_halves(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """(keys, early, late): a value's averages up to and after the key's median time."""
-    middle = df.groupBy(*keys).agg(F.percentile(F.col(time).cast("double"), 0.5).alias("_m"))
+    middle = linear_quantiles(df, keys, time, {"_m": 0.5})
     both = df.join(middle, list(keys))
     late = F.col(time) > F.col("_m")
     return both.groupBy(*keys).agg(F.avg(F.when(~late, F.col(value))).alias("early"), F.avg(F.when(late, F.col(value))).alias("late"))

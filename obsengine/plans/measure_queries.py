@@ -42,9 +42,8 @@ def closest_in_window(spark, sf_dir):
 
 
 def quantile_linear(spark, sf_dir):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(q.alias("q"))
-    return p.select("l_returnflag", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lower", "median", "upper"))))
+    q = agg.linear_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"lower": 0.025, "median": 0.5, "upper": 0.975})
+    return q.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("lower", "median", "upper")))
 
 
 def quantile_nearest_rank(spark, sf_dir):

@@ -40,8 +40,8 @@ def all_runs(spark, sf_dir):
 
 def ema_state(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("share", F.least(F.col("value") / 100, F.lit(1.0)))
-    return seq.gated_state(e, ["user_id"], ["us", "event_id"], "share", F.col("event_type").isin("view", "click"), 0.35, 4, 0.7).withColumn(
-        "average", F.round("average", 9)
+    return seq.gated_state(e, ["user_id"], ["us", "event_id"], "share", F.col("event_type").isin("view", "click"), 0.35, 4, 0.7).withColumns(
+        {"n": F.col("n").cast("int"), "average": F.round("average", 9)}
     )
 
 

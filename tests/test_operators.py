@@ -152,3 +152,20 @@ def test_text_functions(spark):
     got = df.collect()
     assert [r.o for r in got] == [0.5, 1.0, 1.0, 0.0] and [r.n for r in got] == [["a b", "b c", "c d"], [], [], ["one two", "two three"]]
     assert [round(r.j, 3) for r in got] == [0.6, 0, 0, 0] and got[0].h == "&lt;&amp;&#x27;&quot;&gt;a b c d"
+
+
+def test_quantiles_and_averages(spark):
+    from obsengine.operators.aggregates import linear_quantiles
+
+    rng = random.Random(7)
+    rows = [(k, i, float(rng.randint(0, 30))) for k in range(6) for i in range(rng.choice([1, 2, 40, 400]))] + [(0, -1, None)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = {r.k: (r.a, r.b) for r in linear_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9}).collect()}
+    known = {k: [v for j, _, v in rows if j == k and v is not None] for k in range(6)}
+    assert all(np.allclose(got[k], np.quantile(known[k], [0.5, 0.9])) for k in range(6)) and len(got) == 6
+    averages = {r.k: (r.n, r.average) for r in sequence.last_average(df.filter("v IS NOT NULL"), ["k"], ["i"], "v", 0.35).collect()}
+    for k, values in known.items():
+        e = values[0]
+        for v in values[1:]:
+            e = 0.65 * e + 0.35 * v
+        assert averages[k][0] == len(values) and abs(averages[k][1] - e) < 1e-9
