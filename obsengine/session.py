@@ -27,11 +27,16 @@ def session(name: str = "obsengine", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+ARROW_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application, so that tasks find it wherever they run."""
+    """Gives the executors this package, once for each application, so that tasks find it wherever they run.
+
+    Also bounds the session's Arrow batches by bytes, for tables with some very long texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
