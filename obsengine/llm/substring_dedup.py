@@ -181,10 +181,12 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
     """The occurrences of clusters in several documents, without each cluster's first.
 
-    Callers write the result before going on: Spark splits a hot cluster only in a stage of no more than this join.
+    Clusters are written before the join, and callers write its result before going on: Spark splits a hot cluster
+    only in a join of two plain shuffles that is a stage of its own.
     """
     place = F.struct("doc_id", "start")
     clusters = occurrences.groupBy(cluster).agg(F.min(place).alias("kept"), F.max("doc_id").alias("last")).filter("kept.doc_id < last")
+    clusters = staged(clusters, "clusters")
     return occurrences.join(clusters, cluster).filter(place != F.col("kept")).select(
         "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id")
     )
