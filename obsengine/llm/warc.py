@@ -110,7 +110,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     )
     rows = rows.withColumn("sha1", F.sha1("payload"))
     sized = rows.filter(F.length("payload") >= least_bytes)
-    firsts = sized.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    firsts = sized.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = staged(firsts, "first-captures")  # so that the join is of two plain shuffles, whose hot payloads Spark splits
     judged = rows.join(firsts, "sha1", "left").select(
         "page_id", "url", "key", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
     )
