@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,3 +42,48 @@ def running_average(stream: DataFrame, key: str, order: str, value: str, alpha:
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(
         update, f"{key} {kind}, n long, average double", "n long, average double", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def _in_order(frames: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    rows = pd.concat(list(frames))
+    return sorted(zip(*(rows[c] for c in columns)))
+
+
+def spaced(stream: DataFrame, key: str, order: str, row_id: str, spacing: int) -> DataFrame:
+    """(key, id, t) of the rows kept: each at least `spacing` after the one kept before it, across batches."""
+    types = dict(stream.dtypes)
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        kept = []
+        for t, i in _in_order(frames, "t", "id"):
+            if last is None or t - last >= spacing:
+                kept.append((k[0], i, t))
+                last = t
+        state.update((int(last),))
+        yield pd.DataFrame(kept, columns=[key, "id", "t"])
+
+    rows = stream.select(key, F.col(order).cast("long").alias("t"), F.col(row_id).alias("id"))
+    schema = f"{key} {types[key]}, id {types[row_id]}, t long"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def trailing(stream: DataFrame, key: str, order: str, row_id: str, value: str, length: int) -> DataFrame:
+    """(key, id, n_trailing, shift): each row with the count of the rows up to `length` before it, itself included, and how
+    far the median of their last third is from that of their first. The state holds no more than such a range."""
+    types = dict(stream.dtypes)
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        out = []
+        for t, i, v in _in_order(frames, "t", "id", "v"):
+            held = [x for x in held if x[0] >= t - length] + [[int(t), float(v)]]
+            third = max(1, len(held) // 3)
+            values = [x[1] for x in held]
+            out.append((k[0], i, len(held), abs(median(values[-third:]) - median(values[:third]))))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=[key, "id", "n_trailing", "shift"])
+
+    rows = stream.select(key, F.col(order).cast("long").alias("t"), F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"))
+    schema = f"{key} {types[key]}, id {types[row_id]}, n_trailing long, shift double"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "held string", "append", GroupStateTimeout.NoTimeout)

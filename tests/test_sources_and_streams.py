@@ -71,3 +71,23 @@ def test_streams_come_to_the_batch_answer(spark, tmp_path):
     last = {r.k: r.average for r in spark.table("averages").collect() if r.n == 7}
     whole = df.groupBy("k").agg(sequence.recursive_average(sequence.ordered_list(["us"], F.col("v")), 0.35).alias("a"))
     assert {r.k: round(r.a, 9) for r in whole.collect()} == {k: round(a, 9) for k, a in last.items()}
+
+
+def test_spacing_and_trailing_ranges_on_streams(spark, tmp_path):
+    rows = [(k, i, 10 * i + (i * i * 7 + k) % 9, float((i * 37) % 11)) for k in range(3) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, i int, t long, v double")
+    for part in ("i < 11", "i >= 11 AND i < 12", "i >= 12"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(stream, name):
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name)
+
+    kept = run(streams.spaced(source(), "k", "t", "i", 35), "kept")
+    batch = sequence.greedy_spacing(df, ["k"], "t", "i", 35)
+    assert sorted((r.k, r.id, r.t) for r in kept.collect()) == sorted((r.k, r.id, r.t) for r in batch.collect())
+    moved = run(streams.trailing(source(), "k", "t", "i", "v", 60), "moved")
+    whole = sequence.trailing_motion(df.withColumn("y", F.lit(0.0)), ["k"], "t", "v", "y", 60)
+    assert sorted((r.k, r.id, r.n_trailing, round(r["shift"], 9)) for r in moved.collect()) == sorted((r.k, r.i, r.n_trailing, round(r.displacement, 9)) for r in whole.collect())
