@@ -147,9 +147,9 @@ def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def similar_lines(lines: DataFrame) -> DataFrame:
     """(u, v): nodes (hashes of contents) of different lines that share a band and have a Jaccard similarity of SIMILARITY."""
     node = F.xxhash64("content").alias("node")
-    keyed = lines.select("doc_id", node, F.explode("bands").alias("key"))
+    keyed = lines.select(node, F.explode("bands").alias("key")).distinct()  # copies of a line are one
     edges = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = keyed.select("key", "node").join(edges, "key")
+    members = keyed.join(staged(edges, "line-buckets"), "key")
     pairs = (
         members.select("node", F.explode(F.array("low", "high")).alias("end"))
         .select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
