@@ -17,7 +17,6 @@ an empty table gives an empty packing.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from functools import lru_cache
 
