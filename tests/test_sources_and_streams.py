@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from obsengine import schema
 from obsengine.operators import sequence
 from obsengine.sources import readers, sinks
 from obsengine.streaming import observations as streams
