@@ -8,8 +8,9 @@ they fall on the same places of a passage wherever it stands. Any passage of GAP
 documents share holds one whole window of both, whatever surrounds it. Windows have one band, their whole
 content: at their size a single changed word already takes the similarity below 0.8.
 
-Equal paragraphs are one class from the start. In a band's bucket each class is compared with the bucket's
-smallest and largest, never with all others, so candidates grow with the input; classes similar by any chain of
+Equal paragraphs are one class from the start. In a band's bucket each class is first compared with the bucket's
+smallest and largest, which joins most of a hot bucket in linear time; then the classes of a bucket that are still in
+several clusters are compared with each other, so that no link is lost. Classes similar by any chain of
 links are one cluster (connected components). Of each cluster that occurs in several documents the
 occurrence with the smallest (doc_id, place) stays and the others are removed; removals that touch are one span.
 
@@ -144,20 +145,29 @@ def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return staged(map_rows(rows, run, PARAGRAPHS, 128), "paragraphs")
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """(u, v): nodes (hashes of contents) of different lines that share a band and have a Jaccard similarity of SIMILARITY."""
-    node = F.xxhash64("content").alias("node")
-    keyed = lines.select(node, F.explode("bands").alias("key")).distinct()  # copies of a line are one
+def bucket_ends(keyed: DataFrame) -> DataFrame:
+    """(u, v): every node with the smallest and the largest of its buckets, so that pairs grow with the nodes."""
     edges = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = keyed.join(staged(edges, "line-buckets"), "key")
-    pairs = (
-        members.select("node", F.explode(F.array("low", "high")).alias("end"))
-        .select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
-        .filter("u < v")
-        .distinct()
-    )
+    members = keyed.join(staged(edges, "line-buckets"), "key").select("node", F.explode(F.array("low", "high")).alias("end"))
+    return members.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).filter("u < v").distinct()
+
+
+def still_apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): all pairs of a bucket whose nodes aren't in one cluster yet. A bucket's largest cluster isn't paired with itself."""
+    found = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    found = staged(found, "line-roots")
+    sizes = found.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    found = staged(found.join(staged(mixed.select("key", "largest"), "line-mixed"), "key"), "line-apart")
+    small = found.filter("root != largest").select("key", F.col("node").alias("u"), F.col("root").alias("root_u"))
+    pairs = small.join(found.select("key", F.col("node").alias("v"), F.col("root").alias("root_v")), "key").filter("root_u != root_v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (u, v) of lines, named by their contents' hashes, that have a Jaccard similarity of SIMILARITY."""
     pairs = staged(pairs, "line-pairs")
-    sets = lines.groupBy(node).agg(F.first("shingles").alias("shingles"))
+    sets = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.first("shingles").alias("shingles"))
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = staged(sets.join(wanted, "node", "left_semi"), "line-shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
@@ -172,6 +182,19 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
+def line_clusters(lines: DataFrame) -> DataFrame:
+    """(node, root): the components of all links between lines that share a band.
+
+    First each line meets its buckets' ends, which joins most of a hot bucket with few pairs; then whatever is still
+    in several clusters of one bucket is compared, so that no link is lost.
+    """
+    keyed = lines.select(F.xxhash64("content").alias("node"), F.explode("bands").alias("key")).distinct()  # copies of a line are one
+    keyed = staged(keyed, "line-bands")
+    links = staged(verified(bucket_ends(keyed), lines), "line-links")
+    rest = verified(still_apart(keyed, components(links, "lines-by-ends")), lines)
+    return components(links.union(rest), "lines")
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -197,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     table = paragraph_table(docs, id_column, text_column)
     found = table.filter("bands IS NULL").select("doc_id", "start", "words", "content")
     lines = table.filter("bands IS NOT NULL")
-    roots = components(similar_lines(lines), "lines")
+    roots = line_clusters(lines)
     nodes = lines.select("doc_id", "start", "words", F.xxhash64("content").alias("node"))
     clustered = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
     removed = staged(_removals(found, "content"), "window-removals").union(staged(_removals(clustered, "cluster"), "line-removals"))

@@ -90,6 +90,35 @@ def test_similar_lines_and_their_clusters(spark):
     assert all(r.n_words == 120 and r.start_word == 20 for r in got)
 
 
+def test_no_link_between_lines_of_a_bucket_is_lost(spark):
+    """Against all pairs: families of lines of which many share a bucket with lines that they are not similar to."""
+    lines = []
+    for _ in range(6):
+        base = some(100)
+        for _ in range(25):
+            line = base.copy()
+            for at in RNG.sample(range(100), RNG.choice((1, 2, 5, 9))):
+                line[at] = f"new{RNG.randrange(10**6)}"
+            lines.append(" ".join(line))
+    table = sd.paragraph_table(frame(spark, list(enumerate(lines)))).filter("bands IS NOT NULL")
+    rows = table.selectExpr("xxhash64(content) AS node", "bands", "shingles").collect()
+    root = {r.node: r.node for r in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if set(a.bands) & set(b.bands) and sd.jaccard(a.shingles, b.shingles) >= sd.SIMILARITY:
+                low, high = sorted((top(a.node), top(b.node)))
+                root[high] = low
+    want = {n: top(n) for n in root}
+    got = {r.node: r.root for r in sd.line_clusters(table).collect()}
+    assert {n: got.get(n, n) for n in want} == want and len(set(want.values())) < len(want)
+
+
 def test_copies_and_nothing(spark):
     text = " ".join(some(400))
     got = sd.repeated_spans(frame(spark, [(i, text) for i in range(50)])).collect()
