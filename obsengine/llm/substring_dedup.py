@@ -1,6 +1,8 @@
 """Substring dedup: paragraphs, MinHash banding, exact Jaccard, components of what repeats.
 
-Paragraphs are of two kinds. *Lines* of at least LINE_WORDS words are compared as sets of five-word shingles:
+Paragraphs are of two kinds. *Lines* of at least LINE_WORDS words are compared as sets of five-word shingles, and so
+is what short lines make together: a run of lines of under LONG_WORDS words, up to a blank or longer line, is also cut at
+content-defined ends (the smallest shingle hash of JOIN to each side), wherever its lines are broken.
 BANDS bands of ROWS minhashes (recall at a similarity of 0.8: 1 - (1 - 0.8 ** 4) ** 10, over 0.99) name candidates,
 whose exact Jaccard similarity then has to reach SIMILARITY. *Windows* find passages inside other text: a
 window is SPAN shingles from an anchor, and anchors are the smallest shingle hashes of every GAP in a row, so that
@@ -32,10 +34,12 @@ from obsengine.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 GAP, SPAN = 20, 28
-LINE_WORDS, BANDS, ROWS = 50, 10, 4
+LINE_WORDS, BANDS, ROWS = 20, 10, 4
+LONG_WORDS, JOIN = 50, 30
 CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
 PARAGRAPHS = "doc_id long, start int, words int, content binary, bands array<long>, shingles binary"
+ANSWERS = "node long, shingles binary"
 
 
 class WordHashes(dict):
@@ -108,7 +112,40 @@ def bands_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1).view(np.int64)
 
 
-def paragraphs(texts: list[str | None]) -> list[tuple[int, int, int, bytes, list[int] | None, bytes | None]]:
+def short_runs(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first word, end) of two or more lines of under LONG_WORDS words in a row, none of them blank. sizes: words of each line."""
+    out, first, at, lines = [], 0, 0, 0
+    for n in [*sizes, 0]:
+        if 0 < n < LONG_WORDS:
+            lines += 1
+        else:
+            if lines > 1:
+                out.append((first, at))
+            first, lines = at + n, 0
+        at += n
+    return out
+
+
+def joined_parts(h: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
+    """(first word, end) of the parts of a run of words, between its places that are the minimum of JOIN shingles to each side."""
+    mine = h[first : max(first, end - SHINGLE + 1)]
+    ends = np.empty(0, np.int64)
+    if len(mine) > 2 * JOIN:
+        ends = np.flatnonzero(_sliding(np.minimum, mine, 2 * JOIN + 1) == mine[JOIN:-JOIN]) + JOIN
+        ends = ends[np.diff(ends, prepend=-JOIN - 1) > JOIN] + first
+    cuts = [first, *ends.tolist(), end]
+    return list(zip(cuts, cuts[1:]))
+
+
+def content_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(words), 3)
+
+
+def shingle_set(h: np.ndarray) -> bytes:
+    return np.unique(h >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def paragraphs(texts: list[str | None], sets: bool = True) -> list[tuple[int, int, int, bytes, list[int] | None, bytes | None]]:
     """(text's place in the list, first word, words, content, bands, shingles) for every paragraph of the texts."""
     out, lines, parts = [], [], []
     for i, text in enumerate(texts):
@@ -117,27 +154,27 @@ def paragraphs(texts: list[str | None]) -> list[tuple[int, int, int, bytes, list
         h = shingle_hashes(words)
         at, contents = windows(h)
         out += [(i, s, SPAN + SHINGLE - 1, c, None, None) for s, c in zip(at.tolist(), contents)]
-        first = 0
-        for x in by_line:
-            if len(x) >= LINE_WORDS:
-                mine = h[first : first + len(x) - SHINGLE + 1]
-                lines.append((i, first, len(x), xxhash.xxh128_digest(b" ".join(x), 3)))
-                parts.append(mine)
-            first += len(x)
+        counts = [len(x) for x in by_line]
+        ends = np.cumsum(counts).tolist()
+        spans = {(end - n, end) for n, end in zip(counts, ends)}
+        spans.update(part for run in short_runs(counts) for part in joined_parts(h, *run))
+        for first, end in sorted(spans):
+            if end - first >= LINE_WORDS:
+                lines.append((i, first, end - first, content_of(words[first:end])))
+                parts.append(h[first : end - SHINGLE + 1])
     if lines:
         sizes = np.array([len(p) for p in parts])
         keys = bands_of(np.concatenate(parts), np.cumsum(sizes) - sizes).tolist()
-        sets = [np.unique(p >> np.uint64(32)).astype("<u4").tobytes() for p in parts]
-        out += [(*line, k, s) for line, k, s in zip(lines, keys, sets)]
+        out += [(*line, k, shingle_set(p) if sets else None) for line, k, p in zip(lines, keys, parts)]
     return out
 
 
-def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """PARAGRAPHS of all texts, as a written table."""
+def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sets: bool = True) -> DataFrame:
+    """PARAGRAPHS of all texts, as a written table; the shingles only with `sets`."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter("doc_id IS NOT NULL")
 
     def run(part: dict[str, list]) -> dict[str, list]:
-        found = paragraphs(part["text"])
+        found = paragraphs(part["text"], sets)
         columns = list(zip(*found)) if found else [()] * 6
         names = ("start", "words", "content", "bands", "shingles")
         return {"doc_id": [part["doc_id"][i] for i in columns[0]]} | dict(zip(names, columns[1:]))
@@ -145,11 +182,18 @@ def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return staged(map_rows(rows, run, PARAGRAPHS, 128), "paragraphs")
 
 
-def bucket_ends(keyed: DataFrame) -> DataFrame:
-    """(u, v): every node with the smallest and the largest of its buckets, so that pairs grow with the nodes."""
+def bucket_members(lines: DataFrame) -> DataFrame:
+    """(key, node, low, high): the nodes of buckets that hold several, with the bucket's smallest and largest."""
+    keyed = lines.select(F.xxhash64("content").alias("node"), F.explode("bands").alias("key")).distinct()  # copies of a line are one
+    keyed = staged(keyed, "line-bands")
     edges = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = keyed.join(staged(edges, "line-buckets"), "key").select("node", F.explode(F.array("low", "high")).alias("end"))
-    return members.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).filter("u < v").distinct()
+    return staged(keyed.join(staged(edges, "line-buckets"), "key"), "line-members")
+
+
+def bucket_ends(members: DataFrame) -> DataFrame:
+    """(u, v): every node with the smallest and the largest of its buckets, so that pairs grow with the nodes."""
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("end"))
+    return ends.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).filter("u < v").distinct()
 
 
 def still_apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -164,12 +208,9 @@ def still_apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of lines, named by their contents' hashes, that have a Jaccard similarity of SIMILARITY."""
     pairs = staged(pairs, "line-pairs")
-    sets = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.first("shingles").alias("shingles"))
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = staged(sets.join(wanted, "node", "left_semi"), "line-shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
 
@@ -182,16 +223,55 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
+def asked_lines(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, start, words, node): one occurrence of each node of members."""
+    firsts = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.min(F.struct("doc_id", "start", "words")).alias("first"))
+    return firsts.join(members.select("node").distinct(), "node", "left_semi").select("first.*", "node")
+
+
+def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """ANSWERS to (doc_id, start, words, node), as a written table, from one join with the texts.
+
+    Of rows that share an id those answer that have the node's content there. What is asked of one document is
+    no more than the paragraphs it has.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    by_doc = asked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
+
+    def run(part: dict[str, list]) -> dict[str, list]:
+        out = {n: [] for n in ("node", "shingles")}
+        for text, questions in zip(part["text"], part["asked"]):
+            words = (text or "").encode().lower().split()
+            for q in questions:
+                mine = words[q["start"] : q["start"] + q["words"]]
+                if node_of(mine) == q["node"]:
+                    out["node"].append(q["node"])
+                    out["shingles"].append(shingle_set(shingle_hashes(mine)))
+        return out
+
+    return staged(map_rows(rows.join(by_doc, "doc_id"), run, ANSWERS, 64), "answers")
+
+
+def node_of(words: list[bytes]) -> int:
+    """What Spark's xxhash64 gives for the words' content."""
+    x = xxhash.xxh64_intdigest(content_of(words), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def line_clusters(lines: DataFrame) -> DataFrame:
-    """(node, root): the components of all links between lines that share a band.
+    """clustered() for lines that come with their shingles."""
+    sets = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.first("shingles").alias("shingles"))
+    return clustered(bucket_members(lines), staged(sets, "line-shingles"))
+
+
+def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root): the components of all links between lines that share a band. sets: (node, shingles) of all members.
 
     First each line meets its buckets' ends, which joins most of a hot bucket with few pairs; then whatever is still
     in several clusters of one bucket is compared, so that no link is lost.
     """
-    keyed = lines.select(F.xxhash64("content").alias("node"), F.explode("bands").alias("key")).distinct()  # copies of a line are one
-    keyed = staged(keyed, "line-bands")
-    links = staged(verified(bucket_ends(keyed), lines), "line-links")
-    rest = verified(still_apart(keyed, components(links, "lines-by-ends")), lines)
+    links = staged(verified(bucket_ends(members), sets), "line-links")
+    rest = verified(still_apart(members.select("node", "key"), components(links, "lines-by-ends")), sets)
     return components(links.union(rest), "lines")
 
 
@@ -202,28 +282,31 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
-    """The occurrences of clusters in several documents, without each cluster's first.
+    """The occurrences of clusters in several documents, without each cluster's first and what overlaps it in its document.
 
     Clusters are written before the join, and callers write its result before going on: Spark splits a hot cluster
     only in a join of two plain shuffles that is a stage of its own.
     """
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "start", (-F.col("words")).alias("less"))
     clusters = occurrences.groupBy(cluster).agg(F.min(place).alias("kept"), F.max("doc_id").alias("last")).filter("kept.doc_id < last")
     clusters = staged(clusters, "clusters")
-    return occurrences.join(clusters, cluster).filter(place != F.col("kept")).select(
+    others = "doc_id != kept.doc_id OR start >= kept.start - kept.less OR start + words <= kept.start"
+    return occurrences.join(clusters, cluster).filter(others).select(
         "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id")
     )
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id): what to remove of each document; the smallest document that keeps it."""
-    table = paragraph_table(docs, id_column, text_column)
+    table = paragraph_table(docs, id_column, text_column, False)
     found = table.filter("bands IS NULL").select("doc_id", "start", "words", "content")
     lines = table.filter("bands IS NOT NULL")
-    roots = line_clusters(lines)
+    members = bucket_members(lines)
+    told = answers(asked_lines(lines, members), docs, id_column, text_column)
+    roots = clustered(members, staged(told.dropDuplicates(["node"]), "line-shingles"))
     nodes = lines.select("doc_id", "start", "words", F.xxhash64("content").alias("node"))
-    clustered = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
-    removed = staged(_removals(found, "content"), "window-removals").union(staged(_removals(clustered, "cluster"), "line-removals"))
+    occurrences = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
+    removed = staged(_removals(found, "content"), "window-removals").union(staged(_removals(occurrences, "cluster"), "line-removals"))
     return merged(removed)
 
 

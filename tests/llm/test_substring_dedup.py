@@ -131,3 +131,33 @@ def test_copies_and_nothing(spark):
 def test_cut():
     assert sd.cut(" a b\tc\nd  e ", [(1, 2), (4, 1)]) == " a\nd "
     assert sd.cut("é ü é", [(0, 1)]) == " ü é" and sd.cut(None, [(0, 1)]) is None and sd.cut("a", None) == "a"
+
+
+def test_near_copies_of_short_lines_and_of_wrapped_passages(spark):
+    line, passage = some(36), some(70)
+    near_line, near = line[:-1] + ["changed"], passage.copy()
+    near[35] = "changed"  # what is left to either side is too short for a whole common window
+    wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    rows = [(1, " ".join(some(15)) + "\n" + " ".join(line)), (2, " ".join(some(15)) + "\n" + " ".join(near_line) + "\n" + " ".join(some(9)))]
+    rows += [(3, wrap(some(50), 10) + "\n\n" + wrap(passage, 12)), (4, wrap(some(30), 10) + "\n \n" + wrap(near, 17) + "\n\n" + wrap(some(40), 8))]
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in sd.repeated_spans(frame(spark, rows)).collect())
+    assert got == [(2, 15, 36, 1), (4, 30, 70, 3)]
+
+
+def test_joined_lines_end_at_the_same_places_whatever_surrounds_and_breaks_them():
+    passage = some(400)
+    found = []
+    for n in (7, 19):
+        words = [w.encode() for w in some(33 + n) + passage + some(21)]
+        parts = [p for run in sd.short_runs([n] * (len(words) // n) + [len(words) % n]) for p in sd.joined_parts(sd.shingle_hashes(words), *run)]
+        found.append({sd.content_of(words[a:b]) for a, b in parts})
+        assert sum(b - a for a, b in parts) == len(words) and all(b - a > sd.JOIN for a, b in parts[1:-1])
+    assert len(found[0] & found[1]) >= 2
+    assert sd.short_runs([3, 4, 0, 5, 60, 7, 8]) == [(0, 7), (72, 87)]
+    assert sd.joined_parts(np.zeros(500, np.uint64), 0, 504) == [(0, 30), (30, 504)]
+
+
+def test_similar_paragraphs_that_overlap_in_the_kept_document_stay(spark):
+    text = " ".join(some(5)) + "\n" + " ".join(some(45))
+    got = sd.repeated_spans(frame(spark, [(1, text), (2, text)])).collect()
+    assert [tuple(r) for r in got] == [(2, 0, 50, 1)]
