@@ -7,7 +7,8 @@ BANDS bands of ROWS minhashes (recall at a similarity of 0.8: 1 - (1 - 0.8 ** 4)
 whose exact Jaccard similarity then has to reach SIMILARITY. *Windows* find passages inside other text: a
 window is SPAN shingles from an anchor, and anchors are the smallest shingle hashes of every GAP in a row, so that
 they fall on the same places of a passage wherever it stands. Any passage of GAP + SPAN + 3 = 51 words that two
-documents share holds one whole window of both, whatever surrounds it. Windows have one band, their whole
+documents share holds one whole window of both, whatever surrounds it; what is removed is then extended to both sides as far
+as its words are those of the kept occurrence (under GAP words, as more would hold another window). Windows have one band, their whole
 content: at their size a single changed word already takes the similarity below 0.8.
 
 Equal paragraphs are one class from the start. In a band's bucket each class is first compared with the bucket's
@@ -18,7 +19,7 @@ occurrence with the smallest (doc_id, place) stays and the others are removed; r
 
 Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Defined cases: null and empty texts have no
 paragraphs; rows with a null id are left alone; rows that share an id count as one document, so repeating a row
-removes nothing; within ties the smallest place stays; an empty table gives an empty result.
+removes nothing, and windows are not extended where such rows differ; within ties the smallest place stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ LONG_WORDS, JOIN = 50, 30
 CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
 PARAGRAPHS = "doc_id long, start int, words int, content binary, bands array<long>, shingles binary"
-ANSWERS = "node long, shingles binary"
+ANSWERS = "doc_id long, start int, words int, node long, shingles binary, before array<long>, after array<long>"
 
 
 class WordHashes(dict):
@@ -232,26 +233,33 @@ def asked_lines(lines: DataFrame, members: DataFrame) -> DataFrame:
 def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """ANSWERS to (doc_id, start, words, node), as a written table, from one join with the texts.
 
-    Of rows that share an id those answer that have the node's content there. What is asked of one document is
-    no more than the paragraphs it has.
+    Lines, which have a node, get their shingles. Spans, which have none, get the hashes of the GAP - 1 words before,
+    nearest first, and after. Of rows that share an id those answer that have the node's content there. What is
+    asked of one document is no more than the paragraphs it has.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     by_doc = asked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
 
     def run(part: dict[str, list]) -> dict[str, list]:
-        out = {n: [] for n in ("node", "shingles")}
-        for text, questions in zip(part["text"], part["asked"]):
+        out = []
+        for doc, text, questions in zip(part["doc_id"], part["text"], part["asked"]):
             words = (text or "").encode().lower().split()
             for q in questions:
-                mine = words[q["start"] : q["start"] + q["words"]]
-                if node_of(mine) == q["node"]:
-                    out["node"].append(q["node"])
-                    out["shingles"].append(shingle_set(shingle_hashes(mine)))
-        return out
+                first, end, node = q["start"], q["start"] + q["words"], q["node"]
+                if node is None:
+                    out.append((doc, first, q["words"], None, None, hashes_of(words[max(0, first - GAP + 1) : first][::-1]), hashes_of(words[end : end + GAP - 1])))
+                elif node_of(words[first:end]) == node:
+                    out.append((doc, first, q["words"], node, shingle_set(shingle_hashes(words[first:end])), None, None))
+        names = [f.split()[0] for f in ANSWERS.split(", ")]
+        return dict(zip(names, zip(*out) if out else [()] * len(names)))
 
     return staged(map_rows(rows.join(by_doc, "doc_id"), run, ANSWERS, 64), "answers")
 
 
+def hashes_of(words: list[bytes]) -> list[int]:
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)).view(np.int64).tolist()
+
+
 def node_of(words: list[bytes]) -> int:
     """What Spark's xxhash64 gives for the words' content."""
     x = xxhash.xxh64_intdigest(content_of(words), 42)
@@ -292,31 +300,69 @@ def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
     clusters = staged(clusters, "clusters")
     others = "doc_id != kept.doc_id OR start >= kept.start - kept.less OR start + words <= kept.start"
     return occurrences.join(clusters, cluster).filter(others).select(
-        "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id")
+        "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")
     )
 
 
+def aligned(removals: DataFrame) -> DataFrame:
+    """(doc_id, start, words, kept_doc_id, kept_start): windows that overlap, and do so in the kept document too, as one span."""
+    shifted = removals.withColumn("shift", F.col("start") - F.col("kept_start"))
+    spans = numbered_spans(shifted, "doc_id", "kept_doc_id", "shift").groupBy("doc_id", "kept_doc_id", "shift", "span")
+    spans = spans.agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("words"))
+    return spans.select("doc_id", "start", "words", "kept_doc_id", (F.col("start") - F.col("shift")).alias("kept_start"))
+
+
+def asked_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, start, words, node) of the spans and what they repeat."""
+    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), "words")
+    return spans.select("doc_id", "start", "words").union(kept).distinct().withColumn("node", F.lit(None).cast("long"))
+
+
+def extended(spans: DataFrame, told: DataFrame) -> DataFrame:
+    """Removals (doc_id, start, end, kept_doc_id): the spans with the words to both sides that the kept occurrence has too.
+
+    In the kept document itself a span does not grow into the kept occurrence.
+    """
+    around = told.filter("node IS NULL").groupBy("doc_id", "start", "words").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("low", F.min), ("high", F.max))))
+    around = staged(around.filter("low_before = high_before AND low_after = high_after").selectExpr("doc_id", "start", "words", "low_before AS before", "low_after AS after"), "contexts")
+    kept = around.toDF("kept_doc_id", "kept_start", "words", "kept_before", "kept_after")
+    found = staged(spans.join(around, ["doc_id", "start", "words"], "left"), "spans-own")
+    found = staged(found.join(kept, ["kept_doc_id", "kept_start", "words"], "left"), "spans-both")
+    for side in ("before", "after"):
+        same = f"zip_with({side}, kept_{side}, (x, y) -> coalesce(x = y, false))"
+        found = found.withColumn(side, F.expr(f"coalesce(if(array_contains({same}, false), int(array_position({same}, false)) - 1, size({same})), 0)"))
+        found = found.withColumn(side, F.greatest(side, F.lit(0)))
+    room = "if(doc_id = kept_doc_id, greatest(0, start - kept_start - words - after), before)"
+    return found.selectExpr("doc_id", f"start - least(before, {room}) AS start", "start + words + after AS end", "kept_doc_id")
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id): what to remove of each document; the smallest document that keeps it."""
     table = paragraph_table(docs, id_column, text_column, False)
     found = table.filter("bands IS NULL").select("doc_id", "start", "words", "content")
     lines = table.filter("bands IS NOT NULL")
     members = bucket_members(lines)
-    told = answers(asked_lines(lines, members), docs, id_column, text_column)
-    roots = clustered(members, staged(told.dropDuplicates(["node"]), "line-shingles"))
+    spans = staged(aligned(staged(_removals(found, "content"), "window-removals")), "window-spans")
+    told = answers(asked_lines(lines, members).union(asked_spans(spans)), docs, id_column, text_column)
+    sets = told.filter("node IS NOT NULL").select("node", "shingles").dropDuplicates(["node"])
+    roots = clustered(members, staged(sets, "line-shingles"))
     nodes = lines.select("doc_id", "start", "words", F.xxhash64("content").alias("node"))
     occurrences = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
-    removed = staged(_removals(found, "content"), "window-removals").union(staged(_removals(occurrences, "cluster"), "line-removals"))
+    removed = extended(spans, told).union(staged(_removals(occurrences, "cluster").drop("kept_start"), "line-removals"))
     return merged(removed)
 
 
-def merged(removed: DataFrame) -> DataFrame:
-    """Removals (doc_id, start, end, kept_doc_id) that overlap or touch, as one span. A window holds one document's removals."""
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+def numbered_spans(removed: DataFrame, *keys: str) -> DataFrame:
+    """removed with `span`: the number, among those of its keys, of what overlaps or touches. A window holds one document's removals."""
+    by_key = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
     marked = removed.withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))
-    numbered = marked.withColumn("span", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "span").agg(
+    return marked.withColumn("span", F.sum("fresh").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def merged(removed: DataFrame) -> DataFrame:
+    """Removals (doc_id, start, end, kept_doc_id) that overlap or touch, as one span."""
+    return numbered_spans(removed, "doc_id").groupBy("doc_id", "span").agg(
         F.min("start").alias("start_word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id")
     ).drop("span")
 

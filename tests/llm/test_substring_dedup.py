@@ -161,3 +161,24 @@ def test_similar_paragraphs_that_overlap_in_the_kept_document_stay(spark):
     text = " ".join(some(5)) + "\n" + " ".join(some(45))
     got = sd.repeated_spans(frame(spark, [(1, text), (2, text)])).collect()
     assert [tuple(r) for r in got] == [(2, 0, 50, 1)]
+
+
+def test_removed_passages_end_where_they_were_planted(spark):
+    passages = [some(n) for n in (51, 75, 140)]
+    rows, want = [], []
+    for i in range(45):
+        p, words = passages[i % 3], some(RNG.randint(45, 90))
+        at = (0, len(words), RNG.randint(1, 44))[i // 3 % 3]
+        rows.append((i, " ".join(words[:at] + [f"left{i}"] * (at > 0) + p + [f"right{i}"] + words[at:])))
+        if i > 2:
+            want.append((i, at + (at > 0), len(p), i % 3))
+    rows += [(7, "another text")]
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in sd.repeated_spans(frame(spark, rows)).collect())
+    assert [r for r in got if r[0] != 7] == [r for r in want if r[0] != 7] and [r for r in got if r[0] == 7]
+
+
+def test_a_span_does_not_grow_into_the_kept_occurrence(spark):
+    text = " ".join(some(3) * 60)
+    got = sd.repeated_spans(frame(spark, [(1, text), (2, text)])).collect()
+    spans = {r.doc_id: (r.start_word, r.n_words) for r in got}
+    assert spans[2] == (0, 180) and spans.get(1, (32, 0))[0] >= 32
