@@ -201,3 +201,28 @@ def test_scene_validation_and_consensus(spark):
     assert sorted((r.proposal_id, r.frames, r.kept, r.visible_drop_or_open_side) for r in got) == [("open_edge-1", 8, True, True), ("restricted_zone-1", 8, True, None), ("restricted_zone-2", 2, False, None)]
     assert abs(scene.mask_iou(*(scene.rasterized(np.array([[p["x"] + d, p["y"]] for p in square(0.0)]), W, H) for d in (0, 200))) - 1 / 3) < 0.03
     assert abs(scene.chamfer(np.array([[0.0, 0], [100, 0]]), np.array([[0.0, 10], [100, 10]])) - 10) < 0.5
+
+
+def test_zones_have_the_outline_that_half_of_the_masks_hold(spark):
+    kinds = "run_id string, keyframe int, place int, proposal_type string, points array<struct<x:double,y:double>>, visible_drop_or_open_side boolean"
+    zone = lambda x, y, w, h: [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    boxes = [(200.0, 200.0, 400.0, 300.0)] * 3 + [(280.0, 160.0, 400.0, 340.0)] * 3  # their outline is no member's
+    rows = [("r", k, 0, "restricted_zone", zone(*b), None) for k, b in enumerate(boxes[:1] + boxes[3:5] + boxes[1:3])]
+    rows += [("thin", k, 0, "restricted_zone", zone(3.0, 3.0, 1.0, 1.0), None) for k in range(6)]
+    rows += [("half", k, 0, "restricted_zone", zone(*b), None) for k, b in enumerate(boxes)]
+    eligible = spark.createDataFrame([("r", 5), ("thin", 6), ("half", 6)], "run_id string, eligible int")
+    got = {r.run_id: r for r in scene.consensus(spark.createDataFrame(rows, kinds), eligible, W, H).collect()}
+    assert {k: r.kept for k, r in got.items()} == {"r": True, "thin": False, "half": True}
+    points = lambda k: {(p["x"], p["y"]) for p in got[k].points}
+    assert points("r") == {(200, 200), (600, 200), (600, 500), (200, 500)}  # three of five
+    assert {(680, 160), (280, 160), (200, 500), (680, 500), (200, 200)} <= points("half")  # three of six: the union
+    assert abs(scene.outline_area(np.array([[p["x"], p["y"]] for p in got["half"].points])) - 160_000) <= 0.02 * 160_000
+
+
+def test_outlines_are_external_and_simplified():
+    ring = np.zeros((40, 60), bool)
+    ring[5:35, 10:50], ring[10:30, 20:40], ring[0, 0] = True, False, True
+    single, outer = sorted(scene.outlines(ring), key=len)
+    assert single.tolist() == [[0, 0]] and scene.outline_area(outer) == 39 * 29
+    assert {tuple(p) for p in scene.simplified(outer)} == {(10, 5), (49, 5), (49, 34), (10, 34)}
+    assert scene.rasterized(np.zeros((3, 2)), W, H).shape == (108, 192) and scene.voted([np.zeros((9, 9), bool)]) is None
