@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none."""
+    """The folder that all executors see. A temporary one only where the session names none and has one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="obsengine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,12 +38,30 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/obsengine/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written, Spark removes the shuffle files of the job when it ends: nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts lineage, and survives lost executors."""
+    """df as a written table: cuts lineage, and survives lost executors. dropped() removes it."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables whose last reader has been written."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], schema: str, rows: int = 512) -> DataFrame:
@@ -57,7 +77,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], sch
         for batch in batches:
             for part in _slices(batch, rows):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], [n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([_array(out[n], t) for n, t in fields], [n for n, _ in fields])
 
     return df.mapInArrow(run, target)
 
@@ -84,6 +104,10 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+def _array(values: Any, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def _arrow_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import staged
+from obsengine.llm.common import dropped, staged
 
 MOST_ROUNDS = 100
 
@@ -38,7 +38,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     now = staged(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u != v"), name)
     before = None
     for _ in range(MOST_ROUNDS):
-        now = staged(_hang(_hang(now, True), False), name)
+        last, now = now, staged(_hang(_hang(now, True), False), name)
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

@@ -7,19 +7,23 @@ BANDS bands of ROWS minhashes (recall at a similarity of 0.8: 1 - (1 - 0.8 ** 4)
 whose exact Jaccard similarity then has to reach SIMILARITY. *Windows* find passages inside other text: a
 window is SPAN shingles from an anchor, and anchors are the smallest shingle hashes of every GAP in a row, so that
 they fall on the same places of a passage wherever it stands. Any passage of GAP + SPAN + 3 = 51 words that two
-documents share holds one whole window of both, whatever surrounds it; what is removed is then extended to both sides as far
-as its words are those of the kept occurrence (under GAP words, as more would hold another window). Windows have one band, their whole
-content: at their size a single changed word already takes the similarity below 0.8.
+documents share holds one whole window of both, whatever surrounds it. Windows have one band, their whole content: at
+their size a single changed word already takes the similarity below 0.8. Windows that continue each other in both documents are
+one passage. Passages at the ends of what is removed have their words compared (128 bits) and are extended as far as their
+words are those of the kept occurrence (under GAP words, as more would hold another window); what has LEAST words or more goes.
 
 Equal paragraphs are one class from the start. In a band's bucket each class is first compared with the bucket's
-smallest and largest, which joins most of a hot bucket in linear time; then the classes of a bucket that are still in
-several clusters are compared with each other, so that no link is lost. Classes similar by any chain of
-links are one cluster (connected components). Of each cluster that occurs in several documents the
-occurrence with the smallest (doc_id, place) stays and the others are removed; removals that touch are one span.
+smallest and largest, which joins most of a hot bucket in linear time. Of the classes of a bucket that are still in
+several clusters, those of different clusters are compared that share one of their rarest shingles: sets of n and of no more
+than n shingles that have a similarity of 0.8 share one of the (n - ceil(4n / 5) + 1) and (m - ceil(8m / 9) + 1) rarest
+(prefix filter), and their sketches of 256 bits differ in no more bits than the sets in shingles, so that no link of a bucket is lost. Classes similar by any chain of links are one cluster (connected
+components). Of each cluster that occurs in several documents the
+occurrence with the smallest (doc_id, version, place) stays and the others are removed; removals that touch are one span.
 
 Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Defined cases: null and empty texts have no
-paragraphs; rows with a null id are left alone; rows that share an id count as one document, so repeating a row
-removes nothing, and windows are not extended where such rows differ; within ties the smallest place stays; an empty table gives an empty result.
+paragraphs; rows with a null id are left alone; rows that share an id and a text count as one document, so repeating a row
+removes nothing; rows that share an id only are documents of their own, told apart by `version`, 31 bits of the text's hash;
+within ties the smallest place stays; an empty table gives an empty result. Classes are named by 64 bits of their words' hash.
 """
 
 from __future__ import annotations
@@ -27,20 +31,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import map_rows, staged
+from obsengine.llm.common import dropped, map_rows, staged
 from obsengine.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-GAP, SPAN = 20, 28
+GAP, SPAN, LEAST = 32, 16, 32
 LINE_WORDS, BANDS, ROWS = 20, 10, 4
 LONG_WORDS, JOIN = 50, 30
 CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
-PARAGRAPHS = "doc_id long, start int, words int, content binary, bands array<long>, shingles binary"
-ANSWERS = "doc_id long, start int, words int, node long, shingles binary, before array<long>, after array<long>"
+FEW = 32
+SKETCH = ("s0", "s1", "s2", "s3")
+PARAGRAPHS = "doc_id long, version int, start int, words int, node long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+ANSWERS = "doc_id long, version int, start int, words int, node long, shingles binary, content binary, before binary, after binary"
+DOCUMENT = ("doc_id", "version")
 
 
 class WordHashes(dict):
@@ -87,17 +94,14 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(np.maximum, padded, GAP) == h)
 
 
-def windows(h: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Starts of windows and their contents, 128 bits each."""
+def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows and their contents' hashes."""
     at = anchors(h)
     at = at[at + SPAN <= len(h)]
-    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    total = np.zeros(len(at), np.uint64)
     for k in range(SPAN):
-        x = h[at + k]
-        one = one * M + x
-        two = (two ^ x) * np.uint64(0xD6E8FEB86659FD93) + (x >> np.uint64(17))
-    data = np.stack([_mix(one), _mix(two)], 1).tobytes()
-    return at, [data[i : i + 16] for i in range(0, len(data), 16)]
+        total = total * M + h[at + k]
+    return at, _mix(total)
 
 
 def bands_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -138,57 +142,130 @@ def joined_parts(h: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def node_of(words: list[bytes]) -> int:
+    x = xxhash.xxh64_intdigest(b" ".join(words), 3)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def content_of(words: list[bytes]) -> bytes:
     return xxhash.xxh128_digest(b" ".join(words), 3)
 
 
 def shingle_set(h: np.ndarray) -> bytes:
-    return np.unique(h >> np.uint64(32)).astype("<u4").tobytes()
+    return np.unique(h).astype("<u8").tobytes()
+
 
+def sizes_and_sketches(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets, whose shingles stand one after the other: the numbers of different shingles and (sets, 4) words of sketches.
 
-def paragraphs(texts: list[str | None], sets: bool = True) -> list[tuple[int, int, int, bytes, list[int] | None, bytes | None]]:
-    """(text's place in the list, first word, words, content, bands, shingles) for every paragraph of the texts."""
-    out, lines, parts = [], [], []
+    A sketch has 256 bits, each telling whether an odd number of the set's shingles falls on it.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[fresh], owner[fresh]
+    odd = np.bincount(owner * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
+    return np.bincount(owner, minlength=len(sizes)), np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view("<i8")
+
+
+def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
+    """Columns of the texts' paragraphs: the text's place in the list, first word, words, node; for lines n, sketch and bands too."""
+    places, starts, sizes, nodes, lines, parts = [], [], [], [], [], []
     for i, text in enumerate(texts):
         by_line = [x.split() for x in (text or "").encode().lower().split(b"\n")]
         words = [w for x in by_line for w in x]
+        if len(words) < LINE_WORDS:
+            continue
         h = shingle_hashes(words)
         at, contents = windows(h)
-        out += [(i, s, SPAN + SHINGLE - 1, c, None, None) for s, c in zip(at.tolist(), contents)]
+        places.append(np.full(len(at), i))
+        starts.append(at)
+        nodes.append(contents)
         counts = [len(x) for x in by_line]
         ends = np.cumsum(counts).tolist()
         spans = {(end - n, end) for n, end in zip(counts, ends)}
         spans.update(part for run in short_runs(counts) for part in joined_parts(h, *run))
         for first, end in sorted(spans):
             if end - first >= LINE_WORDS:
-                lines.append((i, first, end - first, content_of(words[first:end])))
+                lines.append((i, first, end - first, node_of(words[first:end])))
                 parts.append(h[first : end - SHINGLE + 1])
-    if lines:
-        sizes = np.array([len(p) for p in parts])
-        keys = bands_of(np.concatenate(parts), np.cumsum(sizes) - sizes).tolist()
-        out += [(*line, k, shingle_set(p) if sets else None) for line, k, p in zip(lines, keys, parts)]
-    return out
+    n = sum(map(len, starts))
+    i, first, size, node = (np.array(x, np.int64) for x in zip(*lines)) if lines else [np.empty(0, np.int64)] * 4
+    lengths, h = np.array([len(p) for p in parts], np.int64), np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    keys = bands_of(h, np.cumsum(lengths) - lengths) if parts else np.empty((0, BANDS), np.int64)
+    sets, sketches = sizes_and_sketches(h, lengths) if parts else (np.empty(0, np.int64), np.empty((0, len(SKETCH)), np.int64))
+    offsets = np.concatenate([np.zeros(n, np.int32), np.arange(len(lines) + 1, dtype=np.int32) * BANDS])
+    of_window = np.arange(n + len(lines)) < n
+
+    def lines_only(values: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(n, np.int64), values]), mask=of_window)
+
+    return [
+        np.concatenate([*places, i]).astype(np.int64),
+        np.concatenate([*starts, first]).astype(np.int32),
+        np.concatenate([np.full(n, SPAN + SHINGLE - 1), size]).astype(np.int32),
+        np.concatenate([*(x.view(np.int64) for x in nodes), node]),
+        lines_only(sets),
+        *(lines_only(sketches[:, k]) for k in range(len(SKETCH))),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(of_window)),
+    ]
+
+
+def version_of(text: Column) -> Column:
+    """What tells apart texts that share an id."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
-def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sets: bool = True) -> DataFrame:
-    """PARAGRAPHS of all texts, as a written table; the shingles only with `sets`."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter("doc_id IS NOT NULL")
+def documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, version, text) of the rows with an id."""
+    text = F.col(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), version_of(text).alias("version"), text.alias("text")).filter("doc_id IS NOT NULL")
+
+
+def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """PARAGRAPHS of all texts, as a written table."""
+    names = [f.split()[0] for f in PARAGRAPHS.split(", ")]
 
     def run(part: dict[str, list]) -> dict[str, list]:
-        found = paragraphs(part["text"], sets)
-        columns = list(zip(*found)) if found else [()] * 6
-        names = ("start", "words", "content", "bands", "shingles")
-        return {"doc_id": [part["doc_id"][i] for i in columns[0]]} | dict(zip(names, columns[1:]))
+        place, *others = paragraphs(part["text"])
+        ids, versions = np.array(part["doc_id"], np.int64), np.array(part["version"], np.int32)
+        return dict(zip(names, (ids[place], versions[place], *others)))
+
+    return staged(map_rows(documents(docs, id_column, text_column), run, PARAGRAPHS, 128), "paragraphs")
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, low, high, size): the nodes of buckets that hold several, with the bucket's smallest and largest, as a written table."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    edges = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
+    edges = staged(edges, "line-buckets")
+    members = staged(keyed.join(edges, "key"), "line-members")
+    dropped(edges)
+    return members
+
 
-    return staged(map_rows(rows, run, PARAGRAPHS, 128), "paragraphs")
+def may_be_similar(u: str = "_u", v: str = "_v") -> str:
+    """SQL: neither the sizes nor the sketches of two sets rule out the similarity."""
+    unlike = " + ".join(f"bit_count({x}{u} ^ {x}{v})" for x in SKETCH)
+    return f"5 * least(n{u}, n{v}) >= 4 * greatest(n{u}, n{v}) AND 9 * ({unlike}) <= n{u} + n{v}"
 
 
-def bucket_members(lines: DataFrame) -> DataFrame:
-    """(key, node, low, high): the nodes of buckets that hold several, with the bucket's smallest and largest."""
-    keyed = lines.select(F.xxhash64("content").alias("node"), F.explode("bands").alias("key")).distinct()  # copies of a line are one
-    keyed = staged(keyed, "line-bands")
-    edges = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return staged(keyed.join(staged(edges, "line-buckets"), "key"), "line-members")
+def _of(side: str, nodes: DataFrame, *more: str) -> DataFrame:
+    """Columns of nodes, named for one side of a pair."""
+    return nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *SKETCH)), *more)
+
+
+def first_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v), as a written table: the pairs of a bucket that may be similar; of a large bucket those with its ends."""
+    small = staged(members.filter(F.col("size") <= FEW).select("key", "node").join(nodes.drop("bands"), "node"), "line-small")
+    met = _of("u", small, "key").join(_of("v", small, "key"), "key").filter("u < v").filter(may_be_similar()).select("u", "v")
+    ends = staged(bucket_ends(members.filter(F.col("size") > FEW)), "line-ends")
+    ends = ends.join(_of("u", nodes), "u").join(_of("v", nodes), "v").filter(may_be_similar()).select("u", "v")
+    pairs = staged(met.union(ends).distinct(), "line-pairs")
+    dropped(small)
+    return pairs
 
 
 def bucket_ends(members: DataFrame) -> DataFrame:
@@ -197,21 +274,55 @@ def bucket_ends(members: DataFrame) -> DataFrame:
     return ends.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).filter("u < v").distinct()
 
 
-def still_apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): all pairs of a bucket whose nodes aren't in one cluster yet. A bucket's largest cluster isn't paired with itself."""
-    found = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    found = staged(found, "line-roots")
-    sizes = found.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
-    found = staged(found.join(staged(mixed.select("key", "largest"), "line-mixed"), "key"), "line-apart")
-    small = found.filter("root != largest").select("key", F.col("node").alias("u"), F.col("root").alias("root_u"))
-    pairs = small.join(found.select("key", F.col("node").alias("v"), F.col("root").alias("root_v")), "key").filter("root_u != root_v")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def still_apart(keyed: DataFrame, roots: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the pairs of a bucket that are in different clusters and share one of their first shingles, as a written table.
+
+    keyed: (key, node, low, high). A bucket's largest cluster meets its other nodes only.
+    """
+    found = staged(keyed.join(roots, "node", "left").select(keyed["*"], F.coalesce("root", "node").alias("root")), "line-roots")
+    sizes = found.groupBy("key", "root").agg(F.count("*").alias("often"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("often", "root"))["root"].alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = staged(mixed.select("key", "largest"), "line-mixed")
+    apart = staged(found.join(mixed, "key").selectExpr("key", "node", "low", "high", "root", "root = largest AS large"), "line-apart")
+    tokens = staged(first_shingles(apart, sets, nodes), "line-tokens")
+    more = ("key", "token", "root", "large", "at")
+    wide, narrow = _of("u", tokens, *more), _of("v", tokens.filter("at < n - (8 * n + 8) div 9 + 1"), *more)
+    for c in more[2:]:
+        wide, narrow = wide.withColumnRenamed(c, f"{c}_u"), narrow.withColumnRenamed(c, f"{c}_v")
+    met = wide.join(narrow.filter("NOT large_v"), ["key", "token"]).union(wide.filter("NOT large_u").join(narrow.filter("large_v"), ["key", "token"]))
+    enough = "9 * least(n_u - at_u, n_v - at_v) >= 4 * (n_u + n_v)"  # what the first common shingle leaves, itself included
+    pairs = met.filter(f"root_u != root_v AND n_v <= n_u AND {enough}").filter(may_be_similar())
+    pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
+    dropped(found, mixed, apart, tokens)
+    return pairs
+
+
+def first_shingles(apart: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """apart with n, sketch, and a row (at, token) for each of a node's first shingles, as many as a prefix needs."""
+    for end in ("low", "high"):
+        apart = apart.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
+    rows = apart.join(nodes.select("node", "n", *SKETCH), "node").join(sets, "node")
+    names = ["key", "node", "root", "large", "n", *SKETCH]
+
+    def run(batches):
+        for batch in batches:
+            sides = [[np.frombuffer(x, "<u8") for x in batch.column(len(names) + i).to_pylist()] for i in range(3)]
+            firsts = []
+            for own, low, high in zip(*sides):
+                common = np.isin(own, low) | np.isin(own, high)
+                firsts.append(np.concatenate([own[~common], own[common]])[: len(own) - (4 * len(own) + 4) // 5 + 1])
+            sizes = np.array([len(x) for x in firsts], np.int64)
+            part = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            at = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes
+            token = np.concatenate(firsts).view(np.int64) if len(sizes) else sizes
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(token, pa.int64())], [*names, "at", "token"])
+
+    schema = "key long, node long, root long, large boolean, n int, s0 long, s1 long, s2 long, s3 long, at int, token long"
+    return rows.select(*names, "shingles", "low_shingles", "high_shingles").mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of lines, named by their contents' hashes, that have a Jaccard similarity of SIMILARITY."""
-    pairs = staged(pairs, "line-pairs")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
 
@@ -224,131 +335,163 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
-def asked_lines(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id, start, words, node): one occurrence of each node of members."""
-    firsts = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.min(F.struct("doc_id", "start", "words")).alias("first"))
-    return firsts.join(members.select("node").distinct(), "node", "left_semi").select("first.*", "node")
+def asked_lines(lines: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, version, start, words, node): one occurrence of each node of the pairs and of large buckets."""
+    wanted = members.filter(F.col("size") > FEW).select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select(*DOCUMENT, "start", "words", "node")
 
 
 def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """ANSWERS to (doc_id, start, words, node), as a written table, from one join with the texts.
+    """ANSWERS to (doc_id, version, start, words, node), as a written table, from one join with the texts.
 
-    Lines, which have a node, get their shingles. Spans, which have none, get the hashes of the GAP - 1 words before,
-    nearest first, and after. Of rows that share an id those answer that have the node's content there. What is
-    asked of one document is no more than the paragraphs it has.
+    Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and the
+    hashes of the GAP - 1 words before, nearest first, and after. What is asked of one document is no more than
+    the paragraphs it has.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    by_doc = asked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
+    by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
 
     def run(part: dict[str, list]) -> dict[str, list]:
         out = []
-        for doc, text, questions in zip(part["doc_id"], part["text"], part["asked"]):
+        for doc, version, text, questions in zip(part["doc_id"], part["version"], part["text"], part["asked"]):
             words = (text or "").encode().lower().split()
             for q in questions:
                 first, end, node = q["start"], q["start"] + q["words"], q["node"]
+                place = (doc, version, first, q["words"], node)
                 if node is None:
-                    out.append((doc, first, q["words"], None, None, hashes_of(words[max(0, first - GAP + 1) : first][::-1]), hashes_of(words[end : end + GAP - 1])))
-                elif node_of(words[first:end]) == node:
-                    out.append((doc, first, q["words"], node, shingle_set(shingle_hashes(words[first:end])), None, None))
+                    out.append((*place, None, content_of(words[first:end]), hashes_of(words[max(0, first - GAP + 1) : first][::-1]), hashes_of(words[end : end + GAP - 1])))
+                else:
+                    out.append((*place, shingle_set(shingle_hashes(words[first:end])), None, None, None))
         names = [f.split()[0] for f in ANSWERS.split(", ")]
         return dict(zip(names, zip(*out) if out else [()] * len(names)))
 
-    return staged(map_rows(rows.join(by_doc, "doc_id"), run, ANSWERS, 64), "answers")
+    return staged(map_rows(documents(docs, id_column, text_column).join(by_doc, list(DOCUMENT)), run, ANSWERS, 64), "answers")
 
 
-def hashes_of(words: list[bytes]) -> list[int]:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)).view(np.int64).tolist()
+def hashes_of(words: list[bytes]) -> bytes:
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)).tobytes()
 
 
-def node_of(words: list[bytes]) -> int:
-    """What Spark's xxhash64 gives for the words' content."""
-    x = xxhash.xxh64_intdigest(content_of(words), 42)
-    return x - (1 << 64) if x >> 63 else x
-
+def clustered(members: DataFrame, pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the components of all links between lines that share a band.
 
-def line_clusters(lines: DataFrame) -> DataFrame:
-    """clustered() for lines that come with their shingles."""
-    sets = lines.groupBy(F.xxhash64("content").alias("node")).agg(F.first("shingles").alias("shingles"))
-    return clustered(bucket_members(lines), staged(sets, "line-shingles"))
-
-
-def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root): the components of all links between lines that share a band. sets: (node, shingles) of all members.
-
-    First each line meets its buckets' ends, which joins most of a hot bucket with few pairs; then whatever is still
-    in several clusters of one bucket is compared, so that no link is lost.
+    pairs: first_pairs(); sets: (node, shingles) of the pairs and of large buckets.
     """
-    links = staged(verified(bucket_ends(members), sets), "line-links")
-    rest = verified(still_apart(members.select("node", "key"), components(links, "lines-by-ends")), sets)
-    return components(links.union(rest), "lines")
+    stars = components(verified(pairs, sets), "lines-by-pairs")
+    rest = still_apart(members.filter(F.col("size") > FEW).drop("size"), stars, sets, nodes)
+    return components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(rest, sets)), "lines")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common)
 
 
-def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
-    """The occurrences of clusters in several documents, without each cluster's first and what overlaps it in its document.
+def _repeats(occurrences: DataFrame, cluster: str) -> DataFrame:
+    """The occurrences of clusters in several documents, as a written table.
 
-    Clusters are written before the join, and callers write its result before going on: Spark splits a hot cluster
-    only in a join of two plain shuffles that is a stage of its own.
+    Clusters are written before a join, and so is its result: Spark splits a hot cluster only in a join of two plain
+    shuffles that is a stage of its own.
     """
-    place = F.struct("doc_id", "start", (-F.col("words")).alias("less"))
-    clusters = occurrences.groupBy(cluster).agg(F.min(place).alias("kept"), F.max("doc_id").alias("last")).filter("kept.doc_id < last")
-    clusters = staged(clusters, "clusters")
-    others = "doc_id != kept.doc_id OR start >= kept.start - kept.less OR start + words <= kept.start"
-    return occurrences.join(clusters, cluster).filter(others).select(
-        "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")
+    least = [f(c).alias(f"{n}_{c}") for c in DOCUMENT for n, f in (("low", F.min), ("high", F.max))]
+    several = occurrences.groupBy(cluster).agg(*least).filter("low_doc_id < high_doc_id OR low_version < high_version").select(cluster)
+    several = staged(several, "clusters")
+    found = staged(occurrences.join(several, cluster), "repeats")
+    dropped(several)
+    return found
+
+
+def _removals(occurrences: DataFrame, cluster: str) -> DataFrame:
+    """The occurrences of clusters in several documents, without each cluster's first and what overlaps it in its document, as a written table."""
+    found = _repeats(occurrences, cluster)
+    place = F.struct(*DOCUMENT, "start", (-F.col("words")).alias("less"))
+    kept = staged(found.groupBy(cluster).agg(F.min(place).alias("kept")), "kept")
+    others = "doc_id != kept.doc_id OR version != kept.version OR start >= kept.start - kept.less OR start + words <= kept.start"
+    out = found.join(kept, cluster).filter(others).select(
+        *DOCUMENT, "start", (F.col("start") + F.col("words")).alias("end"), *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in (*DOCUMENT, "start"))
     )
+    out = staged(out, "removals")
+    dropped(found, kept)
+    return out
 
 
 def aligned(removals: DataFrame) -> DataFrame:
-    """(doc_id, start, words, kept_doc_id, kept_start): windows that overlap, and do so in the kept document too, as one span."""
+    """(document, start, words, kept document, kept_start): windows that overlap, and do so in the kept document too, as one span."""
     shifted = removals.withColumn("shift", F.col("start") - F.col("kept_start"))
-    spans = numbered_spans(shifted, "doc_id", "kept_doc_id", "shift").groupBy("doc_id", "kept_doc_id", "shift", "span")
+    keys = (*DOCUMENT, "kept_doc_id", "kept_version", "shift")
+    spans = numbered_spans(shifted, *keys).groupBy(*keys, "span")
     spans = spans.agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("words"))
-    return spans.select("doc_id", "start", "words", "kept_doc_id", (F.col("start") - F.col("shift")).alias("kept_start"))
+    return spans.select(*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", (F.col("start") - F.col("shift")).alias("kept_start"))
+
+
+def at_ends(spans: DataFrame) -> DataFrame:
+    """spans with `edge`: whether one could outgrow what it makes together with those that it overlaps or touches."""
+    placed = numbered_spans(spans.withColumn("end", F.col("start") + F.col("words")), *DOCUMENT)
+    block = Window.partitionBy(*DOCUMENT, "span")
+    edge = (F.col("start") - F.min("start").over(block) < GAP) | (F.max("end").over(block) - F.col("end") < GAP)
+    return placed.withColumn("edge", edge).select(*spans.columns, "edge")
 
 
 def asked_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, start, words, node) of the spans and what they repeat."""
-    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), "words")
-    return spans.select("doc_id", "start", "words").union(kept).distinct().withColumn("node", F.lit(None).cast("long"))
+    """(doc_id, version, start, words, node) of the spans and what they repeat."""
+    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_version").alias("version"), F.col("kept_start").alias("start"), "words")
+    return spans.select(*DOCUMENT, "start", "words").union(kept).distinct().withColumn("node", F.lit(None).cast("long"))
 
 
-def extended(spans: DataFrame, told: DataFrame) -> DataFrame:
-    """Removals (doc_id, start, end, kept_doc_id): the spans with the words to both sides that the kept occurrence has too.
+def extended(spans: DataFrame, around: DataFrame) -> DataFrame:
+    """Removals (document, start, end, kept_doc_id): the spans with the words to both sides that the kept occurrence has too.
 
-    In the kept document itself a span does not grow into the kept occurrence.
+    In the kept document itself a span does not grow into the kept occurrence. Spans whose own words are not the kept ones
+    (windows are joined by 64 bits) are none.
     """
-    around = told.filter("node IS NULL").groupBy("doc_id", "start", "words").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("low", F.min), ("high", F.max))))
-    around = staged(around.filter("low_before = high_before AND low_after = high_after").selectExpr("doc_id", "start", "words", "low_before AS before", "low_after AS after"), "contexts")
-    kept = around.toDF("kept_doc_id", "kept_start", "words", "kept_before", "kept_after")
-    found = staged(spans.join(around, ["doc_id", "start", "words"], "left"), "spans-own")
-    found = staged(found.join(kept, ["kept_doc_id", "kept_start", "words"], "left"), "spans-both")
-    for side in ("before", "after"):
-        same = f"zip_with({side}, kept_{side}, (x, y) -> coalesce(x = y, false))"
-        found = found.withColumn(side, F.expr(f"coalesce(if(array_contains({same}, false), int(array_position({same}, false)) - 1, size({same})), 0)"))
-        found = found.withColumn(side, F.greatest(side, F.lit(0)))
-    room = "if(doc_id = kept_doc_id, greatest(0, start - kept_start - words - after), before)"
-    return found.selectExpr("doc_id", f"start - least(before, {room}) AS start", "start + words + after AS end", "kept_doc_id")
+    place, kept_place = [*DOCUMENT, "start", "words"], ["kept_doc_id", "kept_version", "kept_start", "words"]
+    kept = around.toDF(*kept_place, "kept_content", "kept_before", "kept_after")
+    both = spans.join(around, place).join(kept, kept_place).filter("content = kept_content")
+    names = [*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", "kept_start"]
+
+    def run(batches):
+        for batch in batches:
+            one, two, far_one, far_two = (batch.column(len(names) + i).to_pylist() for i in range(4))
+            grown = [pa.array(_common(x, y), pa.int32()) for x, y in ((one, far_one), (two, far_two))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *grown], [*names, "before", "after"])
+
+    fields = ", ".join(f"{n} {'long' if n.endswith('id') else 'int'}" for n in [*names, "before", "after"])
+    found = both.select(*names, "before", "after", "kept_before", "kept_after").mapInArrow(run, fields)
+    room = "if(doc_id = kept_doc_id AND version = kept_version, greatest(0, start - kept_start - words - after), before)"
+    return found.selectExpr(*DOCUMENT, f"start - least(before, {room}) AS start", "start + words + after AS end", "kept_doc_id")
+
+
+def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How many of the first hashes are the same, for each pair."""
+    x, y = (np.frombuffer(b"".join(h.ljust(8 * GAP, fill) for h in side), "<u8").reshape(-1, GAP) for side, fill in ((one, b"\0"), (two, b"\1")))
+    return np.logical_and.accumulate(x == y, axis=1).sum(1, dtype=np.int32)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, start_word, n_words, kept_doc_id): what to remove of each document; the smallest document that keeps it."""
-    table = paragraph_table(docs, id_column, text_column, False)
-    found = table.filter("bands IS NULL").select("doc_id", "start", "words", "content")
+    """(doc_id, start_word, n_words, kept_doc_id, version): what to remove of each document; the smallest document that keeps it."""
+    table = paragraph_table(docs, id_column, text_column)
+    found = _removals(table.filter("bands IS NULL").drop("bands"), "node")
+    spans = staged(at_ends(aligned(found)), "window-spans")
     lines = table.filter("bands IS NOT NULL")
-    members = bucket_members(lines)
-    spans = staged(aligned(staged(_removals(found, "content"), "window-removals")), "window-spans")
-    told = answers(asked_lines(lines, members).union(asked_spans(spans)), docs, id_column, text_column)
-    sets = told.filter("node IS NOT NULL").select("node", "shingles").dropDuplicates(["node"])
-    roots = clustered(members, staged(sets, "line-shingles"))
-    nodes = lines.select("doc_id", "start", "words", F.xxhash64("content").alias("node"))
-    occurrences = nodes.join(roots, "node", "left").select("doc_id", "start", "words", F.coalesce("root", "node").alias("cluster"))
-    removed = extended(spans, told).union(staged(_removals(occurrences, "cluster").drop("kept_start"), "line-removals"))
+    nodes = staged(lines.select("node", "n", *SKETCH, "bands").dropDuplicates(["node"]), "line-nodes")  # copies of a line are one
+    lines = staged(lines.select(*DOCUMENT, "start", "words", "node"), "lines")
+    dropped(found, table)
+    members = bucket_members(nodes)
+    pairs = first_pairs(members, nodes)
+    told = answers(asked_lines(lines, members, pairs).union(asked_spans(spans.filter("edge"))), docs, id_column, text_column)
+    sets = staged(told.filter("node IS NOT NULL").select("node", "shingles").dropDuplicates(["node"]), "line-shingles")
+    place = [*DOCUMENT, "start", "words"]
+    around = staged(told.filter("node IS NULL").select(*place, "content", "before", "after").dropDuplicates(place), "contexts")
+    dropped(told)
+    roots = clustered(members, pairs, sets, nodes)
+    occurrences = lines.join(roots, "node", "left").select(*DOCUMENT, "start", "words", F.coalesce("root", "node").alias("cluster"))
+    occurrences = staged(occurrences, "line-clusters")
+    inner = spans.filter("NOT edge").select(*DOCUMENT, "start", (F.col("start") + F.col("words")).alias("end"), "kept_doc_id")
+    whole = _removals(occurrences, "cluster")
+    passages = merged(staged(extended(spans.filter("edge"), around).union(inner), "passages")).filter(f"n_words >= {LEAST}")
+    passages = passages.selectExpr(*DOCUMENT, "start_word AS start", "start_word + n_words AS end", "kept_doc_id")
+    removed = staged(passages.union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")
+    dropped(whole, spans, around, lines, nodes, members, pairs, sets, occurrences)
     return merged(removed)
 
 
@@ -361,10 +504,10 @@ def numbered_spans(removed: DataFrame, *keys: str) -> DataFrame:
 
 
 def merged(removed: DataFrame) -> DataFrame:
-    """Removals (doc_id, start, end, kept_doc_id) that overlap or touch, as one span."""
-    return numbered_spans(removed, "doc_id").groupBy("doc_id", "span").agg(
+    """Removals (document, start, end, kept_doc_id) that overlap or touch, as one span."""
+    return numbered_spans(removed, *DOCUMENT).groupBy(*DOCUMENT, "span").agg(
         F.min("start").alias("start_word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id")
-    ).drop("span")
+    ).select("doc_id", "start_word", "n_words", "kept_doc_id", "version")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]] | None) -> str | None:
@@ -388,9 +531,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """docs, all columns, their texts without the repeated spans."""
     names, at, key = docs.columns, docs.columns.index(text_column), docs.columns.index(id_column)
     spans = repeated_spans(docs, id_column, text_column)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    joined = numbered.join(by_doc, numbered[f"c{key}"].cast("long") == F.col("_id"), "left").drop("_id")
+    same = (numbered[f"c{key}"].cast("long") == F.col("_id")) & (version_of(numbered[f"c{at}"]) == F.col("_version"))
+    joined = numbered.join(by_doc, same, "left").drop("_id", "_version")
     target = numbered.schema
 
     def run(batches):

@@ -26,7 +26,7 @@ def test_anchors_are_the_minima_of_every_gap():
 def test_any_51_words_that_two_texts_share_hold_a_common_window():
     for _ in range(60):
         passage = some(51)
-        found = [set(sd.windows(sd.shingle_hashes([w.encode() for w in some(RNG.randint(0, 40)) + passage + some(RNG.randint(0, 40))]))[1]) for _ in range(2)]
+        found = [set(sd.windows(sd.shingle_hashes([w.encode() for w in some(RNG.randint(0, 40)) + passage + some(RNG.randint(0, 40))]))[1].tolist()) for _ in range(2)]
         assert found[0] & found[1]
 
 
@@ -95,13 +95,19 @@ def test_no_link_between_lines_of_a_bucket_is_lost(spark):
     lines = []
     for _ in range(6):
         base = some(100)
-        for _ in range(25):
+        for _ in range(90):
             line = base.copy()
-            for at in RNG.sample(range(100), RNG.choice((1, 2, 5, 9))):
+            for at in RNG.sample(range(100), RNG.choice((1, 1, 2, 2, 5, 9))):
                 line[at] = f"new{RNG.randrange(10**6)}"
             lines.append(" ".join(line))
     table = sd.paragraph_table(frame(spark, list(enumerate(lines)))).filter("bands IS NOT NULL")
-    rows = table.selectExpr("xxhash64(content) AS node", "bands", "shingles").collect()
+    nodes = table.drop("doc_id", "version", "start", "words").dropDuplicates(["node"])
+    members = sd.bucket_members(nodes)
+    pairs = sd.first_pairs(members, nodes)
+    told = sd.answers(table.select(*sd.DOCUMENT, "start", "words", "node"), frame(spark, list(enumerate(lines)))).dropDuplicates(["node"])
+    shingles = {r.node: r.shingles for r in told.collect()}
+    rows = nodes.select("node", "bands").collect()
+    assert members.filter(f"size > {sd.FEW}").count() > 0
     root = {r.node: r.node for r in rows}
 
     def top(x):
@@ -111,11 +117,11 @@ def test_no_link_between_lines_of_a_bucket_is_lost(spark):
 
     for i, a in enumerate(rows):
         for b in rows[:i]:
-            if set(a.bands) & set(b.bands) and sd.jaccard(a.shingles, b.shingles) >= sd.SIMILARITY:
+            if set(a.bands) & set(b.bands) and sd.jaccard(shingles[a.node], shingles[b.node]) >= sd.SIMILARITY:
                 low, high = sorted((top(a.node), top(b.node)))
                 root[high] = low
     want = {n: top(n) for n in root}
-    got = {r.node: r.root for r in sd.line_clusters(table).collect()}
+    got = {r.node: r.root for r in sd.clustered(members, pairs, told.select("node", "shingles"), nodes).collect()}
     assert {n: got.get(n, n) for n in want} == want and len(set(want.values())) < len(want)
 
 
@@ -160,7 +166,7 @@ def test_joined_lines_end_at_the_same_places_whatever_surrounds_and_breaks_them(
 def test_similar_paragraphs_that_overlap_in_the_kept_document_stay(spark):
     text = " ".join(some(5)) + "\n" + " ".join(some(45))
     got = sd.repeated_spans(frame(spark, [(1, text), (2, text)])).collect()
-    assert [tuple(r) for r in got] == [(2, 0, 50, 1)]
+    assert [tuple(r)[:4] for r in got] == [(2, 0, 50, 1)]
 
 
 def test_removed_passages_end_where_they_were_planted(spark):
@@ -174,11 +180,51 @@ def test_removed_passages_end_where_they_were_planted(spark):
             want.append((i, at + (at > 0), len(p), i % 3))
     rows += [(7, "another text")]
     got = sorted((r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in sd.repeated_spans(frame(spark, rows)).collect())
-    assert [r for r in got if r[0] != 7] == [r for r in want if r[0] != 7] and [r for r in got if r[0] == 7]
+    assert got == want
 
 
 def test_a_span_does_not_grow_into_the_kept_occurrence(spark):
     text = " ".join(some(3) * 60)
     got = sd.repeated_spans(frame(spark, [(1, text), (2, text)])).collect()
     spans = {r.doc_id: (r.start_word, r.n_words) for r in got}
-    assert spans[2] == (0, 180) and spans.get(1, (32, 0))[0] >= 32
+    assert spans[2] == (0, 180) and spans.get(1, (180, 0))[0] >= sd.SPAN + sd.SHINGLE - 1
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    passage, other = " ".join(some(80)), " ".join(some(120))
+    rows = [(1, passage), (2, passage), (2, other), (2, other), (3, other + " " + passage)]
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in sd.repeated_spans(frame(spark, rows)).collect())
+    assert got == [(2, 0, 80, 1), (3, 0, 200, 1)]
+    texts = sorted((r.doc_id, r.text) for r in sd.without_repeats(frame(spark, rows)).collect())
+    assert texts == [(1, passage), (2, ""), (2, other), (2, other), (3, "")]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    for n in (1, 5, 40, 900):
+        x = RNG.sample(range(1 << 40), n)
+        y = x[: RNG.randint(0, n)] + RNG.sample(range(1 << 40), 3)
+        h = [np.array(z + z[:2], np.uint64) for z in (x, y)]
+        sizes, sketches = sd.sizes_and_sketches(np.concatenate(h), np.array([len(z) for z in h]))
+        one, two = sketches.view(np.uint64).tolist()
+        assert sizes.tolist() == [len(set(x)), len(set(y))]
+        assert sum((a ^ b).bit_count() for a, b in zip(one, two)) <= len(set(x) ^ set(y))
+
+
+def test_recall_over_all_pairs_of_lines_of_3_to_500_words(spark):
+    """Against every pair of documents of one line: those with a Jaccard similarity of 0.8 or more, whether or not they share a bucket."""
+    lines = []
+    for _ in range(60):
+        base = some(RNG.choice((3, 8, 20, 25, 40, 60, 120, 500)))
+        lines.append(base)
+        for _ in range(4):
+            near = base.copy()
+            for at in RNG.sample(range(len(base)), max(1, len(base) // 50)):
+                near[at] = f"new{RNG.randrange(10**6)}"
+            lines.append(near)
+    sets = [set(zip(*(x[i:] for i in range(5)))) for x in lines]
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if len(lines[j]) >= sd.LINE_WORDS and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = {r.doc_id for r in sd.repeated_spans(frame(spark, [(i, " ".join(x)) for i, x in enumerate(lines)])).filter("start_word = 0").collect()}
+    want = {j for _, j in near}
+    assert len(want) > 60 and len(got & want) >= 0.98 * len(want)
+    shared = {j for j in got if any(len(sets[i] & sets[j]) for i in range(len(lines)) if i < j)}
+    assert got == shared  # a line with nothing in common with another stays
