@@ -37,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The last place where a word ends whatever follows: before white space, or where letters or numbers end.
 LAST_END = regex.compile(r"(?r)(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 RUNS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
-SLICE = 1 << 15
+SLICE = 1 << 12
 CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 
@@ -242,8 +242,6 @@ def encode_slices(slices: Iterable[str], codec: Merges) -> Iterator[bytes]:
 def encode(text: str | None, codec: Merges) -> bytes:
     """Ids as packed little-endian unsigned 32-bit integers."""
     text = text or ""
-    if len(text) <= SLICE and not (codec.splits and codec.splits.search(text)):
-        return b"".join(map(codec.__getitem__, codec.words.findall(text)))
     return b"".join(encode_slices((text[i : i + SLICE] for i in range(0, len(text), SLICE)), codec))
 
 

@@ -5,8 +5,8 @@ permuted (rotated) by its place; a text's vector bundles (adds) those of its tri
 bundles its training texts. A text has the language whose prototype is closest by cosine, and its score is that
 language's share of a softmax over the cosines.
 
-Text vectors of a slice of rows are one product of matrices, trigram counts times trigram vectors, over the
-trigrams that the slice has. All entries are whole numbers, so results don't depend on how rows are dealt out.
+Text vectors of a slice of rows are products of matrices, trigram counts times trigram vectors, over the
+trigrams that the slice has, a block of them at a time. All entries are whole numbers, so results don't depend on how rows are dealt out.
 
 Defined cases: text that is null or has no letter is `und` with score 0, as is every text if nothing was
 learned; null languages are not learned from; equal cosines go to the first language in order; repeated rows
@@ -29,6 +29,7 @@ DIMENSIONS, SEED = 1024, 20240607
 BUCKETS = 512  # letters up to U+017F have their own, the others share the rest; 0 is whatever is no letter
 OWN = 0x180
 SHARPNESS = 20.0
+PART, BLOCK = 1 << 20, 1 << 13  # letters and different trigrams at a time
 LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -48,36 +49,49 @@ def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.roll(at_last, 2, axis=1), np.roll(at_last, 1, axis=1), at_last
 
 
-def trigrams(texts: list[str], groups: list[int], n_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n_groups, t) counts of trigrams over each group's texts, and those t trigrams' vectors.
+def bundles(texts: list[str], groups: list[int], n_groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n_groups, DIMENSIONS) bundles of the trigrams of each group's texts, and how many trigrams each has.
 
-    A trigram is three letters in a row or two at a word's start or end.
+    A trigram is three letters in a row or two at a word's start or end. Letters are taken in parts, and trigrams' vectors
+    made in blocks, so that memory does not grow with the number of different trigrams.
     """
     lowered = [f" {t.lower()} " for t in texts]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), "<u4")
-    codes = letter_codes()[points]
-    group = np.repeat(np.array(groups, np.int64), [len(t) for t in lowered])
-    text = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
+    codes = letter_codes()[np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), "<u4")]
+    sizes = [len(t) for t in lowered]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     kept = (codes > 0) | np.concatenate([[True], (codes[:-1] > 0) | (text[1:] != text[:-1])])
-    codes, group, text = codes[kept], group[kept], text[kept]
+    codes, text = codes[kept], text[kept]
+    group_of = np.array(groups, np.int64)
     used = np.flatnonzero(np.bincount(codes, minlength=BUCKETS))
     small = np.zeros(BUCKETS, np.int64)
     small[used] = np.arange(len(used))
-    c = small[codes]
-    real = (codes[1:-1] > 0) & (text[:-2] == text[2:])
-    keys = ((c[:-2] * len(used) + c[1:-1]) * len(used) + c[2:])[real]
+    out, many = np.zeros((n_groups, DIMENSIONS)), np.zeros(n_groups, np.int64)
+    for first in range(0, max(0, len(codes) - 2), PART):
+        c, owner = small[codes[first : first + PART + 2]], text[first : first + PART + 2]
+        real = (codes[first + 1 : first + len(c) - 1] > 0) & (owner[:-2] == owner[2:])
+        keys = ((c[:-2] * len(used) + c[1:-1]) * len(used) + c[2:])[real]
+        _bundle(keys, group_of[owner[1:-1][real]], used, out, many)
+    return out, many
+
+
+def _bundle(keys: np.ndarray, group: np.ndarray, used: np.ndarray, out: np.ndarray, many: np.ndarray) -> None:
+    """Adds the trigrams `keys` of the groups to their bundles, a block of different trigrams at a time."""
+    n = max(1, len(used))
     if len(used) <= 96:  # few enough for a table by key, which is faster than sorting
         there = np.flatnonzero(np.bincount(keys, minlength=1))
-        place = np.zeros(len(used) ** 3 + 1, np.int32)
+        place = np.zeros(n**3 + 1, np.int32)
         place[there] = np.arange(len(there))
         at = place[keys]
     else:
         there, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(group[1:-1][real] * len(there) + at, minlength=n_groups * len(there))
     first, second, third = letter_vectors()
-    n = max(1, len(used))
-    vectors = first[used[there // (n * n)]] * second[used[there // n % n]] * third[used[there % n]]
-    return counts.reshape(n_groups, len(there)).astype(np.float32), vectors
+    for begin in range(0, len(there), BLOCK):
+        block = there[begin : begin + BLOCK]
+        mine = (at >= begin) & (at < begin + BLOCK) if len(there) > BLOCK else slice(None)
+        counts = np.bincount(group[mine] * len(block) + at[mine] - begin, minlength=len(out) * len(block)).reshape(len(out), -1)
+        vectors = first[used[block // (n * n)]] * second[used[block // n % n]] * third[used[block % n]]
+        out += counts.astype(np.float32) @ vectors
+        many += counts.sum(1)
 
 
 def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict[str, np.ndarray]:
@@ -91,8 +105,8 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
                 part = batch.slice(at, 256)
                 langs = part.column(1).to_pylist()
                 names = sorted(set(langs))
-                counts, vectors = trigrams(part.column(0).to_pylist(), [names.index(x) for x in langs], len(names))
-                for name, total in zip(names, counts @ vectors):
+                sums, _ = bundles(part.column(0).to_pylist(), [names.index(x) for x in langs], len(names))
+                for name, total in zip(names, sums):
                     totals[name] = totals.get(name, 0) + total.astype(np.int64)
         for name, total in totals.items():
             yield pa.RecordBatch.from_arrays(
@@ -114,12 +128,11 @@ def compare(texts: list[str | None], names: list[str], prototypes: np.ndarray) -
     """Each text's language and score; prototypes are rows of length one."""
     if not names:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    counts, vectors = trigrams([t or "" for t in texts], list(range(len(texts))), len(texts))
-    bundles = (counts @ vectors).astype(np.float64)
-    size = np.sqrt((bundles * bundles).sum(1, keepdims=True))
-    cosines = np.round(bundles @ prototypes.T / np.maximum(size, 1e-12), 9)
+    found, many = bundles([t or "" for t in texts], list(range(len(texts))), len(texts))
+    size = np.sqrt((found * found).sum(1, keepdims=True))
+    cosines = np.round(found @ prototypes.T / np.maximum(size, 1e-12), 9)
     odds = np.exp(SHARPNESS * (cosines - cosines.max(1, keepdims=True)))
-    best, known = cosines.argmax(1), counts.any(axis=1)
+    best, known = cosines.argmax(1), many > 0
     score = np.where(known, np.round(odds[np.arange(len(texts)), best] / odds.sum(1), 6), 0.0)
     return [names[b] if k else UNKNOWN for b, k in zip(best, known)], score
 

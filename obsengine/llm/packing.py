@@ -32,6 +32,7 @@ from obsengine.llm.common import map_rows, require_small, staged
 
 ROUNDS, STEP, SLACK, RATE = 600, 0.1, 0.001, 0.05
 CONFIGURATIONS = 1_000_000
+LONG_TEXT = 1 << 15
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -150,7 +151,7 @@ def tokenizer(path: str) -> tiktoken.Encoding:
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Long texts go through the streaming encoder, which needs no more than its window."""
-    if text and len(text) > bpe.SLICE:
+    if text and len(text) > LONG_TEXT:
         return np.frombuffer(bpe.encode(text, bpe.merges(path)), "<u4")
     return tokenizer(path).encode_to_numpy(text or "", allowed_special="all").astype("<u4")
 

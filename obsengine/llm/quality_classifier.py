@@ -21,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ STATISTICS = (
     "stops", "commas", "shouts", "bars",
 )
 FEATURES, BANDWIDTH, RIDGE, SEED = 192, 3.0, 1e-4, 11
+SUMS, SUMMERS = "part long, total binary", 64
 BIN = 1000
 THRESHOLD = 0.7
 DIGITS = b"0123456789"
@@ -86,17 +88,18 @@ def normal_equations(labelled: DataFrame, mean: np.ndarray, deviation: np.ndarra
             if batch.num_rows:
                 z = fourier(np.array(batch.column(0).to_pylist()), mean, deviation)
                 total += z.T @ np.column_stack([z, batch.column(1).to_numpy()])
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total.tolist())], ["at", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()])], ["part", "total"])
 
-    def add(table: pa.Table) -> pa.Table:
-        parts = np.array(table.column("row").to_pylist())
-        return pa.table({"at": table.column("at")[:1].cast(pa.int32()), "row": pa.array([parts.sum(0).tolist()])})
+    def add(batches):
+        total = np.zeros((width, width + 1))
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                total += np.frombuffer(data).reshape(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()])], ["part", "total"])
 
-    sums = labelled.select("x", "label").mapInArrow(run, "at int, row array<double>")
-    rows = sums.groupBy("at").applyInArrow(add, "at int, row array<double>").collect()  # as many as there are features
-    total = np.zeros((width, width + 1))
-    for r in rows:
-        total[r["at"]] = r["row"]
+    sums = labelled.select("x", "label").mapInArrow(run, SUMS)
+    sums = sums.repartition(SUMMERS, "part").mapInArrow(add, SUMS)  # a tree: no task adds more than its share of the tasks' sums
+    total = np.frombuffer(sums.repartition(1).mapInArrow(add, SUMS).first()["total"]).reshape(width, width + 1)
     return total[:, :-1], total[:, -1]
 
 

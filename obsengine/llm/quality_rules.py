@@ -125,6 +125,8 @@ def ablations(entries: DataFrame, version: str) -> DataFrame:
     )
 
 
+_POLICY = ", ".join(f"('{r}', {mask((r,))})" for r in POLICIES["v2"])
+
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -145,3 +147,9 @@ b AS (SELECT *, ({" + ".join(f"({sql})::BIGINT * {1 << i}" for i, sql in enumera
 SELECT *, (failures & {mask(BASE)}) <> 0 AS base_failed,
        (failures & {mask(BASE) | mask(POLICIES["v2"])}) = 0 AS kept
 FROM b"""
+ABLATIONS_SQL = f"""
+SELECT rule, count(*) FILTER (WHERE (failures & bit) <> 0)::BIGINT AS n_failed,
+       count(*) FILTER (WHERE (failures & {mask(POLICIES["v2"])}) = bit)::BIGINT AS n_only,
+       count(*) FILTER (WHERE (failures & {mask(POLICIES["v2"])}) = 0)::BIGINT AS n_kept,
+       count(*) FILTER (WHERE (failures & {mask(POLICIES["v2"])} & ~bit) = 0)::BIGINT AS n_kept_without
+FROM ({ORACLE_SQL}) AS judged CROSS JOIN (VALUES {_POLICY}) AS r(rule, bit) GROUP BY rule"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from obsengine.llm import bpe, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
-from obsengine.llm.common import table
+from obsengine.llm.common import staged, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,7 +48,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+    entries = staged(quality_rules.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    return quality_rules.apply_policy(entries, "v2")
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = staged(quality_rules.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    return quality_rules.ablations(entries, "v2")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +74,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "pipeline": pipeline,
 }
 #: DuckDB has no base-32: the digest's bits are taken in fives.
@@ -83,4 +90,5 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes,
 ORACLE_SQL = {
     "op1_warc": WARC_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
 }

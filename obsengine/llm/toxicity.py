@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import crc_mod, filter_rows, map_rows, staged
+from obsengine.llm.common import crc_mod, filter_rows, map_rows, require_small, staged
 
 TERMS = re.compile(r"[^\W\d_]+")
 STEM = 4
 BUCKETS = 1 << 22
 SAMPLE = 20_000
+BROADCAST = 200_000  # drawn labels, of 12 bytes each
 FACTORS, EPOCHS, BATCH, RATE = 4, 30, 128, 0.1
 PENALTY, EVIDENCE, TERMS_KEPT = 1e-4, 3.5, 1 << 15
 THRESHOLD = 0.5
@@ -129,13 +130,17 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", folds
     )
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.filter((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share)  # about `sample` rows: small enough to broadcast
+    drawn = staged(drawn.distinct(), "toxicity-labels")
+    require_small(drawn.count(), BROADCAST, "drawn labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
 
     def featurize(part: dict[str, list]) -> dict[str, list]:
         return {"label": part["label"], "terms": [terms_of(t).tobytes() for t in part["text"]]}
 
     rows = map_rows(texts.select("label", "text"), featurize, "label int, terms binary")
-    staged_rows = staged(rows, "toxicity-sample")
+    staged_rows = staged(rows.distinct(), "toxicity-sample")  # repeated rows are one
+    kept = min(1.0, 2 * sample / max(1, staged_rows.count()))  # under 1 only where ids have many different texts
+    staged_rows = staged_rows.filter((F.xxhash64("label", "terms") / 2.0**64 + 0.5) < kept)
 
     def train(batches):
         held_rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]

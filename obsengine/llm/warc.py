@@ -34,9 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import staged, staging_path
+from obsengine.llm.common import require_small, staged, staging_path
 
 BLOCK = 256
+SHARD_ROWS, SHARDS = 1 << 13, 10_000  # captures in an index shard, unless that makes too many shards
 ARCHIVE_BYTES = 256 << 20
 FETCH_BYTES = 8 << 20  # what a task reads, about
 LEVEL = 5
@@ -153,7 +154,8 @@ def _order(key: str, page_id: int | None) -> tuple:
 
 def write_index(captures: DataFrame, path: str) -> list[tuple[tuple, str]]:
     """Writes sorted shards under path, each a file of compressed blocks and one of its directory; returns their first keys."""
-    rows = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    n = min(SHARDS, 1 + captures.count() // SHARD_ROWS)
+    rows = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(path)
@@ -185,7 +187,9 @@ def write_index(captures: DataFrame, path: str) -> list[tuple[tuple, str]]:
             yield _batch([(*first, name)], "key string, page_id long, shard string")
 
     shards = staged(rows.mapInArrow(run, "key string, page_id long, shard string"), "index-shards")
-    return sorted((_order(r.key, r.page_id), r.shard) for r in shards.collect())  # one row for each index file
+    found = shards.limit(2 * SHARDS + 1).collect()  # one row for each index file
+    require_small(len(found), 2 * SHARDS, "index shards")
+    return sorted((_order(r.key, r.page_id), r.shard) for r in found)
 
 
 class Index:

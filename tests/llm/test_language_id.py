@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -22,12 +23,30 @@ TEXTS = ["", "a", "  12 !!", "Straße und  Öl", "日本語 текст mixed", "
 
 
 def test_bundles_match_the_definition():
-    counts, vectors = li.trigrams(TEXTS, list(range(len(TEXTS))), len(TEXTS))
-    assert ((counts @ vectors) == np.array([one_by_one(t) for t in TEXTS])).all()
-    assert (counts.sum(1) > 0).tolist() == [any(c.isalpha() for c in t) for t in TEXTS]
+    found, many = li.bundles(TEXTS, list(range(len(TEXTS))), len(TEXTS))
+    assert (found == np.array([one_by_one(t) for t in TEXTS])).all()
+    assert (many > 0).tolist() == [any(c.isalpha() for c in t) for t in TEXTS]
     wide = ["".join(map(chr, range(0x100, 0x250)))]
-    counts, vectors = li.trigrams(wide, [0], 1)
-    assert ((counts @ vectors)[0] == one_by_one(wide[0])).all()
+    assert (li.bundles(wide, [0], 1)[0][0] == one_by_one(wide[0])).all()
+
+
+def test_parts_and_blocks_change_nothing(monkeypatch):
+    texts = [*TEXTS, "".join(random.Random(3).choices("abcdefghijklmnop ", k=3000))]
+    whole = li.bundles(texts, list(range(len(texts))), len(texts))
+    monkeypatch.setattr(li, "PART", 100)
+    monkeypatch.setattr(li, "BLOCK", 7)
+    parts = li.bundles(texts, list(range(len(texts))), len(texts))
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_a_long_text_of_many_trigrams_takes_bounded_memory():
+    text = "".join(map(chr, np.random.default_rng(5).integers(0x4E00, 0x9FA0, 2_700_000).tolist()))  # 8 MB
+    li.bundles(["a"], [0], 1)
+    tracemalloc.start()
+    _, many = li.bundles([text], [0], 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many[0] == len(text) and peak < 1 << 29
 
 
 def corpus(n):
