@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words that retrieval ignores. Fixed values.
 STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with",
+    "a", "an", "and", "are", "as", "be", "by", "for", "from", "in", "is", "it", "near", "of", "or", "so", "that", "the", "to", "where", "with",
 )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +12,49 @@ from obsengine.functions import text as t
 from obsengine.operators.retrieval import grounded
 
 #: Phrases that ask for a verdict of law, terms that name a rule, and words of regulations. Fixed values.
-LEGAL = ("illegal", "liable", "lawsuit", "negligent", "guilty", "violate the law", "break the law", "sue ")
+LEGAL = (
+    "is this legal", "is this illegal", "legally compliant", "compliance decision", "are they liable", "who is liable", "legal liability",
+    "certify compliance",
+)
 RULE_TERMS = {
-    "R1": ("helmet", "hard hat"),
-    "R2": ("vest", "visibility"),
-    "R3": ("zone", "restricted"),
-    "R4": ("machine", "vehicle", "near"),
-    "R5": ("edge", "fall"),
+    "R1": ("r1", "helmet", "head", "hardhat"),
+    "R2": ("r2", "vest", "hi-vis", "visibility", "hiviz"),
+    "R3": ("r3", "restricted", "zone"),
+    "R4": ("r4", "machine", "machinery", "plant", "excavator", "near"),
+    "R5": ("r5", "edge", "fall", "height"),
+}
+REGULATION = ("regulation", "clause", "bocw", "law", "requirement", "require", "rule say", "rules say", "what does the rule")
+
+#: What a generated wording may not say, and what it has to. Fixed values.
+CITATION = r"(?i)(§|\b(rule|rules|act|bocw|section|clause|regulation)\b|\bIS\s*\d+)"
+VERDICT = r"(?i)\b(compliant|non-compliant|violation|violates|illegal|unlawful|required by law|liable|penalty|must legally|breach)\b"
+AUTHORITY = r"\b(R[1-5]|severity|high severity|medium severity)\b"
+TRACK = r"(?i)\b(?:person|vehicle|worker)-\d+\b"
+FAR = r"(?i)\b(far|distant|remote|safe distance away|well clear)\b"
+CLAIMS = {
+    "machinery": ("excavator", "crane", "truck", "loader", "roller", "bulldozer", "forklift", "lorry", "digger"),
+    "protective item": ("harness", "goggles", "gloves", "boots", "respirator", "glasses", "earplugs", "scaffold"),
+    "harm": ("injur", "accident", "fatal", "crush", "collision", "collide", "hurt", "died"),
+    "environment": ("rain", "wet", "night", "dark", "wind", "storm", "slippery"),
+}
+CONCEPTS = {
+    "helmet": ("helmet", "hard hat", "hardhat", "head protection", "headwear"),
+    "vest": ("vest", "hi-vis", "high-visibility", "reflective", "high visibility"),
+    "zone_access": ("zone", "area", "region", "authoris", "authoriz", "permit", "access", "allowed"),
+    "machinery_separation": ("clear", "away", "separat", "distance", "gap", "reach", "apart", "path"),
+    "edge_protection": ("edge", "guardrail", "rail", "barrier", "protect", "fall", "drop"),
 }
-REGULATION = ("regulation", "clause", "standard", "rule says", "require")
+UNSAYING = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the",
+    "this", "to", "was", "were", "while", "with", "worker", "workers", "seen", "seems", "appears", "appear", "visible",
+)
 
 
 def incident_query(df: DataFrame) -> Column:
     """The incident's fields as a query text; missing and empty ones are dropped."""
-    fields = ("rule_id", "reason_code", "severity", "object_id", "relative_band", "canonical_track_id", "status")
-    return F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in fields if c in df.columns))
+    fields = [F.col(c) for c in ("rule_id", "reason_code", "basis", "severity", "observation_text", "action_text") if c in df.columns]
+    fields += [F.array_join("references", " ")] if "references" in df.columns else []
+    return F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in fields))
 
 
 def routed(question: Column) -> Column:
@@ -80,25 +111,36 @@ def context(incidents: DataFrame, most: int = 5) -> DataFrame:
     return joined.select("run_id", F.concat_ws("\n", F.format_string("%d incidents", "n"), lines).alias("context"))
 
 
-def gated(requests: DataFrame, raw: Column, subject: Column, band: Column, numbers: Column) -> DataFrame:
-    """requests with `failed`: gates that a generated wording (JSON with two strings) doesn't pass, and `text`, the
-    wording if it passes all, else the request's own template."""
-    parsed = F.from_json(raw, "summary string, action string")
-    keys = F.array_sort(F.json_object_keys(raw))
-    shape = F.coalesce(keys != F.array(F.lit("action"), F.lit("summary")), F.lit(True)) | parsed["summary"].isNull() | parsed["action"].isNull()
+def gated(requests: DataFrame, raw: Column, source: Column, condition: Column, action: Column, band: Column) -> DataFrame:
+    """requests with `failed`, the gates that a generated wording doesn't pass, and `text`, the wording, or the request's own template.
+
+    raw is JSON with two strings, in a code fence or not; source: all that the request says; condition: what was observed;
+    action: the code of the action, one of CONCEPTS; band: near or null. What isn't of that form fails `schema` alone.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*|\s*```$", ""))
+    parsed = F.from_json(bare, "reasoning string, recommended_wording string")
+    keys = F.array_sort(F.json_object_keys(bare))
+    fine = F.coalesce(keys == F.array(F.lit("reasoning"), F.lit("recommended_wording")), F.lit(False))
+    fine = fine & parsed["reasoning"].isNotNull() & parsed["recommended_wording"].isNotNull()
     words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    body = F.coalesce(F.concat_ws(" ", parsed["summary"], parsed["action"]), F.lit(""))
-    found = F.regexp_extract_all(body, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    opposite = F.when(band == "near", body.rlike("(?i)far (from|away)|at a safe distance")).otherwise(F.lit(False))
+    body = F.concat_ws(" ", parsed["reasoning"], parsed["recommended_wording"])
+    said, given = F.lower(body), F.lower(F.coalesce(source, F.lit("")))
+    found = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    number = r"\d+(?:\.\d+)?"
+    content = lambda c: t.without(F.transform(found(c, r"[A-Za-z][A-Za-z\-']*"), lambda w: F.btrim(F.lower(w), F.lit("'-"))), UNSAYING)
+    new = lambda term: F.contains(said, F.lit(term)) & ~F.contains(given, F.lit(term))
+    concept = F.coalesce(*(F.when(action == code, t.mentions(body, terms)) for code, terms in CONCEPTS.items()), F.lit(False))
     gates = {
-        "schema": shape,
-        "length": ~shape & ~(words(parsed["summary"]).between(8, 60) & words(parsed["action"]).between(4, 35)),
-        "citation": body.rlike(r"(?i)§|\bsection \d|\bcfr\b"),
-        "verdict": body.rlike("(?i)illegal|violation of law|liable"),
-        "authority": body.rlike(r"\b(OSHA|HSE|EU-OSHA)\b"),
-        "numbers": F.size(F.array_except(found, numbers)) > 0,
-        "subject": ~shape & (F.size(F.array_intersect(t.tokens(body), t.tokens(subject))) == 0),
-        "band": opposite,
+        "length": ~(words(parsed["reasoning"]).between(8, 60) & words(parsed["recommended_wording"]).between(4, 35)),
+        "citation": body.rlike(CITATION),
+        "verdict": body.rlike(VERDICT),
+        "authority": body.rlike(AUTHORITY),
+        "numbers": F.size(F.array_except(found(body, number), found(given, number))) > 0,
+        "entities": F.exists(found(body, TRACK), lambda x: ~F.contains(given, F.lower(x))),
+        **{f"claims:{kind}": reduce(or_, map(new, terms)) for kind, terms in CLAIMS.items()},
+        "action": ~concept,
+        "observation": F.size(F.array_intersect(content(parsed["reasoning"]), content(F.coalesce(condition, F.lit(""))))) == 0,
+        "band": band.isNotNull() & body.rlike(FAR),
     }
-    failed = t.failures(gates)
+    failed = F.when(fine, t.failures(gates)).otherwise(F.array(F.lit("schema")))
     return requests.withColumn("failed", failed).withColumn("text", F.when(F.size("failed") == 0, body).otherwise(F.col("template")))

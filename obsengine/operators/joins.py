@@ -50,7 +50,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: s
     distance = F.abs(F.col(left_time) - F.col(right_time))
     best = pairs.groupBy("_row").agg(F.min_by(F.struct(*values), F.struct(distance, -F.col(right_time), -F.col(right_id))).alias("_best"))
     matched = best.select("_row.*", *(F.col(f"_best.{c}").alias(c) for c in values))
-    return left.join(matched, list(left.columns), "left")
+    same = [left[c].eqNullSafe(matched[c]) for c in left.columns]  # null columns match too
+    return left.join(matched, same, "left").select(*(left[c] for c in left.columns), *values)
 
 
 def active_at(moments: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, start: str, end: Column, step: float) -> DataFrame:

@@ -142,7 +142,7 @@ def restricted_zone(obs: DataFrame, runs: DataFrame, scenes: DataFrame, zones: D
 def proximity(
     obs: DataFrame, runs: DataFrame, planes: DataFrame, intervals: DataFrame, states: DataFrame, s: Settings = Settings()
 ) -> tuple[DataFrame, DataFrame]:
-    """R4. planes (run_id, unstable, ready); intervals (run, shot, frame, track, object_id, lower, upper) from
+    """R4. planes (run_id, unstable, ready, inlier_ratio); intervals (run, shot, frame, track, object_id, lower, upper) from
     ground.distance_intervals; states (run, shot, frame, object_id, operating_state), unknown where missing."""
     workers = people(obs).select(*FRAME, "canonical_track_id", "video_time_s")
     machines = vehicles(obs).select(*FRAME, F.col("canonical_track_id").alias("object_id"))
@@ -153,13 +153,18 @@ def proximity(
     close = banded.filter(F.col("lower").isNotNull() & ~F.col("band").isin("clear", "caution"))
     alerts = close.filter("operating_state = 'active' AND band = 'near'")
     keys = [*TRACK, "object_id"]
-    found = _debounced(alerts, keys, s.place_debounce).filter(F.col("span") >= s.place_debounce).withColumn("confidence", F.lit(0.95))
+    lasting = lambda df, by: _debounced(df, by, s.place_debounce).filter(F.col("span") >= s.place_debounce)
+    found = lasting(alerts, keys).join(planes.select("run_id", F.col("inlier_ratio").alias("confidence")), "run_id", "left")
+    reason = F.when(F.col("operating_state") == "unknown", "operating_state_unknown").when(F.col("band") == "indeterminate", "inconclusive_distance")
+    doubts = lasting(close.withColumn("reason", reason).filter("reason IS NOT NULL"), [*keys, "reason"])
+    by_reason = doubts.groupBy("run_id", "reason").agg(F.count("*").alias("n"))  # the most frequent counts, an unknown state on ties
+    doubts = by_reason.groupBy("run_id").agg(F.max_by("reason", F.struct("n", "reason")).alias("doubt"))
     facts = (
         runs.join(planes, "run_id", "left")
         .join(vehicles(obs).groupBy("run_id").agg(F.count("*").alias("machines")), "run_id", "left")
         .join(banded.groupBy("run_id").agg(F.count("*").alias("pairs"), F.count("lower").alias("measured")), "run_id", "left")
         .join(found.groupBy("run_id").agg(F.count("*").alias("alerts")), "run_id", "left")
-        .join(close.groupBy("run_id").agg(F.bool_or(F.col("operating_state") == "unknown").alias("idle"), F.bool_or(F.col("band") == "indeterminate").alias("vague")), "run_id", "left")
+        .join(doubts, "run_id", "left")
     )
     coverage = _coverage(runs, "R4", facts, [
         (F.col("unstable"), "unsupported", "geometry_unstable_for_feed"),
@@ -167,10 +172,10 @@ def proximity(
         (F.col("pairs").isNull(), "not_applicable", "no_worker_machinery_overlap"),
         (~F.coalesce("ready", F.lit(False)), "inconclusive", "relative_plane_unavailable"),
         (F.col("alerts") > 0, "alert", "active_machine_near_band"),
+        (F.col("doubt") == "operating_state_unknown", "inconclusive", "operating_state_unknown"),
+        (F.col("doubt") == "inconclusive_distance", "inconclusive", "inconclusive_distance"),
         (F.col("measured") == 0, "inconclusive", "target_plane_incompatible"),
-        (F.col("idle"), "inconclusive", "operating_state_unknown"),
-        (F.col("vague"), "inconclusive", "inconclusive_distance"),
-    ], ("clear", "workers_outside_near_band"))
+    ], ("clear", "outside_active_near_band"))
     found = found.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")
     return incidents(found, "R4", "active_machine_near_band", "high", s.place_debounce), coverage
 
@@ -180,7 +185,7 @@ def edge_blocker(drop: Column, visibility: Column, protection: Column) -> Column
     return (
         F.when(~drop.eqNullSafe(True), "edge_semantics_unknown")
         .when(~visibility.eqNullSafe("sufficient"), "protection_visibility_insufficient")
-        .when(protection.eqNullSafe("unguarded"), None)
+        .when(protection.eqNullSafe("unguarded_or_inadequate"), None)
         .when(protection.eqNullSafe("guarded"), "guarded")
         .otherwise("protection_state_unknown")
     )
@@ -191,17 +196,17 @@ def open_edge(obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFra
     seen = edges.filter("proposal_type = 'open_edge'").withColumn(
         "blocker", edge_blocker(F.col("visible_drop_or_open_side"), F.col("protection_visibility"), F.col("protection_state"))
     )
-    usable = seen.filter("blocker IS NULL").select("run_id", F.col("proposal_id").alias("object_id"), F.col("agreement_score").alias("confidence"))
+    usable = seen.filter("blocker IS NULL").select("run_id", F.col("proposal_id").alias("object_id"))
     rows = people(obs).select(*FRAME, "canonical_track_id", "video_time_s").join(intervals, [*FRAME, "canonical_track_id"])
     rows = rows.join(usable, ["run_id", "object_id"], "left_semi").withColumn("band", g.distance_band(F.col("lower"), F.col("upper"), s.edge, s.edge))
     keys = [*TRACK, "object_id"]
     lasting = lambda df: _debounced(df, keys, s.place_debounce).filter(F.col("span") >= s.place_debounce)
-    found = lasting(rows.filter("band = 'near'")).join(usable, ["run_id", "object_id"])
+    found = lasting(rows.filter("band = 'near'")).join(planes.select("run_id", F.col("inlier_ratio").alias("confidence")), "run_id", "left")
     vague = lasting(rows.filter("band = 'indeterminate'"))
     first = lambda b: F.bool_or(F.col("blocker") == b)
     facts = (
         runs.join(scenes.select("run_id", (F.col("scene_status") == "ok").alias("ok")), "run_id", "left").join(planes, "run_id", "left")
-        .join(seen.groupBy("run_id").agg(F.count("*").alias("edges"), F.count_if(F.col("blocker").isNull()).alias("open"), F.bool_and(F.coalesce(F.col("blocker") == "guarded", F.lit(False))).alias("guarded"), first("edge_semantics_unknown").alias("no_drop"), first("protection_visibility_insufficient").alias("no_view")), "run_id", "left")
+        .join(seen.groupBy("run_id").agg(F.count("*").alias("edges"), F.count_if(F.col("blocker").isNull()).alias("open"), F.bool_and(F.coalesce(F.col("blocker") == "guarded", F.lit(False))).alias("guarded"), first("edge_semantics_unknown").alias("no_drop"), first("protection_visibility_insufficient").alias("no_view"), first("protection_state_unknown").alias("no_state")), "run_id", "left")
         .join(people(obs).groupBy("run_id").agg(F.count("*").alias("rows")), "run_id", "left")
         .join(rows.groupBy("run_id").agg(F.count("lower").alias("measured")), "run_id", "left")
         .join(found.groupBy("run_id").agg(F.count("*").alias("alerts")), "run_id", "left")
@@ -221,6 +226,9 @@ def open_edge(obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFra
         (F.col("alerts") > 0, "alert", "visible_unguarded_edge"),
         (F.coalesce("measured", F.lit(0)) == 0, "inconclusive", "target_plane_incompatible"),
         (F.col("doubts") > 0, "inconclusive", "inconclusive_distance"),
+        (F.col("no_drop"), "inconclusive", "edge_semantics_unknown"),
+        (F.col("no_view"), "inconclusive", "protection_visibility_insufficient"),
+        (F.col("no_state"), "inconclusive", "protection_state_unknown"),
     ], ("clear", "guarded_or_outside_edge_band"))
     ready = found.join(scenes.filter("scene_status = 'ok'"), "run_id", "left_semi")
     ready = ready.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")

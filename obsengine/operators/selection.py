@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_GROUPS = 1_000_000  # of a grouped split, whose fold is one task's
-
-
 def budgeted(df: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int) -> DataFrame:
     """df with `rank` in the order and `reviewed` for the first `budget` of each key."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -24,23 +23,24 @@ def hash_order(value: Column, seed: int) -> Column:
 def grouped_split(df: DataFrame, group: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """(group, n, split): whole groups, in hash order, each to the split that is furthest below its share, the first on ties.
 
-    Sums of counts alone decide, so the fold runs over one row for each group, as an array of pairs.
+    Each choice depends on the counts so far, so the counted groups stream through one task, which keeps a sum for each split.
     """
-    names, total = list(ratios), sum(ratios.values())
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    packed = sizes.agg(F.array_sort(F.collect_list(F.struct(hash_order(F.col(group), seed).alias("h"), F.col(group).alias("g"), "n"))).alias("gs"), F.sum("n").alias("all"))
-    start = F.struct(F.array(*(F.lit(0.0) for _ in names)).alias("have"), F.expr(f"cast(array() as array<struct<g:{dict(sizes.dtypes)[group]},n:bigint,at:int>>)").alias("out"))
-
-    def step(state, g):
-        need = F.array(*(F.col("all") * (ratios[s] / total) - state["have"][i] for i, s in enumerate(names)))
-        at = (F.array_position(need, F.array_max(need)) - 1).cast("int")
-        have = F.transform(state["have"], lambda h, i: F.when(i == at, h + g["n"]).otherwise(h))
-        return F.struct(have.alias("have"), F.array_append(state["out"], F.struct(g["g"].alias("g"), g["n"].alias("n"), at.alias("at"))).alias("out"))
-
-    packed = packed.withColumn("gs", F.when(F.size("gs") > MOST_GROUPS, F.raise_error(F.lit(f"more than {MOST_GROUPS} groups"))).otherwise(F.col("gs")))
-    done = packed.select(F.explode(F.aggregate("gs", start, step, lambda s: s["out"])).alias("r"))
-    split = F.element_at(F.array(*map(F.lit, names)), F.col("r.at") + 1)
-    return done.select(F.col("r.g").alias(group), F.col("r.n").alias("n"), split.alias("split"))
+    names = list(ratios)
+    want = df.count() * np.array(list(ratios.values())) / sum(ratios.values())
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("_h", hash_order(F.col(group), seed))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = np.zeros(len(names))
+        for frame in frames:
+            splits = []
+            for n in frame["n"]:
+                at = int((want - have).argmax())
+                have[at] += n
+                splits.append(names[at])
+            yield frame[[group, "n"]].assign(split=splits)
+
+    kind = dict(sizes.dtypes)[group]
+    return sizes.repartition(1).sortWithinPartitions("_h").mapInPandas(fold, f"`{group}` {kind}, n long, split string")
 
 
 def first_copies(df: DataFrame, content: Column, order: Sequence[str]) -> DataFrame:

@@ -67,10 +67,6 @@ QUERIES = {
 }
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
-
-
 ORACLE_SQL = {
     "box_predicates": f"""WITH {BOXES} SELECT line, count(*) FILTER (y2 - y1 >= 40 AND (y2 - y1) / greatest(x2 - x1, 1e-6) >= 1.6) AS assessable,
 count(*) FILTER (y2 - y1 >= 40 AND x2 > x1 AND (y2 - y1) / nullif(x2 - x1, 0) >= 1.4 AND x1 > 3 AND y1 > 3 AND x2 < 1197 AND y2 < 897) AS pose,
@@ -95,6 +91,10 @@ b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id
 u AS (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 FROM b),
 f AS (SELECT lang, doc_id, sum(1.0 / (60 + r)) AS score, min(l) AS l, arg_min(r, l) AS r FROM u GROUP BY ALL)
 SELECT lang, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, l, r) AS rank FROM f QUALIFY rank <= 10""",
-    "regulation_router": f"""SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_question' WHEN {_any(answers.LEGAL)} THEN 'legal_verdict_request'
-WHEN {_any(answers.REGULATION)} THEN 'regulation' {" ".join(f"WHEN {_any(w)} THEN '{r}'" for r, w in answers.RULE_TERMS.items())} ELSE 'counts' END AS route FROM conversations""",
+    "regulation_router": """SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_question'
+WHEN regexp_matches(lower(text), 'is this legal|is this illegal|legally compliant|compliance decision|are they liable|who is liable|legal liability|certify compliance') THEN 'legal_verdict_request'
+WHEN regexp_matches(lower(text), 'regulation|clause|bocw|law|requirement|require|rule say|rules say|what does the rule') THEN 'regulation'
+WHEN regexp_matches(lower(text), 'r1|helmet|head|hardhat') THEN 'R1' WHEN regexp_matches(lower(text), 'r2|vest|hi-vis|visibility|hiviz') THEN 'R2'
+WHEN regexp_matches(lower(text), 'r3|restricted|zone') THEN 'R3' WHEN regexp_matches(lower(text), 'r4|machine|machinery|plant|excavator|near') THEN 'R4'
+WHEN regexp_matches(lower(text), 'r5|edge|fall|height') THEN 'R5' ELSE 'counts' END AS route FROM conversations""",
 }

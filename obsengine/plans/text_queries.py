@@ -109,7 +109,7 @@ QUERIES = {
     )
 }
 
-STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
+STOP = "'a', 'an', 'and', 'are', 'as', 'be', 'by', 'for', 'from', 'in', 'is', 'it', 'near', 'of', 'or', 'so', 'that', 'the', 'to', 'where', 'with'"
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TERMS = f"list_filter({TOKENS}, lambda w: w NOT IN ({STOP}))"
 TURNS = "c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"

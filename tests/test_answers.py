@@ -14,7 +14,7 @@ INCIDENT = "incident_id string, run_id string, rule_id string, canonical_track_i
 
 def test_answers(spark):
     asked = {
-        1: ("", "empty_question", None), 2: ("Is the company LIABLE?", "legal_verdict_request", None), 3: ("any helmet trouble?", "R1", "R1: 2 incidents, the first at 1.5 s"),
+        1: ("", "empty_question", None), 2: ("Who is LIABLE for it?", "legal_verdict_request", None), 3: ("any helmet trouble?", "R1", "R1: 2 incidents, the first at 1.5 s"),
         4: ("was the vest fine", "R2", "R2: clear, none"), 5: ("what does the clause on helmets say", "regulation", "c1: wear helmets"), 6: ("how many?", "counts", "R1: 2, R3: 1"), 7: (None, "empty_question", None),
     }
     q = spark.createDataFrame([(i, "r", a[0]) for i, a in asked.items()] + [(9, "other", "how many?")], "question_id int, run_id string, question string")
@@ -25,7 +25,8 @@ def test_answers(spark):
     assert got == {i: a[1:] for i, a in asked.items()} | {9: ("counts", "no incidents")}
     lines = answers.context(found, 2).first().context.split("\n")
     assert lines == ["3 incidents", "R1 t 1.5", "R1 t 9.0"]
-    assert found.select(answers.incident_query(found).alias("q")).first().q == "R1 t"
+    full = found.limit(1).selectExpr("*", "'why' AS reason_code", "'' AS basis", "'high' AS severity", "'seen' AS observation_text", "array('r1', 'r2') AS references")
+    assert full.select(answers.incident_query(full).alias("q")).first().q == "R1 why high seen r1 r2"
 
 
 def test_briefings(spark):
@@ -35,16 +36,20 @@ def test_briefings(spark):
 
 
 def test_wording_gates(spark):
-    good = {"summary": "A worker was seen without a helmet for 12 seconds near the gate", "action": "Please hand out a helmet now"}
+    good = {"reasoning": "A person was observed without a helmet for 12 seconds at the gate", "recommended_wording": "Please hand out a helmet now"}
+    say = lambda **more: json.dumps(good | more)
+    action = lambda text: say(recommended_wording=text)
     cases = {
-        "good": (json.dumps(good), []), "not json": ("nope", ["schema"]), "one key": (json.dumps({"summary": "x"}), ["schema"]), "null": (None, ["schema"]),
-        "number": (json.dumps(good | {"action": "Please hand out 99 helmets right now"}), ["numbers"]), "law": (json.dumps(good | {"action": "This is illegal so hand out helmets"}), ["verdict"]),
-        "far": (json.dumps(good | {"action": "The worker is far from the machine"}), ["band"]), "short": (json.dumps(good | {"action": "Stop"}), ["length"]),
+        "good": (say(), []), "fenced": (f"```json\n{say()}\n```", []), "not json": ("nope", ["schema"]), "one key": (json.dumps({"reasoning": "x"}), ["schema"]), "null": (None, ["schema"]),
+        "number": (action("Please hand out 99 helmets right now"), ["numbers"]), "law": (action("The helmet rule asks for it now"), ["citation"]), "verdict": (action("No helmet here is illegal now"), ["verdict"]),
+        "authority": (action("Helmet missing, high severity for now"), ["authority"]), "track": (action("Give person-7 a helmet right now"), ["numbers", "entities"]), "known": (action("Give person-12 a helmet right now"), []),
+        "claim": (action("Hand out a helmet near the crane"), ["claims:machinery"]), "concept": (say(reasoning="A person was observed with no cover on for 12 seconds", recommended_wording="Please look at this scene now"), ["action"]),
+        "other": (say(reasoning="Something else entirely was going on over there just now"), ["observation"]), "far": (action("A helmet, well clear of all"), ["band"]), "short": (action("Helmet"), ["length"]),
     }
-    df = spark.createDataFrame([(k, v[0], "worker helmet", "near", ["12"], "template") for k, v in cases.items()], "id string, raw string, subject string, band string, numbers array<string>, template string")
-    got = {r.id: r for r in answers.gated(df, F.col("raw"), F.col("subject"), F.col("band"), F.col("numbers")).collect()}
-    assert {k: [f for f in got[k].failed if f in v[1] or f != "subject"] for k, v in cases.items()} == {k: v[1] for k, v in cases.items()}
-    assert got["good"].text.startswith("A worker") and got["law"].text == "template"
+    df = spark.createDataFrame([(k, v[0], "person-12 no helmet 12 seconds near", "observed without helmet", "helmet", "near", "template") for k, v in cases.items()], "id string, raw string, source string, condition string, code string, band string, template string")
+    got = {r.id: r for r in answers.gated(df, *map(F.col, ("raw", "source", "condition", "code", "band"))).collect()}
+    assert {k: got[k].failed for k in cases} == {k: v[1] for k, v in cases.items()}
+    assert got["good"].text.startswith("A person") and got["law"].text == "template"
 
 
 def test_cache_and_seam(spark):

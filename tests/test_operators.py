@@ -118,6 +118,13 @@ def test_mmr_against_brute_force(spark):
         assert [got[q, k] for k in range(1, 6)] == picked
 
 
+def test_nearest_matches_rows_with_nulls(spark):
+    left = spark.createDataFrame([("k", 10, None), ("k", 20, "note"), (None, 10, None)], "k string, t int, note string")
+    right = spark.createDataFrame([("k", 11, 7)], "k string, u int, b int")
+    got = {(x.k, x.t): x.b for x in joins.nearest(left, right, ["k"], "t", "u", "b", 3).collect()}
+    assert got == {("k", 10): 7, ("k", 20): None, (None, 10): None}
+
+
 def test_grouped_split(spark):
     rows = [(f"g{i:02d}",) for i in range(40) for _ in range(10)]
     got = selection.grouped_split(spark.createDataFrame(rows, "g string"), "g", {"train": 0.7, "val": 0.15, "test": 0.15}, 42017).collect()

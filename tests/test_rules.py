@@ -89,9 +89,10 @@ def test_restricted_zone(spark, name):
 
 
 PLANE = (False, True)
+PLANE_ROWS = "run_id string, unstable boolean, ready boolean, inlier_ratio double"
 NEAR = {
     "alert": (PLANE, (0.2, 1.4), "active", True, ("alert", "active_machine_near_band")),
-    "far": (PLANE, (9.0, 9.5), "active", True, ("clear", "workers_outside_near_band")),
+    "far": (PLANE, (9.0, 9.5), "active", True, ("clear", "outside_active_near_band")),
     "idle": (PLANE, (0.2, 1.4), None, True, ("inconclusive", "operating_state_unknown")),
     "vague": (PLANE, (0.9, 2.2), "active", True, ("inconclusive", "inconclusive_distance")),
     "unstable": ((True, True), (0.2, 1.4), "active", True, ("unsupported", "geometry_unstable_for_feed")),
@@ -105,22 +106,31 @@ NEAR = {
 def test_proximity(spark, name):
     plane, (lower, upper), state, vehicle, want = NEAR[name]
     rows = [row(t) for t in STEPS] + [row(t, 50, "vehicle") for t in STEPS if vehicle]
-    planes = spark.createDataFrame([("r", *plane)], "run_id string, unstable boolean, ready boolean")
+    planes = spark.createDataFrame([("r", *plane, 0.81)], PLANE_ROWS)
     frames = [round(t * 10) for t in STEPS]
     intervals = spark.createDataFrame([("r", "s0", f, "s0/person-1", "s0/vehicle-50", lower, upper) for f in frames], INTERVALS)
     states = spark.createDataFrame([("r", "s0", f, "s0/vehicle-50", state) for f in frames if state], STATES)
     found, got = run_rule(spark, rules.proximity, rows, planes, intervals, states)
-    assert got == want and [f.object_id for f in found] == ["s0/vehicle-50"] * (want[0] == "alert")
+    assert got == want and [(f.object_id, f.confidence) for f in found] == [("s0/vehicle-50", 0.81)] * (want[0] == "alert")
+
+
+def test_doubts_of_proximity_have_to_last(spark):
+    rows = [row(t) for t in STEPS] + [row(t, 50, "vehicle") for t in STEPS]
+    planes = spark.createDataFrame([("r", False, True, 0.81)], PLANE_ROWS)
+    frames = [round(t * 10) for t in STEPS]
+    intervals = spark.createDataFrame([("r", "s0", f, "s0/person-1", "s0/vehicle-50", 0.2, 1.4) for f in frames], INTERVALS)
+    states = spark.createDataFrame([("r", "s0", f, "s0/vehicle-50", "idle" if f > frames[0] else "unknown") for f in frames], STATES)
+    assert run_rule(spark, rules.proximity, rows, planes, intervals, states) == ([], ("clear", "outside_active_near_band"))
 
 
 EDGE = {
-    "alert": ((True, "sufficient", "unguarded"), (0.0, 0.7), ("alert", "visible_unguarded_edge")),
-    "far": ((True, "sufficient", "unguarded"), (2.0, 3.0), ("clear", "guarded_or_outside_edge_band")),
-    "no drop": ((None, "sufficient", "unguarded"), (0.0, 0.7), ("inconclusive", "edge_semantics_unknown")),
-    "no view": ((True, "insufficient", "unguarded"), (0.0, 0.7), ("inconclusive", "protection_visibility_insufficient")),
+    "alert": ((True, "sufficient", "unguarded_or_inadequate"), (0.0, 0.7), ("alert", "visible_unguarded_edge")),
+    "far": ((True, "sufficient", "unguarded_or_inadequate"), (2.0, 3.0), ("clear", "guarded_or_outside_edge_band")),
+    "no drop": ((None, "sufficient", "unguarded_or_inadequate"), (0.0, 0.7), ("inconclusive", "edge_semantics_unknown")),
+    "no view": ((True, "insufficient", "unguarded_or_inadequate"), (0.0, 0.7), ("inconclusive", "protection_visibility_insufficient")),
     "unknown": ((True, "sufficient", None), (0.0, 0.7), ("inconclusive", "protection_state_unknown")),
     "guarded": ((True, "sufficient", "guarded"), (0.0, 0.7), ("clear", "guarded_or_outside_edge_band")),
-    "vague": ((True, "sufficient", "unguarded"), (0.5, 1.5), ("inconclusive", "inconclusive_distance")),
+    "vague": ((True, "sufficient", "unguarded_or_inadequate"), (0.5, 1.5), ("inconclusive", "inconclusive_distance")),
     "none": (None, (0.0, 0.7), ("not_applicable", "no_visible_open_edge_candidate")),
 }
 
@@ -130,17 +140,17 @@ def test_open_edge(spark, name):
     flags, (lower, upper), want = EDGE[name]
     scenes = spark.createDataFrame([("r", "ok")], "run_id string, scene_status string")
     edges = spark.createDataFrame([("r", "open_edge-1", "open_edge", "polyline", SQUARE[:2], *flags, 0.7, [1], 8)] if flags else [], schema.PROPOSALS)
-    planes = spark.createDataFrame([("r", False, True)], "run_id string, unstable boolean, ready boolean")
+    planes = spark.createDataFrame([("r", False, True, 0.81)], PLANE_ROWS)
     intervals = spark.createDataFrame([("r", "s0", round(t * 10), "s0/person-1", "open_edge-1", lower, upper) for t in STEPS], INTERVALS)
     found, got = run_rule(spark, rules.open_edge, [row(t) for t in STEPS], scenes, edges, planes, intervals)
-    assert got == want and len(found) == (want[0] == "alert")
+    assert got == want and [f.confidence for f in found] == [0.81] * (want[0] == "alert")
 
 
 def test_all_rules_cover_each_run(spark):
     obs = spark.createDataFrame([row(t, helmet="no_helmet") for t in STEPS], schema.OBSERVATIONS)
     runs = spark.createDataFrame([("r",), ("empty",)], "run_id string")
     none = lambda s: spark.createDataFrame([], s)
-    found, coverage = rules.all_rules(obs, runs, none("run_id string, scene_status string"), none(schema.PROPOSALS), none("run_id string, unstable boolean, ready boolean"), none(INTERVALS), none(INTERVALS), none(STATES))
+    found, coverage = rules.all_rules(obs, runs, none("run_id string, scene_status string"), none(schema.PROPOSALS), none(PLANE_ROWS), none(INTERVALS), none(INTERVALS), none(STATES))
     rows = coverage.collect()
     assert sorted((r.run_id, r.rule_id) for r in rows) == sorted(itertools.product(("r", "empty"), schema.DOMAINS["rule_id"]))
     assert all(r.status in schema.DOMAINS["status"] for r in rows) and [f.rule_id for f in found.collect()] == ["R1"]
