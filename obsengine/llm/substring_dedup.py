@@ -43,7 +43,7 @@ LINE_WORDS, BANDS, ROWS = 20, 10, 4
 LONG_WORDS, JOIN = 50, 30
 CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
-FEW = 32
+FEW, OWN_BITS = 32, 44
 SKETCH = ("s0", "s1", "s2", "s3")
 PARAGRAPHS = "doc_id long, version int, start int, words int, node long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 ANSWERS = "doc_id long, version int, start int, words int, node long, shingles binary, content binary, before binary, after binary"
@@ -158,14 +158,13 @@ def shingle_set(h: np.ndarray) -> bytes:
 def sizes_and_sketches(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sets, whose shingles stand one after the other: the numbers of different shingles and (sets, 4) words of sketches.
 
-    A sketch has 256 bits, each telling whether an odd number of the set's shingles falls on it.
+    A sketch has 256 bits, each telling whether an odd number of the set's shingles falls on it. Shingles are told apart
+    by OWN_BITS bits of their hashes here, under which a slice has room for 2 ** (64 - OWN_BITS) sets.
     """
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[fresh], owner[fresh]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    keys = np.sort(owner << np.uint64(OWN_BITS) | h & np.uint64((1 << OWN_BITS) - 1))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    h, owner = keys, (keys >> np.uint64(OWN_BITS)).astype(np.int64)
     odd = np.bincount(owner * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
     return np.bincount(owner, minlength=len(sizes)), np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view("<i8")
 
@@ -284,21 +283,23 @@ def still_apart(keyed: DataFrame, roots: DataFrame, sets: DataFrame, nodes: Data
     mixed = sizes.groupBy("key").agg(F.max(F.struct("often", "root"))["root"].alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
     mixed = staged(mixed.select("key", "largest"), "line-mixed")
     apart = staged(found.join(mixed, "key").selectExpr("key", "node", "low", "high", "root", "root = largest AS large"), "line-apart")
-    tokens = staged(first_shingles(apart, sets, nodes), "line-tokens")
-    more = ("key", "token", "root", "large", "at")
+    keys = staged(apart.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "line-keys")  # BANDS at most
+    tokens = staged(first_shingles(apart, sets, nodes).join(keys, "node"), "line-tokens")
+    more = ("key", "token", "root", "large", "at", "firsts", "keys")
     wide, narrow = _of("u", tokens, *more), _of("v", tokens.filter("at < n - (8 * n + 8) div 9 + 1"), *more)
     for c in more[2:]:
         wide, narrow = wide.withColumnRenamed(c, f"{c}_u"), narrow.withColumnRenamed(c, f"{c}_v")
     met = wide.join(narrow.filter("NOT large_v"), ["key", "token"]).union(wide.filter("NOT large_u").join(narrow.filter("large_v"), ["key", "token"]))
     enough = "9 * least(n_u - at_u, n_v - at_v) >= 4 * (n_u + n_v)"  # what the first common shingle leaves, itself included
-    pairs = met.filter(f"root_u != root_v AND n_v <= n_u AND {enough}").filter(may_be_similar())
+    once = "token = array_intersect(firsts_u, firsts_v)[0] AND key = array_intersect(keys_u, keys_v)[0]"  # under the first that both have
+    pairs = met.filter(f"root_u != root_v AND n_v <= n_u AND {enough} AND {may_be_similar()} AND {once}")
     pairs = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line-pairs")
-    dropped(found, mixed, apart, tokens)
+    dropped(found, mixed, apart, keys, tokens)
     return pairs
 
 
 def first_shingles(apart: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """apart with n, sketch, and a row (at, token) for each of a node's first shingles, as many as a prefix needs."""
+    """apart with n, sketch, and a row (at, token, firsts) for each of a node's first shingles, as many as a prefix needs."""
     for end in ("low", "high"):
         apart = apart.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_shingles")), end)
     rows = apart.join(nodes.select("node", "n", *SKETCH), "node").join(sets, "node")
@@ -313,11 +314,12 @@ def first_shingles(apart: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataF
                 firsts.append(np.concatenate([own[~common], own[common]])[: len(own) - (4 * len(own) + 4) // 5 + 1])
             sizes = np.array([len(x) for x in firsts], np.int64)
             part = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            lists = pa.array(firsts, pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             at = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes
             token = np.concatenate(firsts).view(np.int64) if len(sizes) else sizes
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(token, pa.int64())], [*names, "at", "token"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(token, pa.int64()), lists], [*names, "at", "token", "firsts"])
 
-    schema = "key long, node long, root long, large boolean, n int, s0 long, s1 long, s2 long, s3 long, at int, token long"
+    schema = "key long, node long, root long, large boolean, n int, s0 long, s1 long, s2 long, s3 long, at int, token long, firsts array<long>"
     return rows.select(*names, "shingles", "low_shingles", "high_shingles").mapInArrow(run, schema)
 
 
