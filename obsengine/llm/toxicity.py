@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", folds
     staged_rows = staged_rows.filter((F.xxhash64("label", "terms") / 2.0**64 + 0.5) < kept)
 
     def train(batches):
-        held_rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        held_rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))  # the same model however rows were dealt out
         if held_rows:
             bias, terms, weights, factors = fit([np.frombuffer(r[1], np.int32) for r in held_rows], np.array([r[0] for r in held_rows], float))
             names = ["bias", "terms", "weights", "factors"]
