@@ -28,6 +28,9 @@ within ties the smallest place stays; an empty table gives an empty result. Clas
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,8 +44,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 GAP, SPAN, LEAST = 32, 16, 32
 LINE_WORDS, BANDS, ROWS = 20, 10, 4
 LONG_WORDS, JOIN = 50, 30
-CACHED_WORDS = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
+BYTE_M = 0xD6E8FEB86659FD93
+PIECE = 1 << 19
+SPACE = re.compile(rb"[\t-\r ]")
+IN_WORD = np.array([not SPACE.match(bytes([b])) for b in range(256)])
+BYTE_HASHES = np.array([xxhash.xxh64_intdigest(bytes([b]), 5) for b in range(256)], np.uint64) * IN_WORD
 FEW, OWN_BITS = 32, 44
 SKETCH = ("s0", "s1", "s2", "s3")
 PARAGRAPHS = "doc_id long, version int, start int, words int, node long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
@@ -50,24 +57,44 @@ ANSWERS = "doc_id long, version int, start int, words int, node long, shingles b
 DOCUMENT = ("doc_id", "version")
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 5)
-        return found
-
-
-WORD_HASHES = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    w = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BYTE_M to the powers 0 to n - 1, and their inverses, modulo 2 ** 64."""
+    out = []
+    for base in (BYTE_M, pow(BYTE_M, -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data, and where they start.
+
+    A word's hash is a polynomial in its bytes' hashes, from running sums over the text. Texts are cut at white space into
+    pieces of about PIECE bytes, each with sums of its own.
+    """
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        gap = SPACE.search(data, at + PIECE)
+        letters = np.frombuffer(data[at : gap.start() if gap else len(data)], np.uint8)
+        first = np.flatnonzero(np.diff(IN_WORD[letters].view(np.int8), prepend=np.int8(0)) == 1)
+        if len(first):
+            powers, inverses = _powers(1 << max(12, (len(letters) - 1).bit_length()))
+            total = np.add.reduceat(BYTE_HASHES[letters] * powers[: len(letters)], first)
+            hashes.append(_mix(total * inverses[first]))
+            starts.append(first + at)
+        at += len(letters)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def shingles_of(w: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of words, of which w has the hashes."""
     n = max(0, len(w) - SHINGLE + 1)
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -75,6 +102,10 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return _mix(total)
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    return shingles_of(word_hashes(b" ".join(words))[0])
+
+
 def _sliding(take, x: np.ndarray, width: int) -> np.ndarray:
     """take (minimum or maximum) over every `width` in a row, by doubling."""
     done = 1
@@ -142,8 +173,9 @@ def joined_parts(h: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def node_of(words: list[bytes]) -> int:
-    x = xxhash.xxh64_intdigest(b" ".join(words), 3)
+def node_of(w: np.ndarray) -> int:
+    """64 bits of the hash of a line, of whose words w has the hashes."""
+    x = xxhash.xxh64_intdigest(w, 3)
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -173,22 +205,23 @@ def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
     """Columns of the texts' paragraphs: the text's place in the list, first word, words, node; for lines n, sketch and bands too."""
     places, starts, sizes, nodes, lines, parts = [], [], [], [], [], []
     for i, text in enumerate(texts):
-        by_line = [x.split() for x in (text or "").encode().lower().split(b"\n")]
-        words = [w for x in by_line for w in x]
-        if len(words) < LINE_WORDS:
+        data = (text or "").encode().lower()
+        w, at = word_hashes(data)
+        if len(w) < LINE_WORDS:
             continue
-        h = shingle_hashes(words)
+        h = shingles_of(w)
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n"))
+        ends = np.append(np.searchsorted(at, breaks), len(w))
+        counts = np.diff(ends, prepend=0).tolist()
         at, contents = windows(h)
         places.append(np.full(len(at), i))
         starts.append(at)
         nodes.append(contents)
-        counts = [len(x) for x in by_line]
-        ends = np.cumsum(counts).tolist()
-        spans = {(end - n, end) for n, end in zip(counts, ends)}
+        spans = {(end - n, end) for n, end in zip(counts, ends.tolist())}
         spans.update(part for run in short_runs(counts) for part in joined_parts(h, *run))
         for first, end in sorted(spans):
             if end - first >= LINE_WORDS:
-                lines.append((i, first, end - first, node_of(words[first:end])))
+                lines.append((i, first, end - first, node_of(w[first:end])))
                 parts.append(h[first : end - SHINGLE + 1])
     n = sum(map(len, starts))
     i, first, size, node = (np.array(x, np.int64) for x in zip(*lines)) if lines else [np.empty(0, np.int64)] * 4
@@ -355,24 +388,22 @@ def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_c
     def run(part: dict[str, list]) -> dict[str, list]:
         out = []
         for doc, version, text, questions in zip(part["doc_id"], part["version"], part["text"], part["asked"]):
-            words = (text or "").encode().lower().split()
+            data = (text or "").encode().lower()
+            w, _ = word_hashes(data)
+            words = data.split() if any(q["node"] is None for q in questions) else []
             for q in questions:
                 first, end, node = q["start"], q["start"] + q["words"], q["node"]
                 place = (doc, version, first, q["words"], node)
                 if node is None:
-                    out.append((*place, None, content_of(words[first:end]), hashes_of(words[max(0, first - GAP + 1) : first][::-1]), hashes_of(words[end : end + GAP - 1])))
+                    out.append((*place, None, content_of(words[first:end]), w[max(0, first - GAP + 1) : first][::-1].tobytes(), w[end : end + GAP - 1].tobytes()))
                 else:
-                    out.append((*place, shingle_set(shingle_hashes(words[first:end])), None, None, None))
+                    out.append((*place, shingle_set(shingles_of(w[first:end])), None, None, None))
         names = [f.split()[0] for f in ANSWERS.split(", ")]
         return dict(zip(names, zip(*out) if out else [()] * len(names)))
 
     return staged(map_rows(documents(docs, id_column, text_column).join(by_doc, list(DOCUMENT)), run, ANSWERS, 64), "answers")
 
 
-def hashes_of(words: list[bytes]) -> bytes:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)).tobytes()
-
-
 def clustered(members: DataFrame, pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): the components of all links between lines that share a band.
 
