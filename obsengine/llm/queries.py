@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
+from obsengine.llm import bpe, language_id, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
 from obsengine.llm.common import staged, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablations(entries, "v2")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "quality_rule_ablations": quality_rule_ablations,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
 #: DuckDB has no base-32: the digest's bits are taken in fives.
@@ -91,4 +96,5 @@ ORACLE_SQL = {
     "op1_warc": WARC_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
     "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
