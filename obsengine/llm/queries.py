@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, language_id, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
+from obsengine.llm import bpe, language_id, merkle, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
 from obsengine.llm.common import staged, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewritten=periodic_runs.planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "quality_rule_ablations": quality_rule_ablations,
     "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 #: DuckDB has no base-32: the digest's bits are taken in fives.
