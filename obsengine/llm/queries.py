@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obsengine.llm import bpe, language_id, merkle, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
+from obsengine.llm import bpe, language_id, license_scan, merkle, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, telephony, toxicity, warc
 from obsengine.llm.common import staged, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rewritten=periodic_runs.planted))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labelled(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -85,6 +89,7 @@ QUERIES = {
     "quality_rule_ablations": quality_rule_ablations,
     "op11_merkle": op11_merkle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
     "pipeline": pipeline,
 }
 #: DuckDB has no base-32: the digest's bits are taken in fives.
@@ -102,4 +107,5 @@ ORACLE_SQL = {
     "op10_quality_rules": quality_rules.ORACLE_SQL,
     "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op13_license_scan": license_scan.ORACLE_SQL,
 }
