@@ -36,6 +36,7 @@ VERTEX = "tree long, node long, size long, digest string, children array<string>
 MANIFEST = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 #: A path: for each level up to the root, the place among the children of its parent, and its siblings.
 Path = list[tuple[int, list[str]]]
+PATH = "array<struct<place: int, siblings: array<string>>>"
 
 
 def joined_digest(parts: list[str]) -> str:
@@ -100,11 +101,11 @@ def indexed(rows: DataFrame, group: str, order: list[str], count: int, name: str
     return out
 
 
-def climbed(leaves: DataFrame, count: int, name: str) -> list[DataFrame]:
-    """The levels of every tree, leaves first, up to where no tree has more than one node. One superstep for each."""
+def climbed(leaves: DataFrame, count: int, largest: int, name: str) -> list[DataFrame]:
+    """The levels of every tree, leaves first, up to where the largest tree has one node. One superstep for each."""
     levels = [leaves]
-    while levels[-1].filter("size > 1").limit(1).count():
-        last, lowest = levels[-1], len(levels) == 1
+    while largest > 1:
+        last, lowest, largest = levels[-1], len(levels) == 1, -(-largest // FAN)
         columns = ["tree", "node", "size", "digest", *(["id", "claim"] if lowest else [])]
         count = -(-count // FAN)
         sent = last.filter("size > 1").select(*columns).rdd.map(
@@ -132,14 +133,14 @@ def _paths(met: tuple) -> Iterator[tuple[int, Path]]:
         yield place, [(place, children[:place] + children[place + 1 :]), *path]
 
 
-def descended(levels: list[DataFrame], starts: RDD, count: int) -> RDD:
-    """Reverse supersteps: (about, path, digest, id, claim, index) for every leaf.
+def descended(levels: list[DataFrame], starts: DataFrame, count: int) -> RDD:
+    """Reverse supersteps: (root of its tree, path, digest, id, claim, tree, node) for every leaf.
 
-    starts: (tree, level of its last node, about, path from there); `about` is sent along as it is.
+    starts: (tree, level, root, path) of the last node of each tree, as the trees above have sent it.
     """
-    begun = lambda k: starts.filter(lambda s: s[1] == k).map(lambda s: ((s[0], 0), (s[2], s[3])))
+    begun = lambda k: starts.filter(F.col("level") == k).rdd.map(lambda s: ((s.tree, 0), ([s.root, s.subroot], [tuple(x) for x in s.path])))
     lone = levels[0].filter("size = 1").select("tree", "digest", "id", "claim").rdd.map(lambda v: ((v.tree, 0), (v.digest, v.id, v.claim)))
-    found = lone.join(begun(0), tasks(0)).map(lambda m: (*m[1][1], *m[1][0], 0))
+    found = lone.join(begun(0), tasks(0)).map(lambda m: (*m[1][1], *m[1][0], *m[0]))
     sent = None
     for k in range(len(levels) - 1, 0, -1):
         sent = begun(k) if sent is None else sent.union(begun(k))
@@ -153,9 +154,9 @@ def descended(levels: list[DataFrame], starts: RDD, count: int) -> RDD:
 
 
 def _leaves(met: tuple) -> Iterator[tuple]:
-    (_, index), ((children, ids, claims), (about, path)) = met
+    (tree, node), ((children, ids, claims), (roots, path)) = met
     for n, own in _paths((children, path)):
-        yield about, own, children[n], ids[n], claims[n], index * FAN + n
+        yield roots, own, children[n], ids[n], claims[n], tree, node * FAN + n
 
 
 def manifest(docs: DataFrame, fields: list[str], id_column: str = "doc_id", tree_column: str = "lang", suspect: Column | None = None, claim: Callable[[list], list] = list) -> DataFrame:
@@ -176,25 +177,26 @@ def manifest(docs: DataFrame, fields: list[str], id_column: str = "doc_id", tree
     leaves = staged(numbered.select("tree", "node", "size", "digest", "id", "claim"), "merkle-leaves")
     dropped(rows, ordered, keys, numbers)
 
-    levels = climbed(leaves, count, "merkle-level")
+    largest = leaves.agg(F.max("size")).first()[0]
+    levels = climbed(leaves, count, largest, "merkle-level")
     roots = [level.filter("size = 1").select("tree", "digest", F.lit(k).alias("level")) for k, level in enumerate(levels)]
     subroots = roots[0]
     for more in roots[1:]:
         subroots = subroots.union(more)
     above = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.lit(n_trees).cast("long").alias("size"), "digest", F.col("level").cast("long").alias("id"), F.lit(None).cast("string").alias("claim"))
-    tops = climbed(staged(above, "merkle-subroots"), n_trees, "merkle-top")
+    tops = climbed(staged(above, "merkle-subroots"), n_trees, n_trees, "merkle-top")
 
-    highest = len(tops) - 1
-    last = tops[-1].select("digest").rdd.map(lambda v: (0, highest, v.digest, []))
-    starts = descended(tops, last, n_trees).map(lambda s: (s[5], s[3], (s[2], s[0]), s[1]))
+    last = tops[-1].select("tree", F.lit(len(tops) - 1).alias("level"), F.col("digest").alias("root"), F.lit("").alias("subroot"), F.expr(f"CAST(array() AS {PATH})").alias("path"))
+    begun = descended(tops, last, n_trees).map(lambda s: (s[6], s[3], s[0][0], s[2], s[1]))
+    starts = staged(spark.createDataFrame(begun, f"tree long, level long, root string, subroot string, path {PATH}", verifySchema=False), "merkle-starts")
     found = descended(levels, starts, count).map(_row)
     out = staged(spark.createDataFrame(found, MANIFEST, verifySchema=False), "merkle-manifest")
-    dropped(*levels, *tops)
+    dropped(*levels, *tops, starts)
     return out
 
 
 def _row(found: tuple) -> tuple:
-    (subroot, root), path, leaf, doc_id, claim, _ = found
+    (root, subroot), path, leaf, doc_id, claim, _, _ = found
     reached = folded(claim, path)
     return doc_id, leaf, subroot, root, proof(path), reached, reached == root
 
