@@ -128,6 +128,15 @@ class Camera:
         return F.when(depth > 1e-9, F.struct((self.cx + self.focal * x / depth).alias("x"), (self.cy + self.focal * (below * cos - z * sin) / depth).alias("y")))
 
 
+def ground_point(px: Column, py: Column, focal: Column, pitch: Column, height: Column, cx: float, cy: float) -> Column:
+    """Struct (x, y) of the ground point under a pixel, y ahead, for a camera in columns (pitch in degrees); null at or above the horizon."""
+    tilt = F.radians(pitch)
+    dx, dy = (px - cx) / focal, (py - cy) / focal
+    down = dy + F.tan(tilt)
+    depth = height / (F.cos(tilt) * F.when(down > 1e-9, down))
+    return F.when(down > 1e-9, F.struct((depth * dx).alias("x"), ((depth - height * F.sin(tilt)) / F.cos(tilt)).alias("y")))
+
+
 def distance_band(lower: Column, upper: Column, near: float, caution: float) -> Column:
     """near, caution or clear only if the whole interval is; otherwise, and for a missing one, indeterminate."""
     return (

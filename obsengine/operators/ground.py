@@ -1,25 +1,66 @@
-"""Ground plane: fit of a pitched pinhole camera to upright people, its block bootstrap, and distance intervals.
+"""Ground plane: fit of a pitched pinhole camera to upright people, its gates, its block bootstrap, and distance intervals.
 
 A vertical observation (run, track, t, head and foot pixel, sigma) says where a person of height one stands. The fit
 works on one run's observations, which sampling bounds (no more than 150 a run), so runs are groups of bounded
-size and replicates are independent rows. Random numbers are seeded by what they are drawn for, never by order.
+size. All starts, both halves of a run, and all replicates of a group are solved at once, as arrays. Random numbers are seeded by
+what they are drawn for, never by order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STARTS = [(p, f, h) for p in (10.0, 22.0, 35.0, 50.0) for f in (0.6, 0.9, 1.4) for h in (2.0, 3.5, 6.0)]
-LEAST_PAIRS, LEAST_TRACKS, LEAST_INLIERS, MOST_RMS = 12, 5, 0.65, 3.0
-BOUNDS = np.array([[0.3, 1.0, 0.5], [5.0, 85.0, 60.0]])  # focal over width, pitch in degrees, height
-REPLICATES, LEAST_REPLICATES, BLOCK_SECONDS = 500, 350, 2.0
-PLANES = "run_id string, focal double, pitch double, height double, inlier_ratio double, rms double, status string"
+from obsengine.functions import geometry as g
+from obsengine.functions.predicates import contact_visible, contacts
+from obsengine.operators import support
+from obsengine.schema import POINT
+
+
+@dataclass(frozen=True)
+class Frame:
+    """The visible image: size and principal point in pixels."""
+
+    width: float
+    height: float
+    cx: float
+    cy: float
+
+
+@dataclass(frozen=True)
+class Gates:
+    """What a fit has to meet, in pixels, seconds and the plane's unit. Fixed values."""
+
+    pairs: int = 12
+    tracks: int = 5
+    focal: tuple[float, float] = (0.5, 3.0)
+    inlier_sigma: float = 3.0
+    inliers: float = 0.65
+    rms: float = 3.0
+    condition: float = 1e8
+    horizon_shift: float = 5.0
+    replicates: int = 500
+    least_replicates: int = 350
+    block_seconds: float = 2.0
+    margin: float = 0.5
+
+
+#: Pitch in radians, focal length over width, height. Fixed values of the fit.
+LOWEST, HIGHEST = (np.radians(-5.0), 0.3, 0.5), (np.radians(85.0), 6.0, 60.0)
+STARTS = [(p, f, h) for p in (0.1, 0.4, 0.8, 1.2) for f in (0.7, 1.2, 2.0) for h in (2.0, 4.0, 8.0)]
+HUBER = 2.0
+#: Replicates that are solved together.
+CHUNK = 50
+PLANES = (
+    "run_id string, focal double, pitch double, height double, horizon double, n_observations long, n_tracks long, inlier_ratio double,"
+    f" rms double, condition double, horizon_shift double, status string, unstable boolean, accepted array<{POINT}>"
+)
 ENSEMBLE = "run_id string, replicate int, focal double, pitch double, height double"
 
 
@@ -39,127 +80,306 @@ def backproject(camera: np.ndarray, px: np.ndarray, py: np.ndarray, cx: float, c
 
 def project(camera: np.ndarray, x: np.ndarray, z: np.ndarray, lift: float, cx: float, cy: float) -> tuple[np.ndarray, np.ndarray]:
     focal, pitch, below = camera[..., 0], np.radians(camera[..., 1]), camera[..., 2] - lift
-    depth = np.maximum(z * np.cos(pitch) + below * np.sin(pitch), 1e-6)
-    return cx + focal * x / depth, cy + focal * (below * np.cos(pitch) - z * np.sin(pitch)) / depth
-
-
-def residuals(p: np.ndarray, o: dict[str, np.ndarray], width: float, cx: float, cy: float) -> np.ndarray:
-    """Head positions predicted from the feet against those seen, over sigma; x and y end to end."""
-    camera = np.array([p[0] * width, p[1], p[2]])
-    x, z = backproject(camera, o["fx"], o["fy"], cx, cy)
-    hx, hy = project(camera, x, z, 1.0, cx, cy)
-    r = np.concatenate([hx - o["hx"], hy - o["hy"]]) / np.tile(o["sigma"], 2)
-    return np.nan_to_num(r, nan=1e3, posinf=1e3, neginf=-1e3).clip(-1e3, 1e3)
-
-
-def solve(o: dict[str, np.ndarray], starts: list, width: float, cx: float, cy: float, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Bounded Levenberg-Marquardt with Huber weights, from each start; the lowest cost wins."""
-    best = (np.array(starts[0], float)[[1, 0, 2]], np.inf)
-    cost = lambda r: np.where(abs(r) <= 2, r * r, 4 * abs(r) - 4).sum()
-    for pitch, focal, height in starts:
-        p, damping = np.array([focal, pitch, height]), 1e-2
-        r = residuals(p, o, width, cx, cy)
-        now = cost(r)
-        for _ in range(steps):
-            h = np.maximum(1e-6, 1e-5 * abs(p))
-            jacobian = np.stack([(residuals(p + h * e, o, width, cx, cy) - r) / (h @ e) for e in np.eye(3)], 1)
-            w = np.where(abs(r) <= 2, 1.0, 2 / np.maximum(abs(r), 2))
-            a, b = jacobian.T @ (jacobian * w[:, None]), jacobian.T @ (r * w)
-            moved = np.clip(p - np.linalg.solve(a + damping * np.diag(np.diag(a) + 1e-9), b), *BOUNDS)
-            after = residuals(moved, o, width, cx, cy)
-            if cost(after) < now:
-                gain = now - cost(after)
-                p, r, now, damping = moved, after, cost(after), damping / 3
-                if gain < 1e-9 * (1 + now):
-                    break
-            else:
-                damping *= 4
-                if damping > 1e8:
-                    break
-        if now < best[1]:
-            best = (p, now)
-    return best
+    with np.errstate(divide="ignore", invalid="ignore"):
+        depth = z * np.cos(pitch) + below * np.sin(pitch)
+        return cx + focal * x / depth, cy + focal * (below * np.cos(pitch) - z * np.sin(pitch)) / depth
+
+
+def cameras(p: np.ndarray) -> np.ndarray:
+    """Focal, pitch in degrees and height of parameters (pitch, log focal, height)."""
+    return np.stack([np.exp(p[..., 1]), np.degrees(p[..., 0]), p[..., 2]], -1)
+
+
+def parameters(camera: np.ndarray) -> np.ndarray:
+    return np.stack([np.radians(camera[..., 1]), np.log(camera[..., 0]), camera[..., 2]], -1)
+
+
+def residuals(p: np.ndarray, o: dict[str, np.ndarray], frame: Frame) -> np.ndarray:
+    """(solutions, observations, 2): head positions predicted from the feet against those seen, over sigma."""
+    camera = cameras(p)[:, None]
+    x, z = backproject(camera, o["fx"], o["fy"], frame.cx, frame.cy)
+    hx, hy = project(camera, x, z, 1.0, frame.cx, frame.cy)
+    r = np.stack([hx - o["hx"], hy - o["hy"]], -1) / o["sigma"][:, None]
+    return np.nan_to_num(r, nan=1e3, posinf=1e3, neginf=-1e3)
+
+
+def solve(starts: np.ndarray, o: dict[str, np.ndarray], frame: Frame, weights: np.ndarray | None = None, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Bounded Levenberg-Marquardt with Huber weights from each start at once: parameters and costs. weights: (starts, observations)."""
+    logs = lambda v: np.array([v[0], np.log(v[1] * frame.width), v[2]])
+    low, high = logs(LOWEST), logs(HIGHEST)
+    w = np.ones((len(starts), len(o["fx"]))) if weights is None else weights
+    cost = lambda r: (w[..., None] * np.where(abs(r) <= HUBER, r * r, 2 * HUBER * abs(r) - HUBER**2)).sum((1, 2))
+    p = np.clip(np.array(starts, float), low + 1e-6, high - 1e-6)
+    r = residuals(p, o, frame)
+    now, damping, going = cost(r), np.full(len(p), 1e-2), np.ones(len(p), bool)
+    for _ in range(steps):
+        h = np.maximum(1e-7, 1e-6 * abs(p))
+        jacobian = np.stack([(residuals(p + h * e, o, frame) - r) / (h @ e)[:, None, None] for e in np.eye(3)], -1)
+        pull = w[..., None] * np.where(abs(r) <= HUBER, 1.0, HUBER / np.maximum(abs(r), HUBER))
+        a = np.einsum("bnck,bncl,bnc->bkl", jacobian, jacobian, pull, optimize=True)
+        b = np.einsum("bnck,bnc->bk", jacobian, r * pull)
+        lift = damping[:, None] * (np.einsum("bkk->bk", a) + 1e-9)
+        moved = np.clip(p - np.linalg.solve(a + lift[:, :, None] * np.eye(3), b[..., None])[..., 0], low, high)
+        after = residuals(moved, o, frame)
+        then = cost(after)
+        better = going & (then < now)
+        small = better & (now - then < 1e-10 * (1 + now))
+        p, r, now = np.where(better[:, None], moved, p), np.where(better[:, None, None], after, r), np.where(better, then, now)
+        damping = np.where(better, damping / 3, damping * 4)
+        going &= ~small & (damping < 1e8)
+        if not going.any():
+            break
+    return p, now
 
 
 def _arrays(frame: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: frame[c].to_numpy(float) for c in ("hx", "hy", "fx", "fy", "sigma")}
-
-
-def fit_planes(verticals: DataFrame, width: float, cx: float, cy: float) -> DataFrame:
-    """PLANES, one row a run; verticals (run_id, track, t, hx, hy, fx, fy, sigma). status: `ok`, or the first gate that fails."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        run = frame["run_id"].iloc[0]
-        empty = [run, None, None, None, None, None]
-        if len(frame) < LEAST_PAIRS:
-            return pd.DataFrame([[*empty, "insufficient_vertical_observations"]], columns=names)
-        if frame["track"].nunique() < LEAST_TRACKS:
-            return pd.DataFrame([[*empty, "insufficient_distinct_tracks"]], columns=names)
-        o = _arrays(frame.sort_values(["t", "track"]))
-        p, _ = solve(o, STARTS, width, cx, cy)
-        r = residuals(p, o, width, cx, cy).reshape(2, -1)
-        distance = np.hypot(*r)
-        near = distance <= 3
-        rms = float(np.sqrt(((r * o["sigma"])[:, near] ** 2).sum(0).mean())) if near.any() else np.inf
-        status = "ok" if near.mean() >= LEAST_INLIERS and rms <= MOST_RMS else "inlier_ratio" if near.mean() < LEAST_INLIERS else "reprojection_rms"
-        return pd.DataFrame([[run, p[0] * width, p[1], p[2], near.mean(), rms, status]], columns=names)
-
+    return {c: frame[c].to_numpy(float) for c in ("hx", "hy", "fx", "fy", "sigma", "t")}
+
+
+def homography_condition(camera: np.ndarray, frame: Frame) -> float:
+    """Condition number of the map from the ground (x, z, 1) to pixels."""
+    focal, pitch, height = camera[0], np.radians(camera[1]), camera[2]
+    k = np.array([[focal, 0, frame.cx], [0, focal, frame.cy], [0, 0, 1]])
+    return float(np.linalg.cond(k @ [[1, 0, 0], [0, -np.sin(pitch), height * np.cos(pitch)], [0, np.cos(pitch), height * np.sin(pitch)]]))
+
+
+def horizon(camera: np.ndarray, frame: Frame) -> np.ndarray:
+    return frame.cy - camera[..., 0] * np.tan(np.radians(camera[..., 1]))
+
+
+def horizon_shift(p: np.ndarray, o: dict[str, np.ndarray], frame: Frame, least: int) -> float | None:
+    """How far apart the horizons of the earlier and the later half are; None if one has too few observations."""
+    early = o["t"] <= np.median(o["t"])
+    halves = np.stack([early, ~early]).astype(float)
+    if halves.sum(1).min() < least:
+        return None
+    fitted, _ = solve(np.stack([p, p]), o, frame, halves)
+    return float(abs(np.diff(horizon(cameras(fitted), frame))[0]))
+
+
+def _fitted(own: pd.DataFrame, frame: Frame, gates: Gates) -> dict:
+    """One run's plane, up to the first gate that fails."""
+    out = dict.fromkeys((f.split()[0] for f in PLANES.split(", ")), None)
+    out |= {"run_id": own["run_id"].iloc[0], "n_observations": len(own), "n_tracks": own["track"].nunique(), "unstable": False}
+    if len(own) < gates.pairs:
+        return out | {"status": "insufficient_vertical_observations"}
+    if out["n_tracks"] < gates.tracks:
+        return out | {"status": "insufficient_distinct_tracks"}
+    o = _arrays(own.sort_values(["t", "track"]))
+    solved, cost = solve(np.array([[p, np.log(f * frame.width), h] for p, f, h in STARTS]), o, frame)
+    ended = np.isfinite(solved).all(1) & np.isfinite(cost)
+    if not ended.any():
+        return out | {"status": "fit_did_not_converge"}
+    p = solved[np.where(ended, cost, np.inf).argmin()]
+    camera = cameras(p)
+    out |= {"focal": camera[0], "pitch": camera[1], "height": camera[2], "horizon": float(horizon(camera, frame))}
+    r = residuals(p[None], o, frame)[0]
+    near = np.hypot(*r.T) <= gates.inlier_sigma
+    out["inlier_ratio"] = float(near.mean())
+    if near.any():
+        out["rms"] = float(np.sqrt(((r * o["sigma"][:, None])[near] ** 2).sum(1).mean()))
+    x, z = backproject(camera, o["fx"], o["fy"], frame.cx, frame.cy)
+    out["accepted"] = [{"x": a, "y": b} for a, b in zip(x[near].tolist(), z[near].tolist(), strict=True)]
+    out["condition"] = homography_condition(camera, frame)
+    checks = {
+        "focal_length_out_of_range": lambda: not gates.focal[0] <= camera[0] / frame.width <= gates.focal[1],
+        "low_inlier_ratio": lambda: out["inlier_ratio"] < gates.inliers,
+        "reprojection_error_too_high": lambda: out["rms"] > gates.rms,
+        "plane_not_in_front_of_camera": lambda: not np.isfinite(x[near]).all() or not (z[near] > 0).all(),
+        "homography_ill_conditioned": lambda: out["condition"] > gates.condition,
+    }
+    for status, fails in checks.items():
+        if fails():
+            return out | {"status": status, "unstable": True}
+    out["horizon_shift"] = horizon_shift(p, o, frame, gates.pairs)
+    moved = out["horizon_shift"] is not None and out["horizon_shift"] > gates.horizon_shift
+    return out | ({"status": "horizon_unstable_over_time", "unstable": True} if moved else {"status": "ok"})
+
+
+def fit_planes(verticals: DataFrame, frame: Frame, gates: Gates = Gates()) -> DataFrame:
+    """PLANES, one row a run; verticals (run_id, track, t, hx, hy, fx, fy, sigma).
+
+    status: `ok`, or the first gate that fails; unstable: the feed itself has no steady plane, as opposed to too little to see.
+    The gates on replicates follow in `gated`. accepted: ground points of the inliers, x and z.
+    """
     names = [f.split()[0] for f in PLANES.split(", ")]
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_fitted(own, frame, gates)], columns=names)
+
     return verticals.groupBy("run_id").applyInPandas(fit, PLANES)
 
 
-def resampled(frame: pd.DataFrame, rng: np.random.Generator) -> pd.DataFrame:
-    """Tracks with replacement, then within each drawn track blocks of BLOCK_SECONDS with replacement."""
-    blocks = {k: [b for _, b in g.groupby((g["t"] // BLOCK_SECONDS).astype(int))] for k, g in frame.groupby("track")}
-    tracks = sorted(blocks)
-    drawn = [blocks[tracks[i]] for i in rng.integers(0, len(tracks), len(tracks))]
-    return pd.concat([own[i] for own in drawn for i in rng.integers(0, len(own), len(own))])
+def block_counts(own: pd.DataFrame, rng: np.random.Generator, seconds: float) -> np.ndarray:
+    """How often each row is drawn: tracks with replacement, then within each drawn track blocks of time with replacement."""
+    tracks, at = np.unique(own["track"].to_numpy(), return_inverse=True)
+    blocks = np.floor(own["t"].to_numpy() / seconds).astype(int)
+    counts = np.zeros(len(own))
+    for track in rng.integers(0, len(tracks), len(tracks)):
+        mine = at == track
+        labels = np.unique(blocks[mine])
+        for label in rng.choice(labels, len(labels)):
+            counts += mine & (blocks == label)
+    return counts
 
 
-def bootstrap(verticals: DataFrame, planes: DataFrame, width: float, cx: float, cy: float, replicates: int = REPLICATES) -> DataFrame:
-    """ENSEMBLE: refits on resampled observations, started from the plane; each (run, replicate) is a group of its own."""
+def bootstrap(verticals: DataFrame, planes: DataFrame, frame: Frame, gates: Gates = Gates()) -> DataFrame:
+    """ENSEMBLE: refits on resampled observations of the runs that are `ok` so far, started from the plane, those of a focal length in range.
+
+    Each (run, chunk of replicates) is a group of its own, whose replicates differ in the weights of its rows only.
+    """
     ready = planes.filter("status = 'ok'").select("run_id", "focal", "pitch", "height")
-    drawn = ready.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = ready.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((gates.replicates - 1) // CHUNK))))
     rows = verticals.select("run_id", "track", "t", "hx", "hy", "fx", "fy", "sigma").join(drawn, "run_id")
+    names = [f.split()[0] for f in ENSEMBLE.split(", ")]
 
-    def refit(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        frame = frame.sort_values(["track", "t"])
-        sample = resampled(frame, seeded(first["run_id"], first["replicate"]))
-        p, _ = solve(_arrays(sample), [(first["pitch"], first["focal"] / width, first["height"])], width, cx, cy)
-        return pd.DataFrame([[first["run_id"], first["replicate"], p[0] * width, p[1], p[2]]], columns=names)
+    def refit(own: pd.DataFrame) -> pd.DataFrame:
+        run, chunk = own["run_id"].iloc[0], int(own["chunk"].iloc[0])
+        own = own.sort_values(["track", "t"])
+        numbers = np.arange(chunk * CHUNK, min(gates.replicates, (chunk + 1) * CHUNK))
+        weights = np.stack([block_counts(own, seeded(run, n), gates.block_seconds) for n in numbers])
+        first = parameters(own[["focal", "pitch", "height"]].iloc[0].to_numpy(float))
+        p, cost = solve(np.repeat(first[None], len(numbers), 0), _arrays(own), frame, weights)
+        found = cameras(p)
+        ratio = found[:, 0] / frame.width
+        fine = (weights.sum(1) >= 6) & np.isfinite(cost) & np.isfinite(p).all(1) & (ratio >= gates.focal[0]) & (ratio <= gates.focal[1])
+        return pd.DataFrame({"run_id": run, "replicate": numbers[fine], **{c: found[fine, i] for i, c in enumerate(names[2:])}}, columns=names)
 
-    names = [f.split()[0] for f in ENSEMBLE.split(", ")]
-    return rows.groupBy("run_id", "replicate").applyInPandas(refit, ENSEMBLE)
+    return rows.groupBy("run_id", "chunk").applyInPandas(refit, ENSEMBLE)
+
+
+def two_clusters(values: DataFrame, keys: list[str], value: str, least_gap: float, least_spread: float = 1.0) -> DataFrame:
+    """(keys, n, split): whether each key's values fall into two groups, apart at their widest gap.
+
+    Each has a tenth of the values at least, of 20 or more; the gap is wider than four times the larger of their spreads and than least_gap.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(value)
+    gaps = values.withColumns({"_gap": F.col(value) - F.lag(value).over(ordered), "_at": F.row_number().over(ordered)})
+    widest = gaps.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.struct("_gap", (-F.col("_at")).alias("_at"))).alias("_w"))
+    sided = gaps.join(widest, keys).withColumn("_low", F.col("_at") < -F.col("_w._at"))
+    spread = lambda side: F.coalesce(F.stddev_pop(F.when(side, F.col(value))), F.lit(0.0))
+    found = sided.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("_w._gap").alias("_gap"), F.count_if("_low").alias("_below"), F.greatest(spread(F.col("_low")), spread(~F.col("_low")), F.lit(least_spread)).alias("_spread")
+    )
+    few = F.least("_below", F.col("n") - F.col("_below")) < 0.1 * F.col("n")
+    apart = F.col("_gap") > F.greatest(4 * F.col("_spread"), F.lit(least_gap))
+    return found.select(*keys, "n", ((F.col("n") >= 20) & ~few & apart).alias("split"))
+
+
+def gated(planes: DataFrame, ensemble: DataFrame, frame: Frame, gates: Gates = Gates()) -> DataFrame:
+    """planes with the gates on their replicates: `bootstrap_failed` if too few are left, `multimodal_bootstrap_solution` if their horizons are in two groups.
+
+    Adds n_replicates and ready.
+    """
+    horizons = ensemble.withColumn("_h", F.lit(frame.cy) - F.col("focal") * F.tan(F.radians("pitch")))
+    modes = two_clusters(horizons, ["run_id"], "_h", 0.1 * frame.height)
+    joined = planes.join(modes, "run_id", "left").withColumn("n_replicates", F.coalesce("n", F.lit(0)))
+    fails = F.when(F.col("n_replicates") < gates.least_replicates, "bootstrap_failed").when(F.col("split"), "multimodal_bootstrap_solution")
+    late = F.when(F.col("status") == "ok", fails)
+    out = joined.withColumns({"unstable": F.col("unstable") | late.isNotNull(), "status": F.coalesce(late, "status")}).drop("n", "split")
+    return out.withColumn("ready", F.col("status") == "ok")
+
+
+def with_support(planes: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """planes with `region`, in which they hold: the hull of the accepted ground points, grown by the margin; null without a plane."""
+    spots = planes.filter("ready").select("run_id", F.inline("accepted"))
+    return planes.join(support.hulls(spots, ["run_id"], "x", "y", gates.margin).select("run_id", "region"), "run_id", "left")
+
+
+def _placed(pairs: DataFrame, frame: Frame, visible: Column, inflation: float) -> DataFrame:
+    """pairs (wx, wy, targets, focal, pitch, height, region) with compatible and distance, the point estimate less the inflation."""
+    at = lambda x, y: g.ground_point(x, y, F.col("focal"), F.col("pitch"), F.col("height"), frame.cx, frame.cy)
+    spots = pairs.withColumns({"_w": at(F.col("wx"), F.col("wy")), "_t": F.transform("targets", lambda t: at(t["x"], t["y"]))})
+    inside = support.supports(F.col("region"), F.col("_w")) & F.forall("_t", lambda t: support.supports(F.col("region"), t))
+    apart = F.greatest(g.to_polyline(F.col("_w"), F.col("_t")) - inflation, F.lit(0.0))
+    placed = spots.withColumn("compatible", F.coalesce(visible & inside, F.lit(False)))
+    return placed.withColumn("distance", F.when(F.col("compatible"), apart)).drop("_w", "_t", "focal", "pitch", "height", "region")
+
+
+def machine_pairs(workers: DataFrame, machines: DataFrame, planes: DataFrame, keys: list[str], frame: Frame, content_bottom: float, inflation: float, noise: float = 0.02) -> DataFrame:
+    """Workers and machines of a frame (keys), on the plane: wx, wy, w_noise, targets, t_noise, compatible, distance.
+
+    A machine stands on the lower corners of its box. A pair is compatible if these are in view, and they and the worker's feet in
+    the plane's support. workers (keys, canonical_track_id, anchor, box), machines (keys, object_id, box), planes of with_support.
+    """
+    tall = lambda b: noise * (F.col(b)["y2"] - F.col(b)["y1"])
+    left = workers.select(*keys, "canonical_track_id", F.col("anchor.x").alias("wx"), F.col("anchor.y").alias("wy"), tall("box").alias("w_noise"))
+    right = machines.select(*keys, "object_id", contacts(F.col("box")).alias("targets"), tall("box").alias("t_noise"), contact_visible(F.col("box"), content_bottom).alias("_seen"))
+    flat = planes.filter("ready").select("run_id", "focal", "pitch", "height", "region")
+    return _placed(left.join(right, keys).join(flat, "run_id"), frame, F.col("_seen"), inflation).drop("_seen")
+
+
+def edge_support(edges: DataFrame, planes: DataFrame, frame: Frame) -> DataFrame:
+    """edges (run_id, object_id, points) with compatible: whether all their points are in the plane's support."""
+    flat = planes.filter("ready").select("run_id", "focal", "pitch", "height", "region")
+    at = lambda p: g.ground_point(p["x"], p["y"], F.col("focal"), F.col("pitch"), F.col("height"), frame.cx, frame.cy)
+    joined = edges.select("run_id", "object_id", "points").join(flat, "run_id", "left")
+    inside = F.forall("points", lambda p: support.supports(F.col("region"), at(p)))
+    return joined.select("run_id", "object_id", "points", F.coalesce(inside, F.lit(False)).alias("compatible"))
+
+
+def edge_pairs(workers: DataFrame, edges: DataFrame, planes: DataFrame, keys: list[str], frame: Frame, noise: float = 0.02, edge_noise: float = 0.005) -> DataFrame:
+    """As machine_pairs, for workers and the compatible edges of edge_support. An edge is as sure as a share of the image's diagonal."""
+    left = workers.select(*keys, "canonical_track_id", F.col("anchor.x").alias("wx"), F.col("anchor.y").alias("wy"), (noise * (F.col("box.y2") - F.col("box.y1"))).alias("w_noise"))
+    right = edges.filter("compatible").select("run_id", "object_id", F.col("points").alias("targets"), F.lit(edge_noise * float(np.hypot(frame.width, frame.height))).alias("t_noise"))
+    flat = planes.filter("ready").select("run_id", "focal", "pitch", "height", "region")
+    return _placed(left.join(right, "run_id").join(flat, "run_id"), frame, F.lit(True), 0.0)
+
+
+def measured(pairs: DataFrame, ensemble: DataFrame, keys: list[str], frame: Frame, farthest: float, inflation: float, gates: Gates = Gates()) -> DataFrame:
+    """pairs with lower, median and upper: intervals of the compatible pairs whose point estimate is no farther than `farthest`.
+
+    The others have null bounds and never meet the replicates.
+    """
+    worth = F.coalesce(F.col("compatible") & (F.col("distance") <= farthest), F.lit(False))
+    near = distance_intervals(pairs.filter(worth), ensemble, keys, frame.cx, frame.cy, inflation, least=gates.least_replicates)
+    return near.unionByName(pairs.filter(~worth), allowMissingColumns=True)
 
 
 def distance_intervals(
     pairs: DataFrame, ensemble: DataFrame, keys: list[str], cx: float, cy: float, inflation: float = 0.5, level: float = 0.95,
-    least: int = LEAST_REPLICATES,
+    least: int = Gates.least_replicates,
 ) -> DataFrame:
     """pairs (run_id, keys, wx, wy, w_noise, targets array of x and y, t_noise) with lower, median and upper distance.
 
     Each replicate's camera places worker and target, shaken by their pixel noise; distances shrink by the
     inflation, not below 0; null with fewer than `least` finite ones. A run's ensemble joins as one array, so pairs
-    are neither multiplied nor shuffled by replicate.
+    are neither multiplied nor shuffled by replicate; the pairs of a run in a batch are measured as one array.
     """
-    cameras = ensemble.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("replicate", "focal", "pitch", "height"))).alias("cameras"))
-    joined = pairs.join(cameras, "run_id", "left").select(*pairs.columns, "cameras")
-    tail = (1 - level) / 2
+    found = ensemble.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("replicate", "focal", "pitch", "height"))).alias("cameras"))
+    joined = pairs.join(found, "run_id", "left").select(*pairs.columns, "cameras")
+    shares = [(1 - level) / 2, 0.5, (1 + level) / 2]
+
+    def together(own: pd.DataFrame) -> np.ndarray:
+        """Bounds of pairs of one run with equally many targets."""
+        listed = own["cameras"].iloc[0]
+        camera = np.array([[x["focal"], x["pitch"], x["height"]] for x in (listed if listed is not None else [])]).reshape(-1, 3)
+        many = len(own["targets"].iloc[0])
+        if len(camera) < least:
+            return np.full((len(own), 3), np.nan)
+        noise = np.stack([seeded(*k).normal(size=(2 + 2 * many, len(camera))) for k in own[["run_id", *keys]].itertuples(index=False)])
+        column = lambda c: own[c].to_numpy(float)[:, None]
+        x, z = backproject(camera, column("wx") + column("w_noise") * noise[:, 0], column("wy") + column("w_noise") * noise[:, 1], cx, cy)
+        target = np.array([[[p["x"], p["y"]] for p in t] for t in own["targets"]], float)
+        shaken = lambda k, i: target[:, k, i, None] + column("t_noise") * noise[:, 2 + 2 * k + i]
+        spots = [backproject(camera, shaken(k, 0), shaken(k, 1), cx, cy) for k in range(many)]
+        d = np.maximum(to_path(x, z, spots) - inflation, 0)
+        d[~np.isfinite(d)] = np.nan
+        enough = np.isfinite(d).sum(1) >= least
+        out = np.full((len(own), 3), np.nan)
+        out[enough] = np.nanquantile(d[enough], shares, axis=1).T
+        return out
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
-            for row in frame.to_dict("records"):
-                c = row["cameras"] if row["cameras"] is not None else []
-                camera = np.array([[x["focal"], x["pitch"], x["height"]] for x in c]).reshape(-1, 3)
-                rng = seeded(*(row[k] for k in ("run_id", *keys)))
-                x, z = backproject(camera, row["wx"] + rng.normal(0, row["w_noise"], len(c)), row["wy"] + rng.normal(0, row["w_noise"], len(c)), cx, cy)
-                spots = [backproject(camera, p["x"] + rng.normal(0, row["t_noise"], len(c)), p["y"] + rng.normal(0, row["t_noise"], len(c)), cx, cy) for p in row["targets"]]
-                d = np.maximum(to_path(x, z, spots) - inflation, 0)
-                d = d[np.isfinite(d)]
-                found.append(np.quantile(d, [tail, 0.5, 1 - tail]).tolist() if len(d) >= least else [None] * 3)
-            yield frame.drop(columns="cameras").assign(lower=[f[0] for f in found], median=[f[1] for f in found], upper=[f[2] for f in found])
+            bounds = np.full((len(frame), 3), np.nan)
+            frame = frame.reset_index(drop=True)
+            for _, own in frame.groupby(["run_id", frame["targets"].map(len)], dropna=False):
+                for at in range(0, len(own), 512):  # 512 pairs of 500 replicates are a few MB an array
+                    part = own.iloc[at : at + 512]
+                    bounds[part.index] = together(part)
+            nulls = lambda v: [None if np.isnan(x) else float(x) for x in v]
+            yield frame.drop(columns="cameras").assign(lower=nulls(bounds[:, 0]), median=nulls(bounds[:, 1]), upper=nulls(bounds[:, 2]))
 
     types = dict(pairs.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in pairs.columns), "lower double", "median double", "upper double"])
@@ -170,9 +390,9 @@ def to_path(x: np.ndarray, z: np.ndarray, spots: list[tuple[np.ndarray, np.ndarr
     """Distance of points, one for each camera, from the polyline through spots; a single spot is a point."""
     if len(spots) == 1:
         return np.hypot(x - spots[0][0], z - spots[0][1])
-    best = np.full(len(x), np.inf)
+    best = np.full(np.shape(x), np.inf)
     for (ax, az), (bx, bz) in zip(spots, spots[1:]):
         dx, dz = bx - ax, bz - az
         t = np.clip(((x - ax) * dx + (z - az) * dz) / np.maximum(dx * dx + dz * dz, 1e-12), 0, 1)
-        best = np.fmin(best, np.hypot(x - ax - t * dx, z - az - t * dz))
+        best = np.minimum(best, np.hypot(x - ax - t * dx, z - az - t * dz))  # NaN if any spot is
     return best

@@ -32,6 +32,7 @@ class Settings:
     inflation: float = 0.5
     candidate: float = 8.0
     zone_margin: float = 0.05
+    catalogue_sha256: str = ""
 
 
 def people(obs: DataFrame) -> DataFrame:
@@ -42,18 +43,54 @@ def vehicles(obs: DataFrame) -> DataFrame:
     return obs.filter("object_class != 'person'")
 
 
-def incidents(found: DataFrame, rule: str, reason: str, severity: str, debounce: float, prefix: str = "") -> DataFrame:
-    """Rows of (TRACK, object_id, first, last, confidence) as incidents."""
-    parts = [F.col("run_id"), safe_id(F.col("canonical_track_id")), F.lit(rule), F.bround("first", 1), F.bround("last", 1)]
-    with_object = F.when(F.col("object_id").isNotNull(), F.concat(F.lit("-"), safe_id(F.col("object_id")))).otherwise("")
-    return found.select(
-        F.concat(F.concat_ws("-", *parts), with_object).alias("incident_id"), "run_id", "shot_id", F.lit(rule).alias("rule_id"),
-        F.lit("alert").alias("status"), F.lit(reason).alias("reason_code"), F.lit(severity).alias("severity"), "canonical_track_id", "object_id",
+#: What to do about each rule's incidents: code and text. Fixed values.
+ACTIONS = {
+    "R1": ("review_ppe", "Verify this worker is wearing a compliant hardhat. Check evidence frame before raising a formal non-conformance."),
+    "R2": ("review_ppe", "Verify this worker is wearing a high-visibility vest near moving machinery."),
+    "R3": ("review_zone_access", "Check on site whether this region is restricted and whether the worker is authorised to be there. The zone is inferred from video, not surveyed."),
+    "R4": ("review_machinery_separation", "Check on site that pedestrians are kept clear of the machine's working area. Distances are relative to worker height in this video, not metres."),
+    "R5": ("review_edge_protection", "Check on site whether this edge is exposed and what protection is in place. The edge is inferred from video and distances are relative."),
+}
+DISTANCE = "struct<lower:double,median:double,upper:double>"
+
+
+def tenths(seconds: str | Column) -> Column:
+    return F.bround(seconds, 1).cast("string")
+
+
+def incidents(found: DataFrame, rule: str, reason: str, severity: str, debounce: float, text: list[Column | str], s: Settings = Settings()) -> DataFrame:
+    """Rows of (TRACK, first, last, confidence, source_frame_index, and object_id, proposal_id or distance where a rule has them) as schema.INCIDENTS.
+
+    text: the parts of the observation, columns and words.
+    """
+    has = lambda name, kind: F.col(name).cast(kind) if name in found.columns else F.lit(None).cast(kind)
+    parts = [F.col("run_id"), safe_id(F.col("canonical_track_id")), F.lit(rule), tenths("first"), tenths("last")]
+    machine, proposal, distance = has("object_id", "string"), has("proposal_id", "string"), has("distance", DISTANCE)
+    with_object = F.when(machine.isNotNull(), F.concat(F.lit("-"), safe_id(machine))).otherwise("")
+    named = found.withColumn("incident_id", F.concat(F.concat_ws("-", *parts), with_object))
+    code, advice = ACTIONS[rule]
+    return named.select(
+        "incident_id", "run_id", "shot_id", F.lit(s.catalogue_sha256).alias("catalogue_sha256"), F.lit(rule).alias("rule_id"), F.lit("alert").alias("status"),
+        F.lit(reason).alias("reason_code"), F.lit("heuristic").alias("basis"), F.lit(severity).alias("severity"), "canonical_track_id", machine.alias("object_id"),
+        F.when(proposal.isNull(), F.array().cast("array<string>")).otherwise(F.array(proposal)).alias("proposal_ids"),
         F.col("first").alias("first_seen_s"), (F.col("first") + debounce).alias("confirmed_at_s"), F.col("last").alias("resolved_at_s"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"),
+        distance.alias("distance"), F.when(distance.isNotNull(), "near").alias("relative_band"),
+        F.concat(*(F.lit(t) if isinstance(t, str) else t for t in text)).alias("observation_text"), F.lit(code).alias("action_code"), F.lit(advice).alias("action_text"),
+        F.array().cast("array<string>").alias("references"), F.concat(F.lit("evidence/"), F.col("incident_id"), F.lit(".jpg")).alias("evidence_path"),
+        F.col("source_frame_index").cast("int").alias("source_frame_index"),
     )
 
 
+def _seen(found: DataFrame, rows: DataFrame, keys: list[str], distances: bool = False) -> DataFrame:
+    """found, spans of rows by keys, with the frame each starts in and, with `distances`, its interval of the least median."""
+    inside = rows.join(found.select(*keys, "first", "last"), keys).filter(F.col("video_time_s").between(F.col("first"), F.col("last")))
+    picks = [F.min_by("frame_index", F.struct("video_time_s", "frame_index")).alias("source_frame_index")]
+    if distances:
+        picks.append(F.min_by(F.struct("lower", "median", "upper"), F.struct("median", "frame_index")).alias("distance"))
+    return found.join(inside.groupBy(*keys).agg(*picks), keys)
+
+
 def _coverage(runs: DataFrame, rule: str, facts: DataFrame, cases: list[tuple[Column, str, str]], default: tuple[str, str]) -> DataFrame:
     """One row a run: the first case that holds over its facts, of which a run may have none."""
     joined = runs.join(facts, "run_id", "left")
@@ -85,17 +122,20 @@ def missing_helmet(obs: DataFrame, runs: DataFrame, s: Settings = Settings()) ->
         (F.col("below"), "inconclusive", "no_helmet_below_debounce"),
         (F.col("blind"), "inconclusive", "no_ppe_evidence"),
     ], ("clear", "no_helmet_alerts_detected"))
-    found = tracks.filter("alert").withColumn("object_id", F.lit(None).cast("string"))
-    return incidents(found, "R1", "detected_missing_helmet", "medium", s.gear_debounce), coverage
+    found = _seen(tracks.filter("alert"), bare, TRACK)
+    sure = F.format_string("%.2f", F.bround(F.coalesce("confidence", F.lit(0.5)), 2))
+    text = [F.col("canonical_track_id"), " detected without helmet from ", tenths("first"), "s to ", tenths("last"), "s (", tenths("span"), "s window, Gemini confidence ", sure, ")."]
+    return incidents(found, "R1", "detected_missing_helmet", "medium", s.gear_debounce, text, s), coverage
 
 
 def missing_vest(obs: DataFrame, runs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """R2. Rows in frames with any vehicle; the span is first to last, gaps or not."""
     near = joins.in_context(people(obs), vehicles(obs), FRAME)
     bare = near.filter("vest.state = 'no_vest'").groupBy(*TRACK).agg(
-        F.min("video_time_s").alias("first"), F.max("video_time_s").alias("last"), F.avg("vest.confidence").alias("confidence")
-    )
-    found = bare.filter(F.col("last") - F.col("first") >= s.gear_debounce).withColumn("object_id", F.lit(None).cast("string"))
+        F.min("video_time_s").alias("first"), F.max("video_time_s").alias("last"), F.avg("vest.confidence").alias("confidence"),
+        F.min_by("frame_index", F.struct("video_time_s", "frame_index")).alias("source_frame_index"),
+    )
+    found = bare.filter(F.col("last") - F.col("first") >= s.gear_debounce)
     facts = (
         vehicles(obs).groupBy("run_id").agg(F.count("*").alias("machines"))
         .join(found.groupBy("run_id").agg(F.count("*").alias("alerts")), "run_id", "left")
@@ -106,12 +146,14 @@ def missing_vest(obs: DataFrame, runs: DataFrame, s: Settings = Settings()) -> t
         (F.col("alerts") > 0, "alert", "detected_missing_vest_near_vehicle"),
         (~F.coalesce("evidence", F.lit(False)), "inconclusive", "no_ppe_evidence"),
     ], ("clear", "no_vest_alerts_near_vehicle"))
-    return incidents(found, "R2", "detected_missing_vest_near_vehicle", "medium", s.gear_debounce), coverage
+    sure = F.format_string("%.2f", F.bround(F.coalesce("confidence", F.lit(0.5)), 2))
+    text = [F.col("canonical_track_id"), " detected without hi-vis vest in proximity of vehicle from ", tenths("first"), "s to ", tenths("last"), "s (confidence ", sure, ")."]
+    return incidents(found, "R2", "detected_missing_vest_near_vehicle", "medium", s.gear_debounce, text, s), coverage
 
 
 def restricted_zone(obs: DataFrame, runs: DataFrame, scenes: DataFrame, zones: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """R3. scenes (run_id, scene_status), zones of schema.PROPOSALS: feet beyond the margin inside, or too close to tell."""
-    marked = zones.filter("proposal_type = 'restricted_zone'").select("run_id", F.col("proposal_id").alias("object_id"), "points", F.col("agreement_score").alias("confidence"))
+    marked = zones.filter("proposal_type = 'restricted_zone'").select("run_id", F.col("proposal_id").alias("object_id"), "points", F.col("agreement_score").alias("confidence"), F.size("supporting_keyframes").alias("agreed"), "eligible_keyframes")
     persons = people(obs)
     placed = persons.join(marked, "run_id").withColumn("d", g.signed_distance(F.col("anchor"), F.col("points")))
     margin = s.zone_margin * (F.col("box.y2") - F.col("box.y1"))
@@ -120,7 +162,7 @@ def restricted_zone(obs: DataFrame, runs: DataFrame, scenes: DataFrame, zones: D
     possible = placed.filter(F.col("d") >= -margin)
     unsure = possible.filter(F.col("d") <= margin).select(*keys).distinct()
     found = _debounced(inside, keys, s.place_debounce).filter(F.col("span") >= s.place_debounce)
-    found = found.join(marked.select("run_id", "object_id", "confidence"), ["run_id", "object_id"])
+    found = found.join(marked.drop("points"), ["run_id", "object_id"])
     doubtful = _debounced(possible.join(unsure, keys, "left_semi"), keys, s.place_debounce).filter(F.col("span") >= s.place_debounce)
     count = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
     facts = (
@@ -135,34 +177,43 @@ def restricted_zone(obs: DataFrame, runs: DataFrame, scenes: DataFrame, zones: D
         (F.col("alerts") > 0, "alert", "restricted_zone_entry"),
         (F.col("doubts") > 0, "inconclusive", "zone_boundary_uncertain"),
     ], ("clear", "worker_outside_restricted_zone"))
-    usable = found.join(scenes.filter("scene_status = 'ok'"), "run_id", "left_semi")
-    return incidents(usable, "R3", "restricted_zone_entry", "high", s.place_debounce), coverage
+    usable = _seen(found.join(scenes.filter("scene_status = 'ok'"), "run_id", "left_semi"), inside, keys).withColumnRenamed("object_id", "proposal_id")
+    text = [
+        F.col("canonical_track_id"), " appears inside inferred restricted zone ", F.col("proposal_id"), " from ", tenths("first"), "s to ", tenths("last"), "s (", tenths("span"),
+        "s; zone agreed by ", F.col("agreed").cast("string"), " of ", F.col("eligible_keyframes").cast("string"), " keyframes).",
+    ]
+    return incidents(usable, "R3", "restricted_zone_entry", "high", s.place_debounce, text, s), coverage
 
 
 def proximity(
-    obs: DataFrame, runs: DataFrame, planes: DataFrame, intervals: DataFrame, states: DataFrame, s: Settings = Settings()
+    obs: DataFrame, runs: DataFrame, planes: DataFrame, measures: DataFrame, states: DataFrame, s: Settings = Settings()
 ) -> tuple[DataFrame, DataFrame]:
-    """R4. planes (run_id, unstable, ready, inlier_ratio); intervals (run, shot, frame, track, object_id, lower, upper) from
-    ground.distance_intervals; states (run, shot, frame, object_id, operating_state), unknown where missing."""
+    """R4. planes (run_id, unstable, ready, inlier_ratio); measures (FRAME, canonical_track_id, object_id, compatible, distance, lower, median,
+    upper) of ground.measured; states (FRAME, object_id, operating_state), unknown where missing.
+
+    Pairs that aren't compatible with the plane, or have no measure, don't count; nor do those whose point estimate is beyond s.candidate.
+    A compatible pair without bounds is in no band.
+    """
     workers = people(obs).select(*FRAME, "canonical_track_id", "video_time_s")
     machines = vehicles(obs).select(*FRAME, F.col("canonical_track_id").alias("object_id"))
     pairs = workers.join(machines, FRAME)
     known = joins.lookup(pairs, states, [*FRAME, "object_id"], {"operating_state": F.lit("unknown")}, "operating_state")
-    measured = known.join(intervals, [*FRAME, "canonical_track_id", "object_id"], "left")
+    measured = known.join(measures, [*FRAME, "canonical_track_id", "object_id"], "left")
     banded = measured.withColumn("band", g.distance_band(F.col("lower"), F.col("upper"), s.near, s.caution))
-    close = banded.filter(F.col("lower").isNotNull() & ~F.col("band").isin("clear", "caution"))
-    alerts = close.filter("operating_state = 'active' AND band = 'near'")
+    close = banded.filter(F.col("compatible") & (F.col("distance") <= s.candidate) & ~F.col("band").isin("clear", "caution"))
+    reason = F.when(F.col("operating_state") == "unknown", "operating_state_unknown").when(F.col("band") == "indeterminate", "inconclusive_distance")
+    close = close.withColumn("reason", reason)
+    alerts = close.filter("reason IS NULL AND operating_state = 'active'")
     keys = [*TRACK, "object_id"]
     lasting = lambda df, by: _debounced(df, by, s.place_debounce).filter(F.col("span") >= s.place_debounce)
     found = lasting(alerts, keys).join(planes.select("run_id", F.col("inlier_ratio").alias("confidence")), "run_id", "left")
-    reason = F.when(F.col("operating_state") == "unknown", "operating_state_unknown").when(F.col("band") == "indeterminate", "inconclusive_distance")
-    doubts = lasting(close.withColumn("reason", reason).filter("reason IS NOT NULL"), [*keys, "reason"])
+    doubts = lasting(close.filter("reason IS NOT NULL"), [*keys, "reason"])
     by_reason = doubts.groupBy("run_id", "reason").agg(F.count("*").alias("n"))  # the most frequent counts, an unknown state on ties
     doubts = by_reason.groupBy("run_id").agg(F.max_by("reason", F.struct("n", "reason")).alias("doubt"))
     facts = (
         runs.join(planes, "run_id", "left")
         .join(vehicles(obs).groupBy("run_id").agg(F.count("*").alias("machines")), "run_id", "left")
-        .join(banded.groupBy("run_id").agg(F.count("*").alias("pairs"), F.count("lower").alias("measured")), "run_id", "left")
+        .join(banded.groupBy("run_id").agg(F.count("*").alias("pairs"), F.count_if("compatible").alias("checked")), "run_id", "left")
         .join(found.groupBy("run_id").agg(F.count("*").alias("alerts")), "run_id", "left")
         .join(doubts, "run_id", "left")
     )
@@ -174,10 +225,16 @@ def proximity(
         (F.col("alerts") > 0, "alert", "active_machine_near_band"),
         (F.col("doubt") == "operating_state_unknown", "inconclusive", "operating_state_unknown"),
         (F.col("doubt") == "inconclusive_distance", "inconclusive", "inconclusive_distance"),
-        (F.col("measured") == 0, "inconclusive", "target_plane_incompatible"),
+        (F.col("checked") == 0, "inconclusive", "target_plane_incompatible"),
     ], ("clear", "outside_active_near_band"))
-    found = found.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")
-    return incidents(found, "R4", "active_machine_near_band", "high", s.place_debounce), coverage
+    found = _seen(found.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi"), alerts, keys, distances=True)
+    track, machine = F.col("canonical_track_id"), F.col("object_id")
+    low, high = tenths("distance.lower"), tenths("distance.upper")
+    text = [
+        track, " stayed within ", high, " worker-heights (upper bound, 95% interval ", low, "-", high, " WH) of moving machinery ", machine,
+        " from ", tenths("first"), "s to ", tenths("last"), "s (", tenths("span"), "s).",
+    ]
+    return incidents(found, "R4", "active_machine_near_band", "high", s.place_debounce, text, s), coverage
 
 
 def edge_blocker(drop: Column, visibility: Column, protection: Column) -> Column:
@@ -191,24 +248,30 @@ def edge_blocker(drop: Column, visibility: Column, protection: Column) -> Column
     )
 
 
-def open_edge(obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFrame, planes: DataFrame, intervals: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """R5. edges of schema.PROPOSALS; intervals as in R4, to edges (object_id: the edge's proposal_id)."""
+def open_edge(
+    obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFrame, planes: DataFrame, held: DataFrame, measures: DataFrame, s: Settings = Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """R5. edges of schema.PROPOSALS; held (run_id, object_id, compatible) of ground.edge_support, object_id being the edge's proposal_id;
+    measures as in R4, to edges. Workers off the plane's support don't count; edges of which a part is off it are left out."""
     seen = edges.filter("proposal_type = 'open_edge'").withColumn(
         "blocker", edge_blocker(F.col("visible_drop_or_open_side"), F.col("protection_visibility"), F.col("protection_state"))
     )
-    usable = seen.filter("blocker IS NULL").select("run_id", F.col("proposal_id").alias("object_id"))
-    rows = people(obs).select(*FRAME, "canonical_track_id", "video_time_s").join(intervals, [*FRAME, "canonical_track_id"])
-    rows = rows.join(usable, ["run_id", "object_id"], "left_semi").withColumn("band", g.distance_band(F.col("lower"), F.col("upper"), s.edge, s.edge))
+    open_ = seen.filter("blocker IS NULL").select("run_id", F.col("proposal_id").alias("object_id"))
+    usable = open_.join(held.filter("compatible"), ["run_id", "object_id"], "left_semi")
+    rows = people(obs).select(*FRAME, "canonical_track_id", "video_time_s").join(measures, [*FRAME, "canonical_track_id"])
+    rows = rows.join(usable, ["run_id", "object_id"], "left_semi").filter(F.col("compatible") & (F.col("distance") <= s.candidate))
+    rows = rows.withColumn("band", g.distance_band(F.col("lower"), F.col("upper"), s.edge, s.edge))
     keys = [*TRACK, "object_id"]
     lasting = lambda df: _debounced(df, keys, s.place_debounce).filter(F.col("span") >= s.place_debounce)
-    found = lasting(rows.filter("band = 'near'")).join(planes.select("run_id", F.col("inlier_ratio").alias("confidence")), "run_id", "left")
+    close = rows.filter("band = 'near'")
+    found = lasting(close).join(planes.select("run_id", F.col("inlier_ratio").alias("confidence")), "run_id", "left")
     vague = lasting(rows.filter("band = 'indeterminate'"))
     first = lambda b: F.bool_or(F.col("blocker") == b)
     facts = (
         runs.join(scenes.select("run_id", (F.col("scene_status") == "ok").alias("ok")), "run_id", "left").join(planes, "run_id", "left")
         .join(seen.groupBy("run_id").agg(F.count("*").alias("edges"), F.count_if(F.col("blocker").isNull()).alias("open"), F.bool_and(F.coalesce(F.col("blocker") == "guarded", F.lit(False))).alias("guarded"), first("edge_semantics_unknown").alias("no_drop"), first("protection_visibility_insufficient").alias("no_view"), first("protection_state_unknown").alias("no_state")), "run_id", "left")
         .join(people(obs).groupBy("run_id").agg(F.count("*").alias("rows")), "run_id", "left")
-        .join(rows.groupBy("run_id").agg(F.count("lower").alias("measured")), "run_id", "left")
+        .join(usable.groupBy("run_id").agg(F.count("*").alias("usable")), "run_id", "left")
         .join(found.groupBy("run_id").agg(F.count("*").alias("alerts")), "run_id", "left")
         .join(vague.groupBy("run_id").agg(F.count("*").alias("doubts")), "run_id", "left")
     )
@@ -223,23 +286,33 @@ def open_edge(obs: DataFrame, runs: DataFrame, scenes: DataFrame, edges: DataFra
         (blocked, "inconclusive", "protection_state_unknown"),
         (F.col("rows").isNull(), "not_applicable", "no_person_tracks"),
         (~F.coalesce("ready", F.lit(False)), "inconclusive", "relative_plane_unavailable"),
+        (F.col("usable").isNull(), "inconclusive", "target_plane_incompatible"),
         (F.col("alerts") > 0, "alert", "visible_unguarded_edge"),
-        (F.coalesce("measured", F.lit(0)) == 0, "inconclusive", "target_plane_incompatible"),
         (F.col("doubts") > 0, "inconclusive", "inconclusive_distance"),
         (F.col("no_drop"), "inconclusive", "edge_semantics_unknown"),
         (F.col("no_view"), "inconclusive", "protection_visibility_insufficient"),
         (F.col("no_state"), "inconclusive", "protection_state_unknown"),
     ], ("clear", "guarded_or_outside_edge_band"))
     ready = found.join(scenes.filter("scene_status = 'ok'"), "run_id", "left_semi")
-    ready = ready.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi")
-    return incidents(ready, "R5", "visible_unguarded_edge", "high", s.place_debounce), coverage
+    ready = _seen(ready.join(planes.filter("ready AND NOT coalesce(unstable, false)"), "run_id", "left_semi"), close, keys, distances=True)
+    ready = ready.withColumnRenamed("object_id", "proposal_id")
+    low, high = tenths("distance.lower"), tenths("distance.upper")
+    text = [
+        F.col("canonical_track_id"), " stayed within ", tenths(F.lit(s.edge)), " worker-heights of ", F.col("proposal_id"),
+        ", an open edge reported as unguarded or inadequately protected (95% interval ", low, "-", high, " WH), from ",
+        tenths("first"), "s to ", tenths("last"), "s (", tenths("span"), "s).",
+    ]
+    return incidents(ready, "R5", "visible_unguarded_edge", "high", s.place_debounce, text, s), coverage
 
 
-def all_rules(obs: DataFrame, runs: DataFrame, scenes: DataFrame, proposals: DataFrame, planes: DataFrame, machine_intervals: DataFrame, edge_intervals: DataFrame, states: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def all_rules(
+    obs: DataFrame, runs: DataFrame, scenes: DataFrame, proposals: DataFrame, planes: DataFrame, machine_measures: DataFrame, edges_held: DataFrame,
+    edge_measures: DataFrame, states: DataFrame, s: Settings = Settings(),
+) -> tuple[DataFrame, DataFrame]:
     """Incidents of all rules, and five coverage rows for each run."""
     parts = [
         missing_helmet(obs, runs, s), missing_vest(obs, runs, s), restricted_zone(obs, runs, scenes, proposals, s),
-        proximity(obs, runs, planes, machine_intervals, states, s), open_edge(obs, runs, scenes, proposals, planes, edge_intervals, s),
+        proximity(obs, runs, planes, machine_measures, states, s), open_edge(obs, runs, scenes, proposals, planes, edges_held, edge_measures, s),
     ]
     found, covered = parts[0]
     for f, c in parts[1:]:

@@ -20,9 +20,10 @@ PROPOSALS = (
     " supporting_keyframes array<int>, eligible_keyframes int"
 )
 INCIDENTS = (
-    "incident_id string, run_id string, shot_id string, rule_id string, status string, reason_code string, severity string,"
-    " canonical_track_id string, object_id string, proposal_ids array<string>, first_seen_s double, confirmed_at_s double,"
-    " resolved_at_s double, confidence double, relative_band string"
+    "incident_id string, run_id string, shot_id string, catalogue_sha256 string, rule_id string, status string, reason_code string, basis string,"
+    " severity string, canonical_track_id string, object_id string, proposal_ids array<string>, first_seen_s double, confirmed_at_s double,"
+    " resolved_at_s double, confidence double, distance struct<lower:double,median:double,upper:double>, relative_band string,"
+    " observation_text string, action_code string, action_text string, references array<string>, evidence_path string, source_frame_index int"
 )
 COVERAGE = "run_id string, rule_id string, status string, reason_code string"
 CLAUSES = (

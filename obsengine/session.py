@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "obsengine", **conf: str) -> SparkSession:
@@ -47,3 +48,20 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     context.addPyFile(str(path))
     _SHIPPED.add(context.applicationId)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, for what several joins read; it cuts lineage and survives lost executors.
+
+    Where the session names no such folder, a temporary one is set, but only if it has one machine.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="obsengine-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/obsengine/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,11 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsengine import schema
-from obsengine.operators import ground, rules, scene
+from obsengine.operators import rules, scene
 
 W, H, CX, CY = 1920.0, 1080.0, 960.0, 540.0
-CAMERA = np.array([1700.0, 28.0, 3.4])
-INTERVALS = "run_id string, shot_id string, frame_index int, canonical_track_id string, object_id string, lower double, upper double"
+MEASURES = "run_id string, shot_id string, frame_index int, canonical_track_id string, object_id string, compatible boolean, distance double, lower double, median double, upper double"
 STATES = "run_id string, shot_id string, frame_index int, object_id string, operating_state string"
 
 
@@ -85,7 +84,7 @@ def test_restricted_zone(spark, name):
     zone = ("r", "restricted_zone-1", "restricted_zone", "polygon", SQUARE, None, None, None, 0.8, [1], 8)
     zones = spark.createDataFrame([zone] if there else [], schema.PROPOSALS)
     found, got = run_rule(spark, rules.restricted_zone, [row(t, anchor=anchor) for t in times], scenes, zones)
-    assert got == want and [(f.object_id, f.confidence) for f in found] == [("restricted_zone-1", 0.8)] * (want[0] == "alert")
+    assert got == want and [(f.object_id, f.proposal_ids, f.confidence) for f in found] == [(None, ["restricted_zone-1"], 0.8)] * (want[0] == "alert")
 
 
 PLANE = (False, True)
@@ -98,19 +97,28 @@ NEAR = {
     "unstable": ((True, True), (0.2, 1.4), "active", True, ("unsupported", "geometry_unstable_for_feed")),
     "no plane": ((False, False), (0.2, 1.4), "active", True, ("inconclusive", "relative_plane_unavailable")),
     "no vehicle": (PLANE, (0.2, 1.4), "active", False, ("not_applicable", "no_machinery_tracks")),
-    "off plane": (PLANE, (None, None), "active", True, ("inconclusive", "target_plane_incompatible")),
+    "no bounds": (PLANE, (None, None), "active", True, ("inconclusive", "inconclusive_distance")),
+    "no bounds, no state": (PLANE, (None, None), None, True, ("inconclusive", "operating_state_unknown")),
+    "off plane": (PLANE, None, "active", True, ("inconclusive", "target_plane_incompatible")),
+    "beyond candidates": (PLANE, (8.5, None), "active", True, ("clear", "outside_active_near_band")),
 }
 
 
+def measures(spark, to, bounds, frames):
+    """One pair's measures; bounds None: off the plane's support; upper None: no bounds."""
+    lower, upper = bounds or (None, None)
+    known = (lower, (lower + upper) / 2, upper) if upper is not None else (None, None, None)
+    return spark.createDataFrame([("r", "s0", f, "s0/person-1", to, bounds is not None, None if bounds is None else lower or 0.0, *known) for f in frames], MEASURES)
+
+
 @pytest.mark.parametrize("name", NEAR)
 def test_proximity(spark, name):
-    plane, (lower, upper), state, vehicle, want = NEAR[name]
+    plane, bounds, state, vehicle, want = NEAR[name]
     rows = [row(t) for t in STEPS] + [row(t, 50, "vehicle") for t in STEPS if vehicle]
     planes = spark.createDataFrame([("r", *plane, 0.81)], PLANE_ROWS)
     frames = [round(t * 10) for t in STEPS]
-    intervals = spark.createDataFrame([("r", "s0", f, "s0/person-1", "s0/vehicle-50", lower, upper) for f in frames], INTERVALS)
     states = spark.createDataFrame([("r", "s0", f, "s0/vehicle-50", state) for f in frames if state], STATES)
-    found, got = run_rule(spark, rules.proximity, rows, planes, intervals, states)
+    found, got = run_rule(spark, rules.proximity, rows, planes, measures(spark, "s0/vehicle-50", bounds, frames), states)
     assert got == want and [(f.object_id, f.confidence) for f in found] == [("s0/vehicle-50", 0.81)] * (want[0] == "alert")
 
 
@@ -118,9 +126,8 @@ def test_doubts_of_proximity_have_to_last(spark):
     rows = [row(t) for t in STEPS] + [row(t, 50, "vehicle") for t in STEPS]
     planes = spark.createDataFrame([("r", False, True, 0.81)], PLANE_ROWS)
     frames = [round(t * 10) for t in STEPS]
-    intervals = spark.createDataFrame([("r", "s0", f, "s0/person-1", "s0/vehicle-50", 0.2, 1.4) for f in frames], INTERVALS)
     states = spark.createDataFrame([("r", "s0", f, "s0/vehicle-50", "idle" if f > frames[0] else "unknown") for f in frames], STATES)
-    assert run_rule(spark, rules.proximity, rows, planes, intervals, states) == ([], ("clear", "outside_active_near_band"))
+    assert run_rule(spark, rules.proximity, rows, planes, measures(spark, "s0/vehicle-50", (0.2, 1.4), frames), states) == ([], ("clear", "outside_active_near_band"))
 
 
 EDGE = {
@@ -132,17 +139,21 @@ EDGE = {
     "guarded": ((True, "sufficient", "guarded"), (0.0, 0.7), ("clear", "guarded_or_outside_edge_band")),
     "vague": ((True, "sufficient", "unguarded_or_inadequate"), (0.5, 1.5), ("inconclusive", "inconclusive_distance")),
     "none": (None, (0.0, 0.7), ("not_applicable", "no_visible_open_edge_candidate")),
+    "no bounds": ((True, "sufficient", "unguarded_or_inadequate"), (0.0, None), ("inconclusive", "inconclusive_distance")),
+    "worker off plane": ((True, "sufficient", "unguarded_or_inadequate"), None, ("clear", "guarded_or_outside_edge_band")),
+    "edge off plane": ((True, "sufficient", "unguarded_or_inadequate"), (0.0, 0.7), ("inconclusive", "target_plane_incompatible")),
+    "beyond candidates": ((True, "sufficient", "unguarded_or_inadequate"), (8.5, None), ("clear", "guarded_or_outside_edge_band")),
 }
 
 
 @pytest.mark.parametrize("name", EDGE)
 def test_open_edge(spark, name):
-    flags, (lower, upper), want = EDGE[name]
+    flags, bounds, want = EDGE[name]
     scenes = spark.createDataFrame([("r", "ok")], "run_id string, scene_status string")
     edges = spark.createDataFrame([("r", "open_edge-1", "open_edge", "polyline", SQUARE[:2], *flags, 0.7, [1], 8)] if flags else [], schema.PROPOSALS)
     planes = spark.createDataFrame([("r", False, True, 0.81)], PLANE_ROWS)
-    intervals = spark.createDataFrame([("r", "s0", round(t * 10), "s0/person-1", "open_edge-1", lower, upper) for t in STEPS], INTERVALS)
-    found, got = run_rule(spark, rules.open_edge, [row(t) for t in STEPS], scenes, edges, planes, intervals)
+    held = spark.createDataFrame([("r", "open_edge-1", name != "edge off plane")], "run_id string, object_id string, compatible boolean")
+    found, got = run_rule(spark, rules.open_edge, [row(t) for t in STEPS], scenes, edges, planes, held, measures(spark, "open_edge-1", bounds, [round(t * 10) for t in STEPS]))
     assert got == want and [f.confidence for f in found] == [0.81] * (want[0] == "alert")
 
 
@@ -150,10 +161,11 @@ def test_all_rules_cover_each_run(spark):
     obs = spark.createDataFrame([row(t, helmet="no_helmet") for t in STEPS], schema.OBSERVATIONS)
     runs = spark.createDataFrame([("r",), ("empty",)], "run_id string")
     none = lambda s: spark.createDataFrame([], s)
-    found, coverage = rules.all_rules(obs, runs, none("run_id string, scene_status string"), none(schema.PROPOSALS), none(PLANE_ROWS), none(INTERVALS), none(INTERVALS), none(STATES))
+    found, coverage = rules.all_rules(obs, runs, none("run_id string, scene_status string"), none(schema.PROPOSALS), none(PLANE_ROWS), none(MEASURES), none("run_id string, object_id string, compatible boolean"), none(MEASURES), none(STATES))
     rows = coverage.collect()
     assert sorted((r.run_id, r.rule_id) for r in rows) == sorted(itertools.product(("r", "empty"), schema.DOMAINS["rule_id"]))
     assert all(r.status in schema.DOMAINS["status"] for r in rows) and [f.rule_id for f in found.collect()] == ["R1"]
+    assert [(n, t) for n, t in found.dtypes] == none(schema.INCIDENTS).dtypes
 
 
 def test_validation(spark):
@@ -163,40 +175,6 @@ def test_validation(spark):
     assert good.count() == 1 and rest.select("failed").collect()[0][0] == ["helmet"]
 
 
-def verticals(rng, tracks, per):
-    rows = []
-    for k in range(tracks):
-        for i in range(per):
-            x, z = rng.uniform(-6, 6), rng.uniform(5, 25)
-            fx, fy = ground.project(CAMERA, np.array(x), np.array(z), 0.0, CX, CY)
-            hx, hy = ground.project(CAMERA, np.array(x), np.array(z), 1.0, CX, CY)
-            noise = rng.normal(0, 0.5, 4)
-            rows.append(("r", f"t{k}", i * 1.0, *(float(v) for v in (hx + noise[0], hy + noise[1], fx + noise[2], fy + noise[3])), 2.0))
-    return rows
-
-
-VERTICALS = "run_id string, track string, t double, hx double, hy double, fx double, fy double, sigma double"
-
-
-def test_plane_fit_bootstrap_and_intervals(spark):
-    rng = np.random.default_rng(1)
-    v = spark.createDataFrame(verticals(rng, 8, 7), VERTICALS)
-    planes = ground.fit_planes(v, W, CX, CY).persist()
-    p = planes.first()
-    assert p.status == "ok" and abs(p.focal / 1700 - 1) < 0.1 and abs(p.pitch - 28) < 3 and abs(p.height / 3.4 - 1) < 0.12 and p.inlier_ratio > 0.95
-    ensemble = ground.bootstrap(v, planes, W, CX, CY, 40).persist()
-    assert ensemble.count() == 40 and abs(ensemble.agg(F.median("pitch")).first()[0] - 28) < 3
-    worker, target = (ground.project(CAMERA, np.array(x), np.array(8.0), 0.0, CX, CY) for x in (0.0, 2.0))
-    sky = (960.0, -2000.0)
-    pairs = [("r", i, float(w[0]), float(w[1]), 1.0, [{"x": float(target[0]), "y": float(target[1])}], 1.0) for i, w in enumerate((worker, sky))]
-    df = spark.createDataFrame(pairs, "run_id string, id int, wx double, wy double, w_noise double, targets array<struct<x:double,y:double>>, t_noise double")
-    near, none = (r for r in ground.distance_intervals(df, ensemble, ["id"], CX, CY, 0.5, least=30).orderBy("id").collect())
-    assert near.lower < 1.5 < near.upper and near.upper - near.lower < 1 and none.lower is None
-    few = ground.fit_planes(spark.createDataFrame(verticals(rng, 8, 1), VERTICALS), W, CX, CY).first()
-    assert few.status == "insufficient_vertical_observations"
-    assert ground.fit_planes(spark.createDataFrame(verticals(rng, 3, 8), VERTICALS), W, CX, CY).first().status == "insufficient_distinct_tracks"
-
-
 def test_scene_validation_and_consensus(spark):
     kinds = "run_id string, keyframe int, place int, row int, proposal_type string, points array<struct<x:double,y:double>>, visible_drop_or_open_side boolean"
     square = lambda d: [{"x": x + d, "y": y + d} for x, y in ((100.0, 100.0), (500.0, 100.0), (500.0, 500.0), (100.0, 500.0))]
