@@ -1,4 +1,4 @@
-"""Conditions on boxes, crops, keypoints and clips, and projections between image spaces."""
+"""Conditions on boxes, crops and clips, and projections between image spaces."""
 
 from __future__ import annotations
 
@@ -71,20 +71,3 @@ def letterboxed(width: Column, height: Column, canvas_width: int, canvas_height:
     w, h = F.bround(width * scale).cast("int"), F.bround(height * scale).cast("int")
     half = lambda c, v: F.floor((F.lit(c) - v) / 2).cast("int")
     return F.struct(half(canvas_width, w).alias("x"), half(canvas_height, h).alias("y"), w.alias("w"), h.alias("h"))
-
-
-def vertical_pair(keypoints: Column) -> Column:
-    """Struct (hx, hy, fx, fy, head, foot) of 17 keypoints (x, y, c): confidence-weighted mid-points of head and ankles.
-
-    The crown is put an eighth of the head-to-ankle distance above the face, the sole a twentieth below the ankles.
-    """
-
-    def middle(parts: Column) -> Column:
-        total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["c"])
-        mean = lambda n: F.try_divide(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[n] * p["c"]), total)
-        return F.struct(mean("x").alias("x"), mean("y").alias("y"), F.array_max(F.transform(parts, lambda p: p["c"])).alias("c"))
-
-    face, ankles = middle(F.slice(keypoints, 1, 5)), middle(F.slice(keypoints, 16, 2))
-    up = lambda n, share: face[n] + (face[n] - ankles[n]) * share
-    down = lambda n: ankles[n] + (ankles[n] - face[n]) * 0.05
-    return F.struct(up("x", 0.125).alias("hx"), up("y", 0.125).alias("hy"), down("x").alias("fx"), down("y").alias("fy"), face["c"].alias("head"), ankles["c"].alias("foot"))

@@ -79,19 +79,20 @@ def evaluated(
     obs: DataFrame, runs: DataFrame, scenes: DataFrame, proposals: DataFrame, planes: DataFrame, ensemble: DataFrame, frame: ground.Frame,
     content_bottom: float, s: rules.Settings = rules.Settings(), gates: ground.Gates = ground.Gates(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Incidents and coverage of all rules; planes and ensemble of planes_of.
+    """Incidents and coverage of all rules; planes and ensemble of planes_of. Measures and states are written, since rules read them several times.
     obs has one row for each track and frame: see one_row_a_frame."""
     workers = rules.people(obs)
     machines = rules.vehicles(obs).withColumnRenamed("canonical_track_id", "object_id")
     near = ground.machine_pairs(workers, machines, planes, rules.FRAME, frame, content_bottom, s.inflation)
     keys = ["shot_id", "frame_index", "canonical_track_id", "object_id"]
-    to_machines = ground.measured(near, ensemble, keys, frame, s.candidate, s.inflation, gates)
+    bounds = [*rules.FRAME, "canonical_track_id", "object_id", "compatible", "distance", "lower", "median", "upper"]
+    to_machines = written(ground.measured(near, ensemble, keys, frame, s.candidate, s.inflation, gates).select(*bounds), "machine-measures")
     edges = proposals.filter("proposal_type = 'open_edge'").select("run_id", F.col("proposal_id").alias("object_id"), "points")
     held = ground.edge_support(edges, planes, frame)
-    to_edges = ground.measured(ground.edge_pairs(workers, held, planes, rules.FRAME, frame), ensemble, keys, frame, s.candidate, 0.0, gates)
-    bounds = [*rules.FRAME, "canonical_track_id", "object_id", "compatible", "distance", "lower", "median", "upper"]
+    by_edge = ground.measured(ground.edge_pairs(workers, held, planes, rules.FRAME, frame), ensemble, keys, frame, s.candidate, 0.0, gates)
+    to_edges, states = written(by_edge.select(*bounds), "edge-measures"), written(machine_states(obs, planes, frame), "machine-states")
     flags = planes.select("run_id", "unstable", "ready", "inlier_ratio")
-    return rules.all_rules(obs, runs, scenes, proposals, flags, to_machines.select(*bounds), held.drop("points"), to_edges.select(*bounds), machine_states(obs, planes, frame), s)
+    return rules.all_rules(obs, runs, scenes, proposals, flags, to_machines, held.drop("points"), to_edges, states, s)
 
 
 def one_row_a_frame(obs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from obsengine import schema
 from obsengine.functions import geometry as g
-from obsengine.operators import clips, ground, rules, support
+from obsengine.operators import clips, ground, poses, rules, support
 from obsengine.plans.common import HOUR, events, table
 from obsengine.plans.rule_queries import EPOCH, reported
 from obsengine.session import written
@@ -98,7 +98,36 @@ def clip_planes(spark, sf_dir):
     return planes.select("run_id", "status", "unstable", "focal", "pitch", "height", "n_observations", "n_tracks", "inlier_ratio", "rms", "condition", "horizon_shift", "n_replicates", F.round(g.area(F.col("region")), 6).alias("support"))
 
 
-QUERIES = {f.__name__: f for f in (support_region, split_values, clip_rules, clip_planes)}
+#: Keypoints of a standing figure of height 1, from the crown down: (across, down).
+FIGURE = [
+    (0.0, 0.09), (-0.02, 0.07), (0.02, 0.07), (-0.04, 0.08), (0.04, 0.08), (-0.12, 0.19), (0.12, 0.19), (-0.16, 0.33), (0.16, 0.33),
+    (-0.17, 0.46), (0.17, 0.46), (-0.08, 0.52), (0.08, 0.52), (-0.08, 0.74), (0.08, 0.74), (-0.08, 0.96), (0.08, 0.96),
+]
+
+
+def pose_verticals(spark, sf_dir):
+    """Upright people of figures made of events: as tall as the value, of varied confidence; clicks crouch, and errors lean."""
+    e = events(spark, sf_dir)
+    event, kind, tall = F.col("event_id"), F.col("event_type"), 40 + F.col("value")
+    down = lambda i, y: y * F.when((kind == "click") & (F.lit(i) > 12), 0.75).otherwise(1.0)
+    lean = lambda y: F.when(kind == "error", 0.4 * y).otherwise(0.0)
+    points = [
+        F.struct(((x + lean(y)) * tall + event % 7).alias("x"), (down(i, y) * tall + event % (i + 2)).alias("y"), (0.4 + 0.6 * ((event * (i + 3)) % 50) / 50).alias("c"))
+        for i, (x, y) in enumerate(FIGURE)
+    ]
+    seen = e.select(
+        F.lit("r").alias("run_id"), F.lit("s0").alias("shot_id"), event.alias("frame_index"), (event / 10).alias("video_time_s"), F.col("user_id").cast("string").alias("canonical_track_id"),
+        F.array(*points).alias("keypoints"), (F.col("user_id") % 100).alias("crop_x"), (F.col("user_id") % 50).alias("crop_y"),
+    )
+    v = poses.verticals(seen)
+    whole = lambda v: F.floor(v * 1000 + 0.5001)  # thousandths; off the ties, where engines differ
+    some = [whole(F.col(c)).alias(c) for c in ("hx", "hy", "fx", "fy", "head", "foot", "standing", "occlusion", "pixels", "sigma")]
+    spread = F.col("covariance")
+    off = F.aggregate(F.flatten(spread), F.lit(0.0), lambda s, x: s + x) - 2 * spread[0][0] - 2 * spread[3][3]
+    return v.select("observation_id", *some, whole(spread[1][1]).alias("head_variance"), whole(spread[2][2]).alias("foot_variance"), whole(off).alias("between"))
+
+
+QUERIES = {f.__name__: f for f in (support_region, split_values, clip_rules, clip_planes, pose_verticals)}
 
 #: Corners are found one by one, from the lowest on: the next is the one that has all others to its left, the farthest on ties.
 #: A point is held if it is no farther out than the corners and the margin's ring, along the normals of the sides of both.
@@ -128,4 +157,19 @@ c AS (SELECT l_suppkey, i AS cut, gap FROM g WHERE gap IS NOT NULL QUALIFY row_n
 s AS (SELECT l_suppkey, any_value(n) AS n, count(*) FILTER (i < cut) AS low,
   greatest(coalesce(stddev_pop(v) FILTER (i < cut), 0), coalesce(stddev_pop(v) FILTER (i >= cut), 0), 1) AS spread FROM g LEFT JOIN c USING (l_suppkey) GROUP BY l_suppkey)
 SELECT l_suppkey, n, n >= 20 AND least(low, n - low) >= 0.1 * n AND coalesce(gap > greatest(4 * spread, 1000), false) AS split FROM (SELECT l_suppkey, n, low, spread, (SELECT c.gap FROM c WHERE c.l_suppkey = s.l_suppkey) AS gap FROM s)""",
+    "pose_verticals": f"""WITH k AS (SELECT event_id, user_id, list_transform(range(17), lambda i: {{
+    'x': (f[i + 1][1] + if(event_type = 'error', 0.4 * f[i + 1][2], 0)) * (40 + value) + event_id % 7 + user_id % 100,
+    'y': f[i + 1][2] * if(event_type = 'click' AND i > 12, 0.75, 1) * (40 + value) + event_id % (i + 2) + user_id % 50, 'c': 0.4 + 0.6 * ((event_id * (i + 3)) % 50) / 50}}) AS p
+  FROM events, (SELECT {[list(p) for p in FIGURE]} AS f)),
+m AS (SELECT event_id, user_id, list_filter(p, lambda q: q.c < 0.5).len() / 17 AS occlusion, list_filter(p[1:5], lambda q: q.c >= 0.6) AS h, list_filter(p[6:7], lambda q: q.c >= 0.6) AS s,
+  list_filter(p[12:13], lambda q: q.c >= 0.6) AS g, list_filter(p[16:17], lambda q: q.c >= 0.6) AS a FROM k),
+c AS (SELECT event_id, user_id, occlusion, list_avg(list_transform(h, lambda q: q.c)) AS head, list_avg(list_transform(a, lambda q: q.c)) AS foot, {", ".join(f"list_sum(list_transform({n}, lambda q: q.{d} * q.c)) / list_sum(list_transform({n}, lambda q: q.c)) AS {n}{d}" for n in "hsga" for d in "xy")} FROM m),
+t AS (SELECT *, hx + 0.54 * (hx - sx) AS kx, hy + 0.54 * (hy - sy) AS ky, sqrt((gx - sx) ** 2 + (gy - sy) ** 2) AS torso, sqrt((ax - gx) ** 2 + (ay - gy) ** 2) AS legs FROM c),
+u AS (SELECT *, ax + 0.039 / 0.961 * (ax - kx) AS fx, ay + 0.039 / 0.961 * (ay - ky) AS fy,
+  least(greatest(0, least(1, (((gx - sx) * (ax - gx) + (gy - sy) * (ay - gy)) / (torso * legs) - 0.8) / 0.15)), greatest(0, least(1, (legs / torso - 0.8) / 0.6))) AS standing FROM t),
+w AS (SELECT *, sqrt((kx - fx) ** 2 + (ky - fy) ** 2) AS pixels FROM u WHERE hx + sx + gx + ax IS NOT NULL)
+SELECT user_id || '-' || event_id AS observation_id, floor(kx * 1000 + 0.5001)::BIGINT AS hx, floor(ky * 1000 + 0.5001)::BIGINT AS hy, floor(fx * 1000 + 0.5001)::BIGINT AS fx, floor(fy * 1000 + 0.5001)::BIGINT AS fy, floor(head * 1000 + 0.5001)::BIGINT AS head, floor(foot * 1000 + 0.5001)::BIGINT AS foot, floor(standing * 1000 + 0.5001)::BIGINT AS standing,
+  floor(occlusion * 1000 + 0.5001)::BIGINT AS occlusion, floor(pixels * 1000 + 0.5001)::BIGINT AS pixels, floor(greatest(2, 0.03 * pixels) * 1000 + 0.5001)::BIGINT AS sigma, floor(((0.03 * pixels / greatest(head, 0.5)) ** 2) * 1000 + 0.5001)::BIGINT AS head_variance,
+  floor(((0.015 * pixels / greatest(foot, 0.5)) ** 2) * 1000 + 0.5001)::BIGINT AS foot_variance, 0::BIGINT AS between
+FROM w WHERE standing >= 0.8 AND occlusion <= 0.25 AND least(head, foot) >= 0.6 AND abs(ky - fy) >= 40""",
 }

@@ -65,13 +65,12 @@ def test_cache_and_seam(spark):
 
 def test_predicates(spark):
     b = F.struct(F.lit(10.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(80.0).alias("x2"), F.lit(180.0).alias("y2"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((i * 0 + 100.0).alias("x"), F.when(i < 5, 50.0).otherwise(210.0).alias("y"), F.lit(0.8).alias("c")))
     r = spark.range(1).select(
         p.assessable(b).alias("a"), p.pose_candidate(b, 1920.0, 1080.0).alias("pose"), p.contact_visible(b, 182.0).alias("contact"), p.contacts(b).alias("c"),
-        p.letterboxed(F.lit(2160), F.lit(3840), 1920, 1080).alias("box"), p.vertical_pair(points).alias("v"), p.gear_colour(F.lit("helmet"), F.lit("no_vest")).alias("colour"), p.negative_class(F.lit("no-vest")).alias("neg"),
+        p.letterboxed(F.lit(2160), F.lit(3840), 1920, 1080).alias("box"), p.gear_colour(F.lit("helmet"), F.lit("no_vest")).alias("colour"), p.negative_class(F.lit("no-vest")).alias("neg"),
         p.upright_observation(F.lit(0.9), F.lit(0.1), F.lit(0.7), F.lit(0.7), F.lit(-50)).alias("up"),
     ).first()
     assert r.a and r.pose and not r.contact and [x.x for x in r.c] == [10, 80] and tuple(r.box) == (656, 0, 608, 1080)
-    assert (r.v.hy, r.v.fy, r.v.hx) == (30, 218, 100) and r.colour == "missing" and r.neg and r.up
+    assert r.colour == "missing" and r.neg and r.up
     checks = p.clip_checks(F.lit(1920), F.lit(1080), F.lit(70), F.lit(3.0))
     assert spark.range(1).select(*(c.alias(n) for n, c in checks.items())).first().asDict() == {"aspect": True, "duration": True, "width": True, "steady": False, "usable_drift": True}
