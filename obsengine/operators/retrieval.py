@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -54,30 +55,96 @@ def hybrid(lexical_hits: DataFrame, dense_hits: DataFrame, query_key: str, doc_k
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def diverse(candidates: DataFrame, query_key: str, doc_key: str, k: int, weight: float = 0.6, vector: str = "embedding") -> DataFrame:
+def dense_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int, vector: str = "embedding") -> DataFrame:
+    """(query, doc, score, rank): the k best cosines above 0, to nine places, of each of a stated set of query vectors, no more than QUERY_VECTORS.
+
+    Queries are one matrix in every task, which keeps the k best of each as it reads the rows, and sends on no others.
+    doc_key is a long. Rows and queries without a vector have no cosine.
+    """
+    asked = queries.select(F.col(query_key).alias("_q"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).filter("_v IS NOT NULL").limit(QUERY_VECTORS + 1).collect()
+    if len(asked) > QUERY_VECTORS:
+        raise ValueError(f"more than {QUERY_VECTORS} query vectors: ask in blocks")
+    kind = dict(queries.dtypes)[query_key]
+    schema = f"{query_key} {kind}, {doc_key} long, score double"
+    if not asked:
+        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    names, matrix = [r["_q"] for r in asked], unit(np.array([r["_v"] for r in asked], float))
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, ids = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), 1024):
+                part = frame.iloc[at : at + 1024]
+                new = np.round(matrix @ unit(np.array(part[vector].tolist(), float)).T, 9)
+                both = np.hstack([scores, new]), np.hstack([ids, np.broadcast_to(part[doc_key].to_numpy(np.int64), new.shape)])
+                scores, ids = best(*both)
+        q, at = np.nonzero(scores > 0)
+        yield pd.DataFrame({query_key: [names[i] for i in q], doc_key: ids[q, at], "score": scores[q, at]})
+
+    found = docs.select(F.col(doc_key).cast("long").alias(doc_key), vector).filter(F.col(vector).isNotNull()).mapInPandas(run, schema)
+    return top(found, query_key, doc_key, k)
+
+
+def diverse(candidates: DataFrame, query_key: str, doc_key: str, k: int, weight: float = 0.6, vector: str = "embedding", text: str | None = None) -> DataFrame:
     """Maximal marginal relevance over each query's candidates (query, doc, score, rank, vector), which `top` has bounded.
 
     Relevance is the score over the best one; the first pick goes by it alone, later ones also by how unlike the
-    picked they are; earlier candidates win ties.
+    picked they are; earlier candidates win ties. Two are alike by the cosine of their vectors or, where one has none, by the
+    Jaccard similarity of their texts' term bigrams (`text`; none without it); what points away is as unlike as can be, not more.
     """
     types = dict(candidates.dtypes)
+    grams = t.ngrams(t.without(t.tokens(F.col(text))), 2) if text else F.array().cast("array<string>")
+    rows = candidates.select(query_key, doc_key, "score", "rank", F.col(vector).alias("_v"), grams.alias("_g"))
+
+    def likeness(frame: pd.DataFrame) -> np.ndarray:
+        known = np.array([v is not None for v in frame["_v"]])
+        alike = np.zeros((len(frame), len(frame)))
+        if known.any():
+            vectors = np.array(frame["_v"][known].tolist(), float)
+            unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            alike[np.ix_(known, known)] = np.round(unit @ unit.T, 12)
+        sets = [set(g) for g in frame["_g"]]
+        for i, j in itertools.combinations(range(len(frame)), 2):
+            if not (known[i] and known[j]) and sets[i] and sets[j]:
+                alike[i, j] = alike[j, i] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        return np.maximum(alike, 0)
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank", kind="stable").reset_index(drop=True)
-        vectors = np.array(frame[vector].tolist(), float)
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        alike = np.round(unit @ unit.T, 12)
-        relevance = frame["score"].to_numpy() / max(1e-12, frame["score"].max())
+        alike = likeness(frame)
+        relevance = frame["score"].to_numpy() / (frame["score"].max() or 1.0)
         picked: list[int] = []
         while len(picked) < min(k, len(frame)):
             rest = [i for i in range(len(frame)) if i not in picked]
-            worth = [weight * relevance[i] - (1 - weight) * (alike[i, picked].max() if picked else 0) for i in rest]
-            picked.append(rest[int(np.argmax(worth))])
-        out = frame.loc[picked, [query_key, doc_key]]
+            worth = [weight * relevance[i] - (1 - weight) * alike[i, picked].max() if picked else relevance[i] for i in rest]
+            picked.append(rest[int(np.argmax(np.round(worth, 12)))])
+        out = frame.loc[picked, [query_key, doc_key, "score"]]
         return out.assign(rank=range(1, len(picked) + 1))
 
-    schema = f"{query_key} {types[query_key]}, {doc_key} {types[doc_key]}, rank int"
-    return candidates.groupBy(query_key).applyInPandas(pick, schema)
+    schema = f"{query_key} {types[query_key]}, {doc_key} {types[doc_key]}, score double, rank int"
+    return rows.groupBy(query_key).applyInPandas(pick, schema)
+
+
+def searched(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int, text: str = "text", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """(query, doc, score, rank): whole hybrid search, for many queries at once.
+
+    Queries with a vector fuse the 2 k best by terms with the 2 k best by cosine, and put the k best of those in order of marginal relevance;
+    queries without one pick k of the 2 k best by terms so. Documents may lack vectors. Lexical scores are rounded to `digits`.
+    """
+    both = 2 * k
+    terms = lexical(queries, query_key, docs, doc_key, text).withColumn("score", F.round("score", digits))
+    by_terms = top(terms, query_key, doc_key, both)
+    by_cosine = dense_top(queries, query_key, docs, doc_key, both, vector)
+    seen = queries.filter(F.col(vector).isNotNull()).select(query_key)
+    fused = hybrid(by_terms.join(seen, query_key, "left_semi"), by_cosine, query_key, doc_key, k).select(query_key, doc_key, "score", "rank")
+    plain = by_terms.join(seen, query_key, "left_anti").select(query_key, doc_key, "score", "rank")
+    found = fused.unionByName(plain).join(docs.select(doc_key, text, vector), doc_key)
+    return diverse(found, query_key, doc_key, k, vector=vector, text=text)
 
 
 def hint_share(text: Column, hints: Sequence[str]) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from obsengine.plans import join_queries, measure_queries, plane_queries, review_queries, rule_queries, sequence_queries, text_queries
+from obsengine.plans import join_queries, measure_queries, plane_queries, profile_queries, review_queries, rule_queries, sequence_queries, text_queries
 
-MODULES = (sequence_queries, join_queries, text_queries, measure_queries, review_queries, rule_queries, plane_queries)
+MODULES = (sequence_queries, join_queries, text_queries, measure_queries, review_queries, rule_queries, plane_queries, profile_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for module in MODULES:

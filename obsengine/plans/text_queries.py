@@ -34,7 +34,19 @@ def topk_dense(spark, sf_dir):
 def mmr_rerank(spark, sf_dir):
     e, asked = label_vectors(spark, sf_dir)
     hits = retrieval.top(retrieval.dense(asked, "label", e, "vec_id").withColumn("score", F.round("score", 9)), "label", "vec_id", 10)
-    return retrieval.diverse(hits.join(e.select("vec_id", "embedding"), "vec_id"), "label", "vec_id", 5)
+    return retrieval.diverse(hits.join(e.select("vec_id", "embedding"), "vec_id"), "label", "vec_id", 5).drop("score")
+
+
+def hybrid_search(spark, sf_dir):
+    """Benchmark passages looked up in documents by terms and vectors; every fourth has no vector, nor have documents beyond the embeddings."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.join(vectors, docs.doc_id == F.col("_id"), "left").drop("_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    mine = vectors.withColumn("embedding", F.when(F.col("_id") % 4 != 3, F.col("embedding")))
+    asked = asked.join(mine, asked.item_id == F.col("_id"), "left").drop("_id")
+    found = retrieval.searched(asked, "item_id", docs, "doc_id", 5)
+    return found.withColumn("score", F.round("score", 9))
 
 
 def hint_score(spark, sf_dir):
@@ -104,7 +116,7 @@ def vector_profile(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_topk, topk_dense, mmr_rerank, hint_score, grounding_overlap, sentence_grounded, bigram_jaccard, text_gate_failures,
+        lexical_topk, topk_dense, mmr_rerank, hybrid_search, hint_score, grounding_overlap, sentence_grounded, bigram_jaccard, text_gate_failures,
         question_router, token_counts, html_escape_report, json_props, vector_profile,
     )
 }
@@ -114,7 +126,37 @@ TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 TERMS = f"list_filter({TOKENS}, lambda w: w NOT IN ({STOP}))"
 TURNS = "c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
 GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')))"
+#: Picks by marginal relevance from c (q, d, score, rank) and likeness a (q, x, y, s): k of them, the first by relevance alone.
+PICKS = """c AS MATERIALIZED (SELECT *, score / max(score) OVER (PARTITION BY q) AS rel FROM cand),
+p AS (SELECT q, 1 AS n, [d] AS picked, d, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rel DESC, rank) AS first FROM c) WHERE first = 1
+  UNION ALL SELECT q, n + 1, list_append(picked, d), d, score FROM (
+    SELECT p.q, p.n, p.picked, c.d, c.score, row_number() OVER (PARTITION BY p.q ORDER BY round(0.6 * c.rel - 0.4 * (SELECT coalesce(max(greatest(a.s, 0)), 0) FROM a WHERE a.q = c.q AND a.x = c.d AND list_contains(p.picked, a.y)), 12) DESC, c.rank) AS first
+    FROM p JOIN c ON c.q = p.q AND NOT list_contains(p.picked, c.d) WHERE p.n < 5) WHERE first = 1)"""
+SHARED = """d AS (SELECT doc_id, unnest({terms}) AS term FROM documents), dc AS (SELECT doc_id, term, count(*) AS n FROM d GROUP BY ALL),
+q AS (SELECT item_id, unnest({terms}) AS term FROM benchmark), qc AS (SELECT item_id, term, count(*) AS n FROM q GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS size FROM dc GROUP BY doc_id),
+s AS (SELECT item_id, doc_id, sum(least(qc.n, dc.n)) AS shared FROM qc JOIN dc USING (term) GROUP BY ALL)"""
 ORACLE_SQL = {
+    "mmr_rerank": f"""WITH RECURSIVE q AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label),
+s AS (SELECT q.label, d.vec_id, d.embedding, round(list_cosine_similarity(q.e::DOUBLE[], d.embedding::DOUBLE[]), 9) AS score FROM q, embeddings AS d),
+cand AS MATERIALIZED (SELECT label AS q, vec_id AS d, score, embedding, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10),
+a AS MATERIALIZED (SELECT x.q, x.d AS x, y.d AS y, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 12) AS s FROM cand x JOIN cand y USING (q)), {PICKS}
+SELECT q AS label, d AS vec_id, n AS rank FROM p""",
+    "hybrid_search": f"""WITH RECURSIVE {SHARED.format(terms=TERMS.format("text"))},
+lex AS (SELECT item_id, doc_id, round(shared / (1 + ln(1 + size)), 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(shared / (1 + ln(1 + size)), 9) DESC, doc_id) AS rank
+  FROM s JOIN z USING (doc_id) QUALIFY rank <= 10),
+seen AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id WHERE vec_id % 4 <> 3),
+vd AS (SELECT doc_id, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+cos AS (SELECT item_id, doc_id, round(list_cosine_similarity(seen.embedding::DOUBLE[], vd.embedding::DOUBLE[]), 9) AS score FROM seen, vd),
+den AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cos WHERE score > 0 QUALIFY rank <= 10),
+lists AS (SELECT item_id, doc_id, 1 / (60 + rank) AS r, 'lexical' AS list, rank FROM lex WHERE item_id IN (SELECT item_id FROM seen) UNION ALL SELECT item_id, doc_id, 1 / (60 + rank), 'dense', rank FROM den),
+fused AS (SELECT item_id, doc_id, sum(r) AS score, min((if(list = 'lexical', 0, 1), rank)) AS first FROM lists GROUP BY ALL),
+cand AS MATERIALIZED (SELECT item_id AS q, doc_id AS d, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, first) AS rank FROM fused QUALIFY rank <= 5
+  UNION ALL SELECT item_id, doc_id, score, rank FROM lex WHERE item_id NOT IN (SELECT item_id FROM seen)),
+w AS MATERIALIZED (SELECT q, d, embedding, {GRAMS.format("k", 2)} AS g FROM (SELECT q, d, {TERMS.format("text")} AS k, (SELECT e.embedding FROM embeddings e WHERE e.vec_id = d) AS embedding FROM cand JOIN documents ON doc_id = d)),
+a AS MATERIALIZED (SELECT x.q, x.d AS x, y.d AS y, CASE WHEN x.embedding IS NOT NULL AND y.embedding IS NOT NULL THEN round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 12)
+  WHEN len(x.g) > 0 AND len(y.g) > 0 THEN len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)) ELSE 0 END AS s FROM w x JOIN w y ON x.q = y.q AND x.d <> y.d), {PICKS}
+SELECT q AS item_id, d AS doc_id, round(score, 9) AS score, n AS rank FROM p""",
     "lexical_topk": f"""
 WITH d AS (SELECT doc_id, unnest({TERMS.format("text")}) AS term FROM documents), dc AS (SELECT doc_id, term, count(*) AS n FROM d GROUP BY ALL),
 q AS (SELECT item_id, unnest({TERMS.format("text")}) AS term FROM benchmark), qc AS (SELECT item_id, term, count(*) AS n FROM q GROUP BY ALL),
