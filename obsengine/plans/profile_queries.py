@@ -1,11 +1,11 @@
-"""Queries on labelled clips: boxes made of events, users in clips of six, twelve hours a frame."""
+"""Queries on labelled clips: boxes made of events, users in clips of six, twelve hours a frame; and on calibration and intake."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obsengine.operators import profiles
-from obsengine.plans.common import HOUR, events
+from obsengine.operators import calibration, intake, profiles
+from obsengine.plans.common import HOUR, events, table
 from obsengine.plans.rule_queries import EPOCH
 
 CLIPS, SAMPLED = 6, 20
@@ -45,7 +45,37 @@ def people_with_helmets(spark, sf_dir):
     return profiles.wearing(b.filter("name = 'person'"), b.filter("name = 'helmet'"), ["clip", "frame"], "row_id", *profiles.WEAR["helmet"])
 
 
-QUERIES = {f.__name__: f for f in (clip_profiles, people_with_helmets)}
+HEADS, WAYS = 3, 10
+
+
+def head_temperatures(spark, sf_dir):
+    """Temperatures of three heads: the first values of an embedding are the logits of its label, the steeper the higher the head."""
+    head = F.col("vec_id") % HEADS
+    logits = F.transform(F.slice("embedding", 1, WAYS), lambda x: x.cast("double") * (1 + 4 * head))
+    rows = table(spark, sf_dir, "embeddings").select(head.alias("head"), logits.alias("logits"), F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("label") % WAYS).alias("label"))
+    return calibration.temperatures(rows, "head", "logits", "label").select("head", "n", F.round("temperature", 4).alias("temperature"))
+
+
+#: What the names of annotations are; None: known, and left out.
+CLASSES = {"click": "person", "view": "person", "purchase": "truck", "error": "crane", "signup": None}
+
+
+def annotation_intake(spark, sf_dir):
+    """Annotated images of users: an event is an object of its user's image, as its type names it; every ninth user has no image, and each of a dozen the same."""
+    e = events(spark, sf_dir)
+    user, event = F.col("user_id"), F.col("event_id")
+    whole = lambda c: c.cast("int")
+    x, y = event % 700 - 30, user * 7 % 500 - 20
+    size = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
+    item = F.struct(F.col("event_type").alias("name"), whole(x).alias("x1"), whole(y).alias("y1"), whole(x + F.floor("value") % 50).alias("x2"), whole(y + event % 60).alias("y2"), size.alias("size"))
+    documents = e.groupBy(F.concat(F.lit("I0001"), F.lpad(user.cast("string"), 8, "0"), F.lit("000000_1")).alias("stem")).agg(F.collect_list(item).alias("labels"))
+    images = e.filter(user % 9 != 0).select(F.concat(F.lit("I0001"), F.lpad(user.cast("string"), 8, "0"), F.lit("000000_1")).alias("stem"), F.when(user % 13 == 5, "same").otherwise(user.cast("string")).alias("sha256")).distinct()
+    labels, _ = intake.converted(documents, images, CLASSES)
+    shares = [F.floor(F.col(c) * 100_000 + 0.5001).alias(c) for c in ("xc", "yc", "w", "h")]
+    return labels.select("stem", "group", "class_name", *shares)
+
+
+QUERIES = {f.__name__: f for f in (clip_profiles, people_with_helmets, head_temperatures, annotation_intake)}
 
 B = f"""b AS (SELECT clip, frame, row_id, track, name, x1, y1, x1 + if(name = 'person', 60, 20) AS x2, y1 + if(name = 'person', 30 + floor(value)::BIGINT % 150, 20) AS y2 FROM (
   SELECT *, CASE name WHEN 'person' THEN x WHEN 'ebox' THEN user_id % 7 * 40 + event_id % (3 + user_id % 6 * 9) ELSE x + event_id % 70 - 10 END AS x1,
@@ -71,4 +101,17 @@ SELECT g.*, t_h[1 + floor(len(t_h) * 0.1)::BIGINT]::DOUBLE AS person_p10, t_h[1
   round(1 - coalesce(vest / nullif(w.n, 0), 0), 6) AS no_vest, round(frames / 25 / 60, 6) AS minutes
 FROM (SELECT clip, count(*) AS boxes, count(DISTINCT frame) AS frames, max(x2)::DOUBLE + 1 AS width, max(y2)::DOUBLE + 1 AS height FROM b GROUP BY clip) g
 LEFT JOIN (SELECT clip, t AS t_h FROM h) h USING (clip) LEFT JOIN (SELECT clip, t AS t_c FROM c) c USING (clip) LEFT JOIN m USING (clip) LEFT JOIN w USING (clip)""",
+    "head_temperatures": f"""WITH RECURSIVE v AS (SELECT vec_id % {HEADS} AS head, label % {WAYS} AS y, list_transform(embedding[1:{WAYS}]::DOUBLE[], lambda x: x * (1 + 4 * (vec_id % {HEADS}))) AS z FROM embeddings WHERE vec_id % 11 <> 0),
+s AS (SELECT head, 0 AS k, 0.1::DOUBLE AS lo, 4::DOUBLE AS hi FROM (SELECT DISTINCT head FROM v)
+  UNION ALL SELECT head, k + 1, CASE WHEN up THEN lo ELSE mid END, CASE WHEN up THEN mid ELSE hi END FROM (
+    SELECT s.head, k, lo, hi, (lo + hi) / 2 AS mid, sum(list_sum(list_transform(z, lambda x: x * exp((lo + hi) / 2 * (x - list_max(z))))) / list_sum(list_transform(z, lambda x: exp((lo + hi) / 2 * (x - list_max(z))))) - z[y + 1]) > 0 AS up
+    FROM s JOIN v USING (head) WHERE k < 45 GROUP BY s.head, k, lo, hi))
+SELECT head, (SELECT count(*) FROM v WHERE v.head = s.head) AS n, round(2 / (lo + hi), 4) AS temperature FROM s WHERE k = 45""",
+    "annotation_intake": f"""WITH e AS (SELECT user_id, event_id, value, event_type, 'I0001' || lpad(user_id::VARCHAR, 8, '0') || '000000_1' AS stem FROM events),
+i AS (SELECT stem FROM (SELECT DISTINCT stem, user_id, if(user_id % 13 = 5, 'same', user_id::VARCHAR) AS sha FROM e WHERE user_id % 9 <> 0) QUALIFY row_number() OVER (PARTITION BY sha ORDER BY stem) = 1),
+b AS (SELECT stem, event_type, event_id % 700 - 30 AS x, user_id * 7 % 500 - 20 AS y, event_id % 700 - 30 + floor(value)::BIGINT % 50 AS xx, user_id * 7 % 500 - 20 + event_id % 60 AS yy FROM e WHERE stem IN (SELECT stem FROM i)),
+c AS (SELECT stem, event_type, least(greatest(x, 0), least(xx, 640)) AS x1, greatest(greatest(x, 0), least(xx, 640)) AS x2, least(greatest(y, 0), least(yy, 480)) AS y1, greatest(greatest(y, 0), least(yy, 480)) AS y2 FROM b WHERE event_type <> 'signup')
+SELECT stem, 'I0001/' || stem[6:13] AS group, CASE event_type WHEN 'purchase' THEN 'truck' WHEN 'error' THEN 'crane' ELSE 'person' END AS class_name,
+  floor(round((x1 + x2) / 2 / 640, 6) * 100000 + 0.5001)::BIGINT AS xc, floor(round((y1 + y2) / 2 / 480, 6) * 100000 + 0.5001)::BIGINT AS yc, floor(round((x2 - x1) / 640, 6) * 100000 + 0.5001)::BIGINT AS w, floor(round((y2 - y1) / 480, 6) * 100000 + 0.5001)::BIGINT AS h
+FROM c WHERE x2 - x1 >= 4 AND y2 - y1 >= 4""",
 }

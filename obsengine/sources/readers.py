@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsengine import schema
 
+#: Bytes: files that are hashed whole, the head and tail of others, and what is read at once. The first two are fixed values.
+WHOLE_BELOW, SAMPLE, PIECE = 64 * 1024 * 1024, 16 * 1024 * 1024, 4 << 20
+ANNOTATION = "name:string,x1:int,y1:int,x2:int,y2:int,size:struct<width:int,height:int>"
+
 
 def observations(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """JSON lines of schema.OBSERVATIONS; blank lines are skipped, malformed ones are an error."""
@@ -80,9 +89,44 @@ def media_listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def fingerprints(spark: SparkSession, path: str, whole_below: int = WHOLE_BELOW, sample: int = SAMPLE) -> DataFrame:
+    """(path, length, sha256, complete) of files, whatever their length: each is read in its task, in pieces of no more than PIECE bytes.
+
+    Files of up to whole_below bytes are hashed whole. Of longer ones it is their length, a line's end, their first and their last `sample`
+    bytes, and complete is false. Files are listed without their contents; the store has to be one that pyarrow opens. Empty files aren't listed.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def pieces(f, start: int, end: int) -> Iterator[bytes]:
+        f.seek(start)
+        while start < end and (piece := f.read(min(PIECE, end - start))):
+            start += len(piece)
+            yield piece
+
+    def digest(name: str, length: int) -> tuple[str, bool]:
+        store, at = fs.FileSystem.from_uri(name)
+        whole = length <= whole_below
+        ranges = [(0, length)] if whole else [(0, min(sample, length)), (max(0, length - sample), length)][: 2 if length > sample else 1]
+        found = hashlib.sha256(b"" if whole else f"{length}\n".encode())
+        with store.open_input_file(at) as f:
+            for start, end in ranges:
+                for piece in pieces(f, start, end):
+                    found.update(piece)
+        return found.hexdigest(), whole
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            read = [digest(p, n) for p, n in zip(frame["path"], frame["length"], strict=True)]
+            yield frame.assign(sha256=[r[0] for r in read], complete=[r[1] for r in read])
+
+    return listed.mapInPandas(run, "path string, length long, sha256 string, complete boolean")
+
+
+def annotations(spark: SparkSession, documents: str, images: str) -> tuple[DataFrame, DataFrame]:
+    """Annotation documents (stem, labels) of a folder of JSON files, and the images (stem, sha256) of another, for intake.converted."""
+    labels = spark.read.schema(f"labels array<struct<{ANNOTATION}>>").option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(documents)
+    pictures = fingerprints(spark, images, whole_below=1 << 62).filter("path ILIKE '%.jpg'")
+    return labels.select(file_stem("_metadata.file_path").alias("stem"), "labels"), pictures.select(file_stem("path").alias("stem"), "sha256")
 
 
 def strided(frames: DataFrame, native_fps: float, target_fps: float) -> DataFrame:
