@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from obsengine.functions import text as t
 from obsengine.functions import vectors as v
 from obsengine.operators import joins
+from obsengine.session import written
 
-QUERY_VECTORS = 10_000
+QUERY_VECTORS, QUERY_CELLS = 10_000, 50_000_000
+#: Ids of documents that are sent to every task.
+HITS = 1_000_000
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,39 +60,99 @@ def hybrid(lexical_hits: DataFrame, dense_hits: DataFrame, query_key: str, doc_k
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line: by score, then id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _top_in_tasks(docs: DataFrame, doc_key: str, names: list, query_key: str, kind: str, k: int, score: Callable[[pd.Series], np.ndarray], column: str) -> DataFrame:
+    """(query, doc, score, rank): the k best scores above 0 of each query. A task keeps the k best of what it has read, and sends on no others.
+
+    score: from some values of the column to their scores, a line a query. doc_key is a long.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, ids = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at : at + 256]
+                new = score(part[column])
+                scores, ids = _best(np.hstack([scores, new]), np.hstack([ids, np.broadcast_to(part[doc_key].to_numpy(np.int64), new.shape)]), k)
+        q, at = np.nonzero(scores > 0)
+        yield pd.DataFrame({query_key: [names[i] for i in q], doc_key: ids[q, at], "score": scores[q, at]})
+
+    rows = docs.select(F.col(doc_key).cast("long").alias(doc_key), column).filter(F.col(column).isNotNull())
+    found = rows.mapInPandas(run, f"{query_key} {kind}, {doc_key} long, score double")
+    return top(found, query_key, doc_key, k)
+
+
+def _no_hits(docs: DataFrame, query_key: str, kind: str, doc_key: str) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], f"{query_key} {kind}, {doc_key} long, score double, rank int")
+
+
 def dense_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int, vector: str = "embedding") -> DataFrame:
     """(query, doc, score, rank): the k best cosines above 0, to nine places, of each of a stated set of query vectors, no more than QUERY_VECTORS.
 
-    Queries are one matrix in every task, which keeps the k best of each as it reads the rows, and sends on no others.
-    doc_key is a long. Rows and queries without a vector have no cosine.
+    Queries are one matrix in every task. doc_key is a long. Rows and queries without a vector have no cosine.
     """
     asked = queries.select(F.col(query_key).alias("_q"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).filter("_v IS NOT NULL").limit(QUERY_VECTORS + 1).collect()
     if len(asked) > QUERY_VECTORS:
         raise ValueError(f"more than {QUERY_VECTORS} query vectors: ask in blocks")
     kind = dict(queries.dtypes)[query_key]
-    schema = f"{query_key} {kind}, {doc_key} long, score double"
     if not asked:
-        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
+        return _no_hits(docs, query_key, kind, doc_key)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     names, matrix = [r["_q"] for r in asked], unit(np.array([r["_v"] for r in asked], float))
 
-    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    def score(vectors: pd.Series) -> np.ndarray:
+        return np.round(matrix @ unit(np.array(vectors.tolist(), float)).T, 9)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores, ids = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                new = np.round(matrix @ unit(np.array(part[vector].tolist(), float)).T, 9)
-                both = np.hstack([scores, new]), np.hstack([ids, np.broadcast_to(part[doc_key].to_numpy(np.int64), new.shape)])
-                scores, ids = best(*both)
-        q, at = np.nonzero(scores > 0)
-        yield pd.DataFrame({query_key: [names[i] for i in q], doc_key: ids[q, at], "score": scores[q, at]})
+    return _top_in_tasks(docs, doc_key, names, query_key, kind, k, score, vector)
 
-    found = docs.select(F.col(doc_key).cast("long").alias(doc_key), vector).filter(F.col(vector).isNotNull()).mapInPandas(run, schema)
-    return top(found, query_key, doc_key, k)
+
+#: Of bytes of lower-cased text, what is no letter a-z or digit becomes a space.
+_LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def lexical_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int, text: str = "text", digits: int = 9) -> DataFrame:
+    """(query, doc, score, rank): the k best of `lexical`, rounded to `digits`, of each of a stated set of queries, which share QUERY_CELLS cells.
+
+    That min(n, m) of a term's counts is shared is a sum over the first, second and further time that it occurs: queries are one matrix of such
+    occurrences in every task, and a document's shared counts the sum of the lines of those that it has. Documents are read once, and
+    nothing of them is shuffled but hits. doc_key is a long. Texts that are null, and queries without terms, have no hits.
+    """
+    kind = dict(queries.dtypes)[query_key]
+    asked = term_counts(queries, query_key, text).limit(QUERY_CELLS + 1).collect()
+    most: dict[str, int] = {}
+    for r in asked:
+        most[r["term"]] = max(r["n"], most.get(r["term"], 0))
+    names = sorted({r[query_key] for r in asked if r[query_key] is not None})
+    if len(names) * sum(most.values()) > QUERY_CELLS or len(asked) > QUERY_CELLS:
+        raise ValueError(f"queries by occurrences of their terms are more than {QUERY_CELLS}: ask in blocks")
+    if not names:
+        return _no_hits(docs, query_key, kind, doc_key)
+    start = dict(zip(most, np.cumsum([0, *most.values()])[:-1].tolist()))
+    line = {q: i for i, q in enumerate(names)}
+    cells = np.zeros((sum(most.values()), len(names)), np.float32)
+    for r in asked:
+        if r[query_key] is not None:
+            cells[start[r["term"]] : start[r["term"]] + r["n"], line[r[query_key]]] = 1
+    known = {w.encode(): (start[w], n) for w, n in most.items()}
+    stop = {w.encode() for w in t.STOP_WORDS}
+
+    def score(texts: pd.Series) -> np.ndarray:
+        out = np.zeros((len(names), len(texts)))
+        for i, value in enumerate(texts):
+            words = value.lower().encode().translate(_LETTERS).split()
+            held = Counter(filter(known.__contains__, words))
+            at = [a + j for w, n in held.items() for a, m in (known[w],) for j in range(min(n, m))]
+            size = sum(w not in stop for w in words)
+            if at:
+                out[:, i] = np.round(cells[at].sum(0, dtype=np.float64) / (1 + math.log1p(size)), digits)
+        return out
+
+    return _top_in_tasks(docs, doc_key, names, query_key, kind, k, score, text)
 
 
 def diverse(candidates: DataFrame, query_key: str, doc_key: str, k: int, weight: float = 0.6, vector: str = "embedding", text: str | None = None) -> DataFrame:
@@ -130,21 +195,27 @@ def diverse(candidates: DataFrame, query_key: str, doc_key: str, k: int, weight:
     return rows.groupBy(query_key).applyInPandas(pick, schema)
 
 
-def searched(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, k: int, text: str = "text", vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """(query, doc, score, rank): whole hybrid search, for many queries at once.
+def searched(queries: DataFrame, query_key: str, docs: DataFrame, vectors: DataFrame, doc_key: str, k: int, text: str = "text", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """(query, doc, score, rank): whole hybrid search, for many queries at once, over docs (doc, text) and vectors (doc, vector).
 
     Queries with a vector fuse the 2 k best by terms with the 2 k best by cosine, and put the k best of those in order of marginal relevance;
     queries without one pick k of the 2 k best by terms so. Documents may lack vectors. Lexical scores are rounded to `digits`.
+    Texts and vectors are read where they lie; only hits are joined with theirs.
     """
     both = 2 * k
-    terms = lexical(queries, query_key, docs, doc_key, text).withColumn("score", F.round("score", digits))
-    by_terms = top(terms, query_key, doc_key, both)
-    by_cosine = dense_top(queries, query_key, docs, doc_key, both, vector)
+    by_terms = lexical_top(queries, query_key, docs, doc_key, both, text, digits)
+    known = vectors.join(docs.select(doc_key), doc_key, "left_semi")
+    by_cosine = dense_top(queries, query_key, known, doc_key, both, vector)
     seen = queries.filter(F.col(vector).isNotNull()).select(query_key)
     fused = hybrid(by_terms.join(seen, query_key, "left_semi"), by_cosine, query_key, doc_key, k).select(query_key, doc_key, "score", "rank")
     plain = by_terms.join(seen, query_key, "left_anti").select(query_key, doc_key, "score", "rank")
-    found = fused.unionByName(plain).join(docs.select(doc_key, text, vector), doc_key)
-    return diverse(found, query_key, doc_key, k, vector=vector, text=text)
+    found = written(fused.unionByName(plain), "hits")
+    wanted = found.select(doc_key).distinct()
+    if wanted.count() <= HITS:  # then the texts of hits are looked up without moving the others
+        wanted = F.broadcast(wanted)
+    texts = docs.select(doc_key, text).join(wanted, doc_key, "left_semi")
+    candidates = found.join(texts, doc_key).join(vectors.select(doc_key, vector), doc_key, "left")
+    return diverse(candidates, query_key, doc_key, k, vector=vector, text=text)
 
 
 def hint_share(text: Column, hints: Sequence[str]) -> Column:

@@ -39,13 +39,10 @@ def mmr_rerank(spark, sf_dir):
 
 def hybrid_search(spark, sf_dir):
     """Benchmark passages looked up in documents by terms and vectors; every fourth has no vector, nor have documents beyond the embeddings."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), "embedding")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.join(vectors, docs.doc_id == F.col("_id"), "left").drop("_id")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    mine = vectors.withColumn("embedding", F.when(F.col("_id") % 4 != 3, F.col("embedding")))
-    asked = asked.join(mine, asked.item_id == F.col("_id"), "left").drop("_id")
-    found = retrieval.searched(asked, "item_id", docs, "doc_id", 5)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    mine = vectors.select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 4 != 3, F.col("embedding")).alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text").join(mine, "item_id", "left")
+    found = retrieval.searched(asked, "item_id", table(spark, sf_dir, "documents"), vectors, "doc_id", 5)
     return found.withColumn("score", F.round("score", 9))
 
 

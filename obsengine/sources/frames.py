@@ -1,7 +1,7 @@
 """Frames of a clip as a stream: in order, in batches of frame numbers, resumable from the checkpoint.
 
 A Python data source. Its offset is the number of the next native frame, so a restarted query goes on where the last committed batch
-ended. Each batch is cut into ranges that tasks decode apart; decoding is a seam, `decoder`, that gives a frame's bytes.
+ended. With the availableNow trigger a start gives one batch; others go on to the clip's end. Each batch is cut into ranges that tasks decode apart; decoding is a seam, `decoder`, that gives a frame's bytes.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class FrameReader(DataSourceStreamReader):
         return {"n": 0}
 
     def latestOffset(self) -> dict:
-        """One batch on from what was given last; from the checkpoint's end after a restart, see partitions."""
+        """One batch on from what was given last. After a restart Spark first asks for the partitions of the last offset, which sets it."""
         self.given = min(self.total, (self.given or 0) + self.batch)
         return {"n": self.given}
 

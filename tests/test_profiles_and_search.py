@@ -134,15 +134,16 @@ def test_search_with_and_without_vectors(spark):
     docs = [(d, " ".join(RNG.choices(WORDS, k=RNG.randint(0, 25))), rng.normal(size=5).tolist() if d % 3 else None) for d in range(60)]
     docs += [(100, None, None), (101, "", rng.normal(size=5).tolist())]
     asked = [(q, " ".join(RNG.choices(WORDS, k=6)), rng.normal(size=5).tolist() if q % 2 else None) for q in range(12)] + [(50, "nothing here", None), (51, None, rng.normal(size=5).tolist())]
-    df = spark.createDataFrame(docs, "doc_id long, text string, embedding array<double>").repartition(4)
+    both = spark.createDataFrame(docs, "doc_id long, text string, embedding array<double>").repartition(4)
+    df, vectors = both.select("doc_id", "text"), both.select("doc_id", "embedding").filter("embedding IS NOT NULL")
     queries = spark.createDataFrame(asked, "q long, text string, embedding array<double>")
     got: dict[int, list] = {}
-    for r in retrieval.searched(queries, "q", df, "doc_id", 4).orderBy("q", "rank").collect():
+    for r in retrieval.searched(queries, "q", df, vectors, "doc_id", 4).orderBy("q", "rank").collect():
         got.setdefault(r.q, []).append(r.doc_id)
     assert got == {q: w for q, text, v in asked if (w := search(text or "", v, [(d, t or "", x) for d, t, x in docs], 4))}
     assert 50 not in got and len(got[51]) == 4
-    assert retrieval.searched(queries.limit(0), "q", df, "doc_id", 4).count() == 0
-    assert retrieval.searched(queries, "q", df.limit(0), "doc_id", 4).count() == 0
+    assert retrieval.searched(queries.limit(0), "q", df, vectors, "doc_id", 4).count() == 0
+    assert retrieval.searched(queries, "q", df.limit(0), vectors, "doc_id", 4).count() == 0
 
 
 def test_too_many_query_vectors_are_an_error(spark, monkeypatch):

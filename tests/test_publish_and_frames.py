@@ -51,7 +51,7 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert publish.manifest(spark, target) == {"version": 1, "tables": {}}
 
 
-def run_stream(stream, out, checkpoint, stop_after=None, name=None):
+def run_stream(stream, out, checkpoint, stop_after=None):
     """Batches written one by one; after `stop_after` of them the query fails, as a lost driver would."""
     done = []
 
@@ -61,29 +61,33 @@ def run_stream(stream, out, checkpoint, stop_after=None, name=None):
         batch.drop("content").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
         done.append(number)
 
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (writer.queryName(name) if name else writer).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
     try:
-        query.awaitTermination(120)
+        query.processAllAvailable()
     except Exception:
         assert stop_after is not None
+    query.stop()
     return done
 
 
 def test_frames_stopped_and_restarted(spark, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     clip = lambda: frames.frames(spark, "r", "clip.mp4", 100, native_fps="30", target_fps="15", batch="30", tasks="3")
-    rounds = [run_stream(clip(), out, checkpoint, 1)]
-    for _ in range(6):
-        rounds.append(run_stream(clip(), out, checkpoint))
-        if not rounds[-1]:
-            break
+    rounds = [run_stream(clip(), out, checkpoint, 1), run_stream(clip(), out, checkpoint, 1), run_stream(clip(), out, checkpoint)]
     got = [tuple(r) for r in spark.read.parquet(out).select("run_id", "sample_index", "n", "video_time_s").orderBy("n").collect()]
     assert got == [("r", i, 2 * i, 2 * i / 30) for i in range(50)]  # each frame once, none left out
     by_batch = {r.batch: (r.a, r.b) for r in spark.read.parquet(out).groupBy("batch").agg(F.min("n").alias("a"), F.max("n").alias("b")).collect()}
     ends = [by_batch[k] for k in sorted(by_batch)]
-    assert all(b < a for (_, b), (a, _) in zip(ends, ends[1:])) and len(ends) >= 2  # in order
-    assert len(rounds) >= 2 and rounds[0] == [0]
+    assert all(b < a for (_, b), (a, _) in zip(ends, ends[1:])) and len(ends) == 4  # in order
+    assert rounds == [[0], [1], [2, 3]]
+
+
+def test_a_clip_that_grows_goes_on_where_it_ended(spark, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    clip = lambda n: frames.frames(spark, "r", "clip.mp4", n, native_fps="30", target_fps="30", batch="30")
+    assert run_stream(clip(60), out, checkpoint) == [0, 1] and run_stream(clip(60), out, checkpoint) == []
+    assert run_stream(clip(100), out, checkpoint) == [2, 3]
+    assert [r.n for r in spark.read.parquet(out).orderBy("n").collect()] == list(range(100))
 
 
 def decoded(path, n):
