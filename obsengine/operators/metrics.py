@@ -36,14 +36,18 @@ def calibration_error(df: DataFrame, keys: Sequence[str], confidence: str, corre
 
 
 def binary_report(df: DataFrame, keys: Sequence[str], predicted: str, actual: str) -> DataFrame:
-    """(keys, f1_0, f1_1, macro_f1, abstained): predictions of 0 and 1, null for abstaining, which counts as a miss."""
-    p, a = F.col(predicted), F.col(actual)
-
-    def f1(c: int) -> Column:
-        hit = F.count_if((p == c) & (a == c)).cast("double")
-        return F.coalesce(F.try_divide(2 * hit, F.count_if(p == c) + F.count_if(a == c)), F.lit(0.0))
+    """(keys, n, precision, recall and f1 of 0 and of 1, macro_f1, abstained): predictions of 0 and 1, null for abstaining, which counts as a miss.
 
-    out = df.groupBy(*keys).agg(f1(0).alias("f1_0"), f1(1).alias("f1_1"), F.try_divide(F.count_if(p.isNull()).cast("double"), F.count("*")).alias("abstained"))
+    0 where nothing is predicted, or nothing is there.
+    """
+    p, a = F.col(predicted), F.col(actual)
+    hits = {c: F.count_if((p == c) & (a == c)).cast("double") for c in (0, 1)}
+    share = lambda c, of: F.coalesce(F.try_divide(hits[c], of), F.lit(0.0))
+    measures = [F.count("*").alias("n")]
+    for c in (0, 1):
+        measures += [share(c, F.count_if(p == c)).alias(f"precision_{c}"), share(c, F.count_if(a == c)).alias(f"recall_{c}")]
+        measures.append(F.coalesce(F.try_divide(2 * hits[c], F.count_if(p == c) + F.count_if(a == c)), F.lit(0.0)).alias(f"f1_{c}"))
+    out = df.groupBy(*keys).agg(*measures, F.try_divide(F.count_if(p.isNull()).cast("double"), F.count("*")).alias("abstained"))
     return out.withColumn("macro_f1", (F.col("f1_0") + F.col("f1_1")) / 2)
 
 

@@ -218,6 +218,21 @@ def searched(queries: DataFrame, query_key: str, docs: DataFrame, vectors: DataF
     return diverse(candidates, query_key, doc_key, k, vector=vector, text=text)
 
 
+#: Words that speak of a rule's matter. Fixed values.
+HINTS = {
+    "R1": ("helmet", "head", "ppe", "protection", "impact", "hardhat"),
+    "R2": ("vest", "visibility", "conspicuous", "traffic", "plant", "hiviz", "fluorescent"),
+    "R3": ("restricted", "zone", "barrier", "access", "authorised", "permit"),
+    "R4": ("machinery", "plant", "separation", "danger", "movement", "excavator", "crane"),
+    "R5": ("edge", "fall", "height", "guardrail", "net", "harness", "scaffold"),
+}
+
+
+def hint_shares(text: Column) -> dict[str, Column]:
+    """For each rule the share of its hints that are among the text's terms."""
+    return {rule: hint_share(text, hints) for rule, hints in HINTS.items()}
+
+
 def hint_share(text: Column, hints: Sequence[str]) -> Column:
     """Share of the hints that are among the text's tokens."""
     return F.size(F.array_intersect(t.tokens(text), F.array(*map(F.lit, hints)))) / F.lit(float(len(hints)))

@@ -12,12 +12,14 @@ from obsengine.operators.joins import band, pending
 
 
 def predicted(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """A model over rows: load() once for each task, then its predictions batch by batch."""
+    """A model over rows: load() once for each task that has rows, then its predictions batch by batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = None
         for frame in frames:
-            yield model(frame)
+            if len(frame):
+                model = model or load()
+                yield model(frame)
 
     return rows.mapInPandas(run, schema)
 
@@ -36,7 +38,7 @@ def patched(rows: DataFrame, verdicts: DataFrame, keys: Sequence[str], time: str
 
     verdicts (keys, at, verdict_id, verdict). An unsure verdict changes nothing; one that agrees leaves the row as it was.
     """
-    numbered = rows.withColumn("_row", F.xxhash64(*rows.columns))
+    numbered = rows.withColumn("_row", F.struct(*rows.columns))  # a row is named by itself: rows that are alike get the same verdict
     definite = verdicts.filter(F.col("verdict") != unsure).select(*keys, at, "verdict_id", "verdict")
     pairs = band(numbered.select(*keys, time, "_row").distinct(), definite, keys, time, at, half)
     last = pairs.groupBy("_row").agg(F.max_by("verdict", F.struct(at, "verdict_id")).alias("_verdict"))

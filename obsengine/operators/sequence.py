@@ -196,6 +196,11 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], time: str, row_id: str, s
     return in_order(rows, keys, ["t", "id"], Spacing(spacing), schema)
 
 
+def throttled(df: DataFrame, keys: Sequence[str], time: str, row_id: str, usable: Column, spacing: float) -> DataFrame:
+    """(keys, id, t) of usable rows, each at least `spacing` after the one kept before it: others are left out, and don't move the clock."""
+    return greedy_spacing(df.filter(F.coalesce(usable, F.lit(False))), keys, time, row_id, spacing)
+
+
 def anchored_segments(df: DataFrame, keys: Sequence[str], time: str, value: str, tolerance: float, least: float) -> DataFrame:
     """(keys, first, last, n): stretches that stay within tolerance of their first value, at least `least` long."""
     rows = df.select(*keys, F.col(time).alias("t"), F.col(value).alias("v"))
@@ -231,6 +236,26 @@ def bin_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: Co
     return placed.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_i", "_n", "_r", "_score")
 
 
+def keyframes(seen: DataFrame, runs: DataFrame, run: str, count: int) -> DataFrame:
+    """(run, bin, frame): one frame for each of `count` equal bins of a run's samples, those of the most people and machines first.
+
+    seen (run, frame, people, machines), runs (run, total). The most is min(people, 3) + 2 if there are machines; then the nearest to the bin's
+    middle, then the first. A bin in which nothing is seen has its middle, half to even. A frame counts for the first bin that picks it.
+    """
+    b, total = F.col("bin"), F.col("total")
+    bins = runs.filter("total > 0").select(run, "total", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bin"))
+    bins = bins.withColumn("start", F.floor(b * total / count)).withColumn("stop", F.greatest(F.col("start") + 1, F.floor((b + 1) * total / count)))
+    bins = bins.withColumn("centre", (F.col("start") + F.col("stop") - 1) / 2)
+    worth = F.least(F.col("people"), F.lit(3)) + F.when(F.col("machines") > 0, 2).otherwise(0)
+    inside = (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("stop"))
+    placed = seen.select(F.col(run).alias("_run"), "frame", worth.alias("worth"))
+    met = bins.join(placed, (F.col(run) == F.col("_run")) & inside, "left")
+    order = F.struct("worth", -F.abs(F.col("frame") - F.col("centre")), -F.col("frame"))
+    best = met.groupBy(run, "bin", "total", "centre").agg(F.max_by("frame", F.when(F.col("frame").isNotNull(), order)).alias("frame"))
+    frame = F.least(F.coalesce("frame", F.bround("centre").cast("long")), F.col("total") - 1)
+    return best.groupBy(run, frame.alias("frame")).agg(F.min("bin").alias("bin")).select(run, "bin", "frame")
+
+
 def median_halves(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """(keys, early, late): a value's averages up to and after the key's median time."""
     middle = linear_quantiles(df, keys, time, {"_m": 0.5})

@@ -120,7 +120,7 @@ def ece_bins(spark, sf_dir):
 def binary_report(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("p", F.when(F.col("confidence") >= 0.6, 1).when(F.col("confidence") <= 0.3, 0))
     r = metrics.binary_report(s, ["lang"], "p", "quality")
-    return r.select("lang", *(F.round(c, 9).alias(c) for c in ("f1_0", "f1_1", "macro_f1", "abstained")))
+    return r.select("lang", "n", *(F.round(c, 9).alias(c) for c in ("precision_0", "recall_0", "f1_0", "precision_1", "recall_1", "f1_1", "macro_f1", "abstained")))
 
 
 def greedy_iou_match(spark, sf_dir):
@@ -224,10 +224,11 @@ round(count(*) FILTER (confidence >= 0.6 AND hit) / nullif(count(*) FILTER (hit)
 b AS (SELECT lang, ceil(confidence::DOUBLE * 10) AS b, count(*) AS n, abs(avg(hit::INTEGER) - avg(confidence::DOUBLE)) AS gap FROM s WHERE confidence > 0 GROUP BY ALL)
 SELECT lang, round(sum(n * gap) / max(total), 9) AS ece FROM b JOIN t USING (lang) GROUP BY lang""",
     "binary_report": f"""WITH {SCORED}, p AS (SELECT *, CASE WHEN confidence >= 0.6 THEN 1 WHEN confidence <= 0.3 THEN 0 END AS p FROM s),
-f AS (SELECT lang, 2 * count(*) FILTER (p = 0 AND quality = 0) / nullif(count(*) FILTER (p = 0) + count(*) FILTER (quality = 0), 0)::DOUBLE AS a,
+f AS (SELECT lang, count(*) AS n, {", ".join(f"coalesce(count(*) FILTER (p = {c} AND quality = {c}) / nullif(count(*) FILTER ({of} = {c}), 0)::DOUBLE, 0) AS {m}_{c}" for c in (0, 1) for m, of in (("precision", "p"), ("recall", "quality")))},
+  2 * count(*) FILTER (p = 0 AND quality = 0) / nullif(count(*) FILTER (p = 0) + count(*) FILTER (quality = 0), 0)::DOUBLE AS a,
   2 * count(*) FILTER (p = 1 AND quality = 1) / nullif(count(*) FILTER (p = 1) + count(*) FILTER (quality = 1), 0)::DOUBLE AS b,
   count(*) FILTER (p IS NULL) / count(*)::DOUBLE AS abstained FROM p GROUP BY lang)
-SELECT lang, round(coalesce(a, 0), 9) AS f1_0, round(coalesce(b, 0), 9) AS f1_1, round((coalesce(a, 0) + coalesce(b, 0)) / 2, 9) AS macro_f1, round(abstained, 9) AS abstained FROM f""",
+SELECT lang, n, {", ".join(f"round({m}_{c}, 9) AS {m}_{c}" for c in (0, 1) for m in ("precision", "recall"))}, round(coalesce(a, 0), 9) AS f1_0, round(coalesce(b, 0), 9) AS f1_1, round((coalesce(a, 0) + coalesce(b, 0)) / 2, 9) AS macro_f1, round(abstained, 9) AS abstained FROM f""",
     "point_in_zone": f"""WITH {SPOTS}, d AS (SELECT *, least({", ".join(_to_segment(a, b) for a, b in _segments(ZONE, True))}) AS d, ({_crossings(ZONE)}) % 2 = 1 AS i FROM s)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN i THEN d ELSE -d END, 6) AS distance, i AND d > 0 AS inside FROM d""",
     "polyline_distance": f"""WITH {SPOTS} SELECT l_orderkey, l_linenumber, round(least({", ".join(_to_segment(a, b) for a, b in _segments(LINE, False))}), 6) AS distance FROM s""",

@@ -10,6 +10,8 @@ from obsengine.plans.common import HOUR, events
 DEBOUNCE = 12 * HOUR
 GAP = 24 * HOUR
 
+EPOCH = 1_704_067_200_000_000  # microseconds of hour 0
+
 
 def debounced_incidents(spark, sf_dir):
     e = events(spark, sf_dir)
@@ -68,6 +70,21 @@ def greedy_spacing(spark, sf_dir):
     return seq.greedy_spacing(events(spark, sf_dir), ["user_id"], "us", "event_id", 36 * HOUR)
 
 
+def throttled_crops(spark, sf_dir):
+    """Crops of users no more often than every 36 hours, of events of a value over 30: what is too small doesn't count as taken."""
+    return seq.throttled(events(spark, sf_dir), ["user_id"], "us", "event_id", F.col("value") > 30, 36 * HOUR)
+
+
+def keyframe_bins(spark, sf_dir):
+    """Twelve key frames of each user's quarter hours; views and clicks are people, purchases machines. Every fifth user has eight frames."""
+    e = events(spark, sf_dir).withColumn("frame", F.when(F.col("user_id") % 5 == 0, F.floor((F.col("us") - EPOCH) / HOUR) % 8).otherwise(F.floor((F.col("us") - EPOCH) / HOUR * 4)).cast("long"))
+    seen = e.filter("event_type IN ('view', 'click', 'purchase')").groupBy("user_id", "frame").agg(
+        F.count_if(F.col("event_type") != "purchase").alias("people"), F.count_if(F.col("event_type") == "purchase").alias("machines")
+    )
+    runs = e.select("user_id").distinct().withColumn("total", F.when(F.col("user_id") % 5 == 0, 8).otherwise(2880).cast("long"))
+    return seq.keyframes(seen, runs, "user_id", 12)
+
+
 def anchored_segments(spark, sf_dir):
     rows = events(spark, sf_dir).groupBy("user_id", "us").agg(F.round(F.min("value"), 6).alias("v"))
     return seq.anchored_segments(rows, ["user_id"], "us", "v", 20.0, 2 * HOUR)
@@ -99,7 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         debounced_incidents, longest_run, all_runs, ema_state, carry_forward, every_second_moment, trailing_state, greedy_spacing,
-        anchored_segments, linspace_thin, stride_sample, bin_argmax, median_halves, largest_gap_split,
+        anchored_segments, throttled_crops, keyframe_bins, linspace_thin, stride_sample, bin_argmax, median_halves, largest_gap_split,
     )
 }
 
@@ -137,6 +154,22 @@ SELECT event_id, n AS n_trailing, round(displacement, 6) AS displacement,
 WITH v AS (SELECT user_id, list({{'id': event_id, 't': epoch_us(ts)}} ORDER BY ts, event_id) AS r FROM events GROUP BY user_id),
 k AS (SELECT user_id, list_reduce(r, lambda acc, x: CASE WHEN x.t - acc[-1].t >= {36 * HOUR} THEN list_append(acc, x) ELSE acc END, r[1:1]) AS kept FROM v)
 SELECT user_id, u.id AS id, u.t AS t FROM (SELECT user_id, unnest(kept) AS u FROM k)""",
+    "throttled_crops": f"""
+WITH v AS (SELECT user_id, list({{'id': event_id, 't': epoch_us(ts)}} ORDER BY ts, event_id) AS r FROM events WHERE value > 30 GROUP BY user_id),
+k AS (SELECT user_id, list_reduce(r, lambda acc, x: CASE WHEN x.t - acc[-1].t >= {36 * HOUR} THEN list_append(acc, x) ELSE acc END, r[1:1]) AS kept FROM v)
+SELECT user_id, u.id AS id, u.t AS t FROM (SELECT user_id, unnest(kept) AS u FROM k)""",
+    "anchored_segments": f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, round(min(value), 6) AS v FROM events GROUP BY ALL),
+r AS (SELECT user_id, list({{'a': v, 'f': us, 'l': us, 'n': 1}} ORDER BY us, v) AS r FROM e GROUP BY user_id),
+s AS (SELECT user_id, unnest(list_reduce(r[2:], lambda acc, x: CASE WHEN abs(x.a - acc[-1].a) > 20 THEN list_append(acc, x)
+  ELSE list_append(acc[1:-2], {{'a': acc[-1].a, 'f': acc[-1].f, 'l': x.f, 'n': acc[-1].n + 1}}) END, r[1:1])) AS s FROM r)
+SELECT user_id, s.f AS first, s.l AS last, s.n::BIGINT AS n FROM s WHERE s.l - s.f >= {2 * HOUR}""",
+    "keyframe_bins": f"""
+WITH e AS (SELECT user_id, event_type, CASE WHEN user_id % 5 = 0 THEN floor((epoch_us(ts) - {EPOCH}) / {HOUR})::BIGINT % 8 ELSE floor((epoch_us(ts) - {EPOCH}) / {HOUR} * 4)::BIGINT END AS frame, if(user_id % 5 = 0, 8, 2880) AS total FROM events),
+k AS (SELECT user_id, frame, least(count(*) FILTER (event_type <> 'purchase'), 3) + if(count(*) FILTER (event_type = 'purchase') > 0, 2, 0) AS worth FROM e WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL),
+b AS (SELECT user_id, total, bin, bin * total // 12 AS start, greatest(bin * total // 12 + 1, (bin + 1) * total // 12) AS stop FROM (SELECT DISTINCT user_id, total FROM e), range(12) AS t(bin)),
+p AS (SELECT b.user_id, bin, total, (start + stop - 1) / 2 AS centre, (SELECT frame FROM k WHERE k.user_id = b.user_id AND frame >= start AND frame < stop ORDER BY worth DESC, abs(frame - (start + stop - 1) / 2), frame LIMIT 1) AS frame FROM b)
+SELECT user_id, min(bin)::INTEGER AS bin, frame FROM (SELECT user_id, bin, least(coalesce(frame, round_even(centre, 0)::BIGINT), total - 1) AS frame FROM p) GROUP BY user_id, frame""",
     "linspace_thin": f"""
 WITH r AS (SELECT event_id, user_id, {RANKED.format(key="user_id")} FROM events)
 SELECT event_id, user_id FROM r WHERE n <= 20 OR list_contains(list_transform(range(20), lambda k: round_even(k * (n - 1) / 19.0, 0)::BIGINT), i)""",

@@ -47,7 +47,9 @@ def hybrid_search(spark, sf_dir):
 
 
 def hint_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieval.hint_share(F.col("text"), HINTS), 6).alias("score"))
+    shares = retrieval.hint_shares(F.col("text"))
+    given = F.round(retrieval.hint_share(F.col("text"), HINTS), 6).alias("score")
+    return table(spark, sf_dir, "documents").select("doc_id", given, *(F.round(c, 6).alias(rule) for rule, c in shares.items()))
 
 
 def turns(spark, sf_dir):
@@ -166,7 +168,8 @@ FROM s JOIN z USING (doc_id) QUALIFY rank <= 5""",
 WITH q AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label),
 s AS (SELECT q.label, d.vec_id, round(list_cosine_similarity(q.e::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM q, embeddings AS d)
 SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""",
-    "hint_score": f"""SELECT doc_id, round(len(list_intersect({TOKENS.format("text")}, {list(HINTS)})) / {float(len(HINTS))}, 6) AS score FROM documents""",
+    "hint_score": f"""SELECT doc_id, round(len(list_intersect({TOKENS.format("text")}, {list(HINTS)})) / {float(len(HINTS))}, 6) AS score,
+  {", ".join(f"round(len(list_intersect({TOKENS.format('text')}, {list(h)})) / {float(len(h))}, 6) AS {rule}" for rule, h in retrieval.HINTS.items())} FROM documents""",
     "grounding_overlap": f"""WITH {TURNS}, k AS (SELECT conv_id, turn, {TOKENS.format("text")} AS a, {TOKENS.format("prev")} AS b FROM c),
 g AS (SELECT conv_id, turn, a, {GRAMS.format("a", 3)} AS x, {GRAMS.format("b", 3)} AS y FROM k),
 o AS (SELECT conv_id, turn, CASE WHEN len(a) < 3 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x) END AS o FROM g)

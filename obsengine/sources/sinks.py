@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsengine.functions.text import html_escaped
 from obsengine.operators.joins import pending
+from obsengine.operators.review import predicted
 from obsengine.operators.selection import upserted
-from obsengine.sources.readers import json_lines
+from obsengine.sources.readers import cached, json_lines
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -30,6 +33,20 @@ def append_pending(todo: DataFrame, work, path: str, key: str, columns: str) ->
     return left
 
 
+def through_cache(rows: DataFrame, path: str, key: Column, load: Callable, values: str) -> DataFrame:
+    """(key, values) for rows: what the cache at path lacks is asked of the model, each key once, and appended before anything is returned.
+
+    A model that fails leaves the cache as it was; lines of the cache that can't be parsed are misses.
+    """
+    spark = rows.sparkSession
+    columns = f"key string, {values}"
+    keyed = rows.select(key.alias("key"), *rows.columns)
+    known = json_lines(spark, path, f"{columns}, _corrupt_record string").filter("_corrupt_record IS NULL").select("key")
+    fresh = pending(keyed, known, ["key"]).filter("key IS NOT NULL").dropDuplicates(["key"])
+    predicted(fresh, load, columns).write.mode("append").json(path)
+    return cached(spark, path, columns).join(keyed.select("key").distinct(), "key", "left_semi")
+
+
 def upsert(new: DataFrame, path: str, target: str, keys: list[str], sequence: str) -> None:
     """Writes at target the table at path (none at first) with new rows over old ones of equal keys."""
     old = json_lines(new.sparkSession, path, ", ".join(f"{n} {t}" for n, t in new.dtypes))

@@ -2,6 +2,8 @@
 
 import json
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from obsengine.operators import sequence
@@ -51,6 +53,25 @@ def test_resumable_append_and_upsert(spark, tmp_path):
     assert "&lt;b&gt;" in sinks.report_rows(one).first().html
 
 
+def test_cache_is_written_only_with_answers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "crop string, n int")
+    path = str(tmp_path / "cache")
+
+    def load():
+        return lambda frame: pd.DataFrame({"key": frame["key"], "state": frame["key"] + "!"})
+
+    def failing():
+        raise RuntimeError("no model")
+
+    ask = lambda df, model: sorted(map(tuple, sinks.through_cache(df, path, F.col("crop"), model, "state string").collect()))
+    with pytest.raises(Exception, match="no model"):
+        ask(rows.filter("n > 0"), failing)
+    assert readers.json_lines(spark, path, "key string").count() == 0
+    assert ask(rows, load) == [("a", "a!"), ("b", "b!")] and ask(rows.filter("crop = 'b'"), failing) == [("b", "b!")]
+    (tmp_path / "cache" / "part-torn.json").write_text('{"key": "c", "sta')
+    assert ask(rows.union(spark.createDataFrame([("c", 5)], rows.schema)), load) == [("a", "a!"), ("b", "b!"), ("c", "c!")]
+
+
 def test_streams_come_to_the_batch_answer(spark, tmp_path):
     base = 1_700_000_000_000_000
     rows = [(k, base + t * 1_000_000, float(t % 7)) for k in range(3) for t in (0, 3, 6, 20, 21, 40, 100_000)]
