@@ -67,7 +67,8 @@ def texts(n):
 
 def test_comparisons_are_linear():
     for s in texts(20_000):
-        for order in (s, [max(s) - x for x in s]):
+        top = max(s)
+        for order in (s, [top - x for x in s]):
             count = [0]
             pr.extensions(order, 2, count)
             assert count[0] <= 1.5 * len(s)
