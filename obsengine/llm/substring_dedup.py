@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs, MinHash banding, exact Jaccard, components of what repeats.
 
-Paragraphs are of two kinds. *Lines* of at least LINE_WORDS words are compared as sets of five-word shingles, and so
-is what short lines make together: a run of lines of under LONG_WORDS words, up to a blank or longer line, is also cut at
+Paragraphs are of two kinds. *Lines* of at least SHINGLE words are compared as sets of five-word shingles, and so
+is what short lines make together: a run of lines of under LONG_WORDS words, up to a blank or longer line, whole and cut at
 content-defined ends (the smallest shingle hash of JOIN to each side), wherever its lines are broken.
 BANDS bands of ROWS minhashes (recall at a similarity of 0.8: 1 - (1 - 0.8 ** 4) ** 10, over 0.99) name candidates,
 whose exact Jaccard similarity then has to reach SIMILARITY. *Windows* find passages inside other text: a
@@ -9,8 +9,8 @@ window is SPAN shingles from an anchor, and anchors are the smallest shingle has
 they fall on the same places of a passage wherever it stands. Any passage of GAP + SPAN + 3 = 51 words that two
 documents share holds one whole window of both, whatever surrounds it. Windows have one band, their whole content: at
 their size a single changed word already takes the similarity below 0.8. Windows that continue each other in both documents are
-one passage. Passages at the ends of what is removed have their words compared (128 bits) and are extended as far as their
-words are those of the kept occurrence (under GAP words, as more would hold another window); what has LEAST words or more goes.
+one passage. All passages have their words compared with the kept occurrence's (128 bits) and are extended as far as those
+to both sides agree too (under GAP words, as more would hold another window; 128 bits a word).
 
 Equal paragraphs are one class from the start. In a band's bucket each class is first compared with the bucket's
 smallest and largest, which joins most of a hot bucket in linear time. Of the classes of a bucket that are still in
@@ -23,7 +23,9 @@ occurrence with the smallest (doc_id, version, place) stays and the others are r
 Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Defined cases: null and empty texts have no
 paragraphs; rows with a null id are left alone; rows that share an id and a text count as one document, so repeating a row
 removes nothing; rows that share an id only are documents of their own, told apart by `version`, 31 bits of the text's hash;
-within ties the smallest place stays; an empty table gives an empty result. Classes are named by 64 bits of their words' hash.
+within ties the smallest place stays; an empty table gives an empty result. Lines of under SHINGLE words have no shingles and go
+only inside of a longer passage. Equal lines are those with the same 128 bits of their words' bytes: half of them are a line's name,
+the other half is compared, and lines of one name that differ there are named by it instead.
 """
 
 from __future__ import annotations
@@ -41,18 +43,17 @@ from obsengine.llm.common import dropped, map_rows, staged
 from obsengine.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-GAP, SPAN, LEAST = 32, 16, 32
-LINE_WORDS, BANDS, ROWS = 20, 10, 4
+GAP, SPAN = 32, 16
+BANDS, ROWS = 10, 4
 LONG_WORDS, JOIN = 50, 30
 M = np.uint64(0x9E3779B97F4A7C15)
-BYTE_M = 0xD6E8FEB86659FD93
 PIECE = 1 << 19
 SPACE = re.compile(rb"[\t-\r ]")
 IN_WORD = np.array([not SPACE.match(bytes([b])) for b in range(256)])
 BYTE_HASHES = np.array([xxhash.xxh64_intdigest(bytes([b]), 5) for b in range(256)], np.uint64) * IN_WORD
 FEW, OWN_BITS = 32, 44
 SKETCH = ("s0", "s1", "s2", "s3")
-PARAGRAPHS = "doc_id long, version int, start int, words int, node long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+PARAGRAPHS = "doc_id long, version int, start int, words int, node long, check long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 ANSWERS = "doc_id long, version int, start int, words int, node long, shingles binary, content binary, before binary, after binary"
 DOCUMENT = ("doc_id", "version")
 
@@ -63,21 +64,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BYTE_M to the powers 0 to n - 1, and their inverses, modulo 2 ** 64."""
-    out = []
-    for base in (BYTE_M, pow(BYTE_M, -1, 1 << 64)):
-        factors = np.full(n, base, np.uint64)
-        factors[0] = 1
-        out.append(np.cumprod(factors))
-    return out[0], out[1]
+def _factors(n: int) -> np.ndarray:
+    """What a byte's hash is multiplied by at the places 0 to n - 1 of a word: mixed, not powers, under which some long words would meet."""
+    return _mix(_mix(np.arange(1, n + 1, dtype=np.uint64) * M)) | np.uint64(1)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of data, and where they start.
 
-    A word's hash is a polynomial in its bytes' hashes, from running sums over the text. Texts are cut at white space into
-    pieces of about PIECE bytes, each with sums of its own.
+    A word's hash is a sum of its bytes' hashes, each times its place's factor. Texts are cut at white space into pieces of
+    about PIECE bytes.
     """
     hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(data):
@@ -85,9 +81,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         letters = np.frombuffer(data[at : gap.start() if gap else len(data)], np.uint8)
         first = np.flatnonzero(np.diff(IN_WORD[letters].view(np.int8), prepend=np.int8(0)) == 1)
         if len(first):
-            powers, inverses = _powers(1 << max(12, (len(letters) - 1).bit_length()))
-            total = np.add.reduceat(BYTE_HASHES[letters] * powers[: len(letters)], first)
-            hashes.append(_mix(total * inverses[first]))
+            place = np.arange(first[0], len(letters)) - np.repeat(first, np.diff(first, append=len(letters)))
+            factors = _factors(1 << max(12, int(place.max()).bit_length()))
+            hashes.append(_mix(np.add.reduceat(BYTE_HASHES[letters[first[0] :]] * factors[place], first - first[0])))
             starts.append(first + at)
         at += len(letters)
     return np.concatenate(hashes), np.concatenate(starts)
@@ -173,16 +169,15 @@ def joined_parts(h: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def node_of(w: np.ndarray) -> int:
-    """64 bits of the hash of a line, of whose words w has the hashes."""
-    x = xxhash.xxh64_intdigest(w, 3)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def content_of(words: list[bytes]) -> bytes:
     return xxhash.xxh128_digest(b" ".join(words), 3)
 
 
+def names_of(words: list[bytes]) -> bytes:
+    """128 bits for each word."""
+    return b"".join(map(xxhash.xxh128_digest, words))
+
+
 def shingle_set(h: np.ndarray) -> bytes:
     return np.unique(h).astype("<u8").tobytes()
 
@@ -191,8 +186,13 @@ def sizes_and_sketches(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     """Of sets, whose shingles stand one after the other: the numbers of different shingles and (sets, 4) words of sketches.
 
     A sketch has 256 bits, each telling whether an odd number of the set's shingles falls on it. Shingles are told apart
-    by OWN_BITS bits of their hashes here, under which a slice has room for 2 ** (64 - OWN_BITS) sets.
+    by OWN_BITS bits of their hashes here, under which there is room for 2 ** (64 - OWN_BITS) sets at a time.
     """
+    room = 1 << 64 - OWN_BITS
+    if len(sizes) > room:
+        at = int(sizes[:room].sum())
+        parts = sizes_and_sketches(h[:at], sizes[:room]), sizes_and_sketches(h[at:], sizes[room:])
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     keys = np.sort(owner << np.uint64(OWN_BITS) | h & np.uint64((1 << OWN_BITS) - 1))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
@@ -202,14 +202,17 @@ def sizes_and_sketches(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 
 
 def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
-    """Columns of the texts' paragraphs: the text's place in the list, first word, words, node; for lines n, sketch and bands too."""
-    places, starts, sizes, nodes, lines, parts = [], [], [], [], [], []
+    """Columns of the texts' paragraphs: the text's place in the list, first word, words, node; for lines check, n, sketch and bands too."""
+    places, starts, nodes, lines, names, parts = [], [], [], [], [], []
     for i, text in enumerate(texts):
         data = (text or "").encode().lower()
         w, at = word_hashes(data)
-        if len(w) < LINE_WORDS:
+        if len(w) < SHINGLE:
             continue
         h = shingles_of(w)
+        plain = b" ".join(data.split())
+        word_at = np.cumsum(IN_WORD[np.frombuffer(data, np.uint8)])[at] - 1 + np.arange(len(at))  # where words are in plain
+        word_at = np.append(word_at, len(plain) + 1)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n"))
         ends = np.append(np.searchsorted(at, breaks), len(w))
         counts = np.diff(ends, prepend=0).tolist()
@@ -218,17 +221,21 @@ def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
         starts.append(at)
         nodes.append(contents)
         spans = {(end - n, end) for n, end in zip(counts, ends.tolist())}
-        spans.update(part for run in short_runs(counts) for part in joined_parts(h, *run))
+        spans.update(part for run in short_runs(counts) for part in [run, *joined_parts(h, *run)])
         for first, end in sorted(spans):
-            if end - first >= LINE_WORDS:
-                lines.append((i, first, end - first, node_of(w[first:end])))
+            if end - first >= SHINGLE:
+                lines.append((i, first, end - first))
+                names.append(xxhash.xxh128_digest(plain[word_at[first] : word_at[end] - 1], 3))
                 parts.append(h[first : end - SHINGLE + 1])
     n = sum(map(len, starts))
-    i, first, size, node = (np.array(x, np.int64) for x in zip(*lines)) if lines else [np.empty(0, np.int64)] * 4
+    i, first, size = (np.array(x, np.int64) for x in zip(*lines)) if lines else [np.empty(0, np.int64)] * 3
+    node, check = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2).T
     lengths, h = np.array([len(p) for p in parts], np.int64), np.concatenate(parts) if parts else np.empty(0, np.uint64)
     keys = bands_of(h, np.cumsum(lengths) - lengths) if parts else np.empty((0, BANDS), np.int64)
     sets, sketches = sizes_and_sketches(h, lengths) if parts else (np.empty(0, np.int64), np.empty((0, len(SKETCH)), np.int64))
-    offsets = np.concatenate([np.zeros(n, np.int32), np.arange(len(lines) + 1, dtype=np.int32) * BANDS])
+    used = np.where(sets > 3, BANDS, 1)  # sets of up to three are similar to equal sets only, which share every band
+    keys = keys[np.arange(BANDS) < used[:, None]]
+    offsets = np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(used)]).astype(np.int32)
     of_window = np.arange(n + len(lines)) < n
 
     def lines_only(values: np.ndarray) -> pa.Array:
@@ -239,9 +246,10 @@ def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
         np.concatenate([*starts, first]).astype(np.int32),
         np.concatenate([np.full(n, SPAN + SHINGLE - 1), size]).astype(np.int32),
         np.concatenate([*(x.view(np.int64) for x in nodes), node]),
+        lines_only(check),
         lines_only(sets),
         *(lines_only(sketches[:, k]) for k in range(len(SKETCH))),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(of_window)),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys), mask=pa.array(of_window)),
     ]
 
 
@@ -268,6 +276,12 @@ def paragraph_table(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return staged(map_rows(documents(docs, id_column, text_column), run, PARAGRAPHS, 128), "paragraphs")
 
 
+def renamed(lines: DataFrame, clashes: DataFrame) -> DataFrame:
+    """lines, those of the nodes in clashes named by their check. Hardly any are: the join is with an empty table as a rule."""
+    found = lines.join(clashes.select("node", F.lit(True).alias("_clash")), "node", "left")
+    return found.withColumn("node", F.expr("if(_clash, check, node)")).drop("_clash", "check")
+
+
 def bucket_members(nodes: DataFrame) -> DataFrame:
     """(key, node, low, high, size): the nodes of buckets that hold several, with the bucket's smallest and largest, as a written table."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -294,9 +308,9 @@ def first_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     small = staged(members.filter(F.col("size") <= FEW).select("key", "node").join(nodes.drop("bands"), "node"), "line-small")
     met = _of("u", small, "key").join(_of("v", small, "key"), "key").filter("u < v").filter(may_be_similar()).select("u", "v")
     ends = staged(bucket_ends(members.filter(F.col("size") > FEW)), "line-ends")
-    ends = ends.join(_of("u", nodes), "u").join(_of("v", nodes), "v").filter(may_be_similar()).select("u", "v")
-    pairs = staged(met.union(ends).distinct(), "line-pairs")
-    dropped(small)
+    far = ends.join(_of("u", nodes), "u").join(_of("v", nodes), "v").filter(may_be_similar()).select("u", "v")
+    pairs = staged(met.union(far).distinct(), "line-pairs")
+    dropped(small, ends)
     return pairs
 
 
@@ -379,8 +393,8 @@ def asked_lines(lines: DataFrame, members: DataFrame, pairs: DataFrame) -> DataF
 def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """ANSWERS to (doc_id, version, start, words, node), as a written table, from one join with the texts.
 
-    Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and the
-    hashes of the GAP - 1 words before, nearest first, and after. What is asked of one document is no more than
+    Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and of
+    those of each of the GAP - 1 words before, nearest first, and after. What is asked of one document is no more than
     the paragraphs it has.
     """
     by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
@@ -389,13 +403,13 @@ def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_c
         out = []
         for doc, version, text, questions in zip(part["doc_id"], part["version"], part["text"], part["asked"]):
             data = (text or "").encode().lower()
-            w, _ = word_hashes(data)
+            w = word_hashes(data)[0] if any(q["node"] is not None for q in questions) else None
             words = data.split() if any(q["node"] is None for q in questions) else []
             for q in questions:
                 first, end, node = q["start"], q["start"] + q["words"], q["node"]
                 place = (doc, version, first, q["words"], node)
                 if node is None:
-                    out.append((*place, None, content_of(words[first:end]), w[max(0, first - GAP + 1) : first][::-1].tobytes(), w[end : end + GAP - 1].tobytes()))
+                    out.append((*place, None, content_of(words[first:end]), names_of(words[max(0, first - GAP + 1) : first][::-1]), names_of(words[end : end + GAP - 1])))
                 else:
                     out.append((*place, shingle_set(shingles_of(w[first:end])), None, None, None))
         names = [f.split()[0] for f in ANSWERS.split(", ")]
@@ -457,14 +471,6 @@ def aligned(removals: DataFrame) -> DataFrame:
     return spans.select(*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", (F.col("start") - F.col("shift")).alias("kept_start"))
 
 
-def at_ends(spans: DataFrame) -> DataFrame:
-    """spans with `edge`: whether one could outgrow what it makes together with those that it overlaps or touches."""
-    placed = numbered_spans(spans.withColumn("end", F.col("start") + F.col("words")), *DOCUMENT)
-    block = Window.partitionBy(*DOCUMENT, "span")
-    edge = (F.col("start") - F.min("start").over(block) < GAP) | (F.max("end").over(block) - F.col("end") < GAP)
-    return placed.withColumn("edge", edge).select(*spans.columns, "edge")
-
-
 def asked_spans(spans: DataFrame) -> DataFrame:
     """(doc_id, version, start, words, node) of the spans and what they repeat."""
     kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_version").alias("version"), F.col("kept_start").alias("start"), "words")
@@ -495,23 +501,25 @@ def extended(spans: DataFrame, around: DataFrame) -> DataFrame:
 
 
 def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """How many of the first hashes are the same, for each pair."""
-    x, y = (np.frombuffer(b"".join(h.ljust(8 * GAP, fill) for h in side), "<u8").reshape(-1, GAP) for side, fill in ((one, b"\0"), (two, b"\1")))
-    return np.logical_and.accumulate(x == y, axis=1).sum(1, dtype=np.int32)
+    """How many of the first words, by their 128 bits, are the same, for each pair."""
+    x, y = (np.frombuffer(b"".join(h.ljust(16 * GAP, fill) for h in side), "<u8").reshape(-1, GAP, 2) for side, fill in ((one, b"\0"), (two, b"\1")))
+    return np.logical_and.accumulate((x == y).all(2), axis=1).sum(1, dtype=np.int32)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id, version): what to remove of each document; the smallest document that keeps it."""
     table = paragraph_table(docs, id_column, text_column)
     found = _removals(table.filter("bands IS NULL").drop("bands"), "node")
-    spans = staged(at_ends(aligned(found)), "window-spans")
+    spans = staged(aligned(found), "window-spans")
     lines = table.filter("bands IS NOT NULL")
-    nodes = staged(lines.select("node", "n", *SKETCH, "bands").dropDuplicates(["node"]), "line-nodes")  # copies of a line are one
-    lines = staged(lines.select(*DOCUMENT, "start", "words", "node"), "lines")
+    named = staged(lines.select("node", "check", "n", *SKETCH, "bands").dropDuplicates(["node", "check"]), "line-nodes")  # copies of a line are one
+    clashes = staged(named.groupBy("node").count().filter("count > 1").select("node"), "line-clashes")
+    nodes, written = renamed(named, clashes), staged(lines.select(*DOCUMENT, "start", "words", "node", "check"), "lines")
+    lines = renamed(written, clashes)
     dropped(found, table)
     members = bucket_members(nodes)
     pairs = first_pairs(members, nodes)
-    told = answers(asked_lines(lines, members, pairs).union(asked_spans(spans.filter("edge"))), docs, id_column, text_column)
+    told = answers(asked_lines(lines, members, pairs).union(asked_spans(spans)), docs, id_column, text_column)
     sets = staged(told.filter("node IS NOT NULL").select("node", "shingles").dropDuplicates(["node"]), "line-shingles")
     place = [*DOCUMENT, "start", "words"]
     around = staged(told.filter("node IS NULL").select(*place, "content", "before", "after").dropDuplicates(place), "contexts")
@@ -519,12 +527,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     roots = clustered(members, pairs, sets, nodes)
     occurrences = lines.join(roots, "node", "left").select(*DOCUMENT, "start", "words", F.coalesce("root", "node").alias("cluster"))
     occurrences = staged(occurrences, "line-clusters")
-    inner = spans.filter("NOT edge").select(*DOCUMENT, "start", (F.col("start") + F.col("words")).alias("end"), "kept_doc_id")
     whole = _removals(occurrences, "cluster")
-    passages = merged(staged(extended(spans.filter("edge"), around).union(inner), "passages")).filter(f"n_words >= {LEAST}")
-    passages = passages.selectExpr(*DOCUMENT, "start_word AS start", "start_word + n_words AS end", "kept_doc_id")
-    removed = staged(passages.union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")
-    dropped(whole, spans, around, lines, nodes, members, pairs, sets, occurrences)
+    removed = staged(extended(spans, around).union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")
+    dropped(whole, spans, around, written, named, clashes, members, pairs, sets, occurrences)
     return merged(removed)
 
 

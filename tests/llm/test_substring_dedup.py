@@ -1,6 +1,9 @@
+import os
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from obsengine.llm import substring_dedup as sd
 
@@ -222,9 +225,92 @@ def test_recall_over_all_pairs_of_lines_of_3_to_500_words(spark):
                 near[at] = f"new{RNG.randrange(10**6)}"
             lines.append(near)
     sets = [set(zip(*(x[i:] for i in range(5)))) for x in lines]
-    near = {(i, j) for j in range(len(lines)) for i in range(j) if len(lines[j]) >= sd.LINE_WORDS and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     got = {r.doc_id for r in sd.repeated_spans(frame(spark, [(i, " ".join(x)) for i, x in enumerate(lines)])).filter("start_word = 0").collect()}
     want = {j for _, j in near}
     assert len(want) > 60 and len(got & want) >= 0.98 * len(want)
     shared = {j for j in got if any(len(sets[i] & sets[j]) for i in range(len(lines)) if i < j)}
     assert got == shared  # a line with nothing in common with another stays
+
+
+def thue_morse(one, two, length):
+    return "".join((one, two)[i.bit_count() & 1] for i in range(length))
+
+
+def test_words_that_meet_under_a_polynomial_hash_stay(spark):
+    """Thue-Morse words and their opposites agree under every polynomial modulo 2 ** 64; the documents have no word in common."""
+    pairs = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("i", "k"), ("l", "m")]
+    texts = [" ".join(thue_morse(*p[::side], n) for p in pairs for n in (1024, 2048, 1024, 4096)) for side in (1, -1)]
+    assert not set(texts[0].split()) & set(texts[1].split())
+    hashes = [sd.word_hashes(t.encode())[0] for t in texts]
+    assert not np.isin(*hashes).any()
+    assert sd.repeated_spans(frame(spark, list(enumerate(texts)))).count() == 0
+
+
+def test_word_hashes_don_t_depend_on_place_or_piece(monkeypatch):
+    words = [w.encode() for w in some(300)] + [b"x" * 9000]
+    want = sd.word_hashes(b" ".join(words))[0]
+    monkeypatch.setattr(sd, "PIECE", 50)
+    got, at = sd.word_hashes(b"\n \t" + b" \n ".join(words) + b"  ")
+    assert (got == want).all() and len(set(got.tolist())) == len(set(words)) and at[0] == 3
+
+
+def test_lines_of_one_name_that_differ_get_another(spark):
+    lines = spark.createDataFrame([(1, 7, 100), (2, 7, 200), (3, 8, 300), (4, 7, 100)], "doc_id long, node long, check long")
+    clashes = lines.dropDuplicates(["node", "check"]).groupBy("node").count().filter("count > 1").select("node")
+    got = sorted(map(tuple, sd.renamed(lines, clashes).select("doc_id", "node").collect()))
+    assert got == [(1, 100), (2, 200), (3, 8), (4, 100)]
+    assert sorted(sd.renamed(lines, clashes.limit(0)).collect())[0].node == 7
+
+
+def test_sets_beyond_the_room_of_a_slice(monkeypatch):
+    h = np.random.default_rng(4).integers(0, 50, 100).astype(np.uint64)
+    sizes = np.array([10] * 10)
+    want = sd.sizes_and_sketches(h, sizes)
+    monkeypatch.setattr(sd, "OWN_BITS", 62)  # room for four
+    got = sd.sizes_and_sketches(h, sizes)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_lines_of_five_words_and_more_and_short_passages(spark):
+    line, passage = some(6), some(24)
+    rows = [(1, " ".join(some(30)) + "\n" + " ".join(line)), (2, " ".join(some(9)) + "\n\n" + " ".join(line) + "\n\nof four words here"), (3, "of four words here")]
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in sd.repeated_spans(frame(spark, rows)).collect())
+    assert got == [(2, 9, 6, 1)]
+    both = [" ".join(some(40) + passage + some(40)) for _ in range(2)]
+    found = [(r.doc_id, r.n_words) for r in sd.repeated_spans(frame(spark, list(enumerate(both)))).collect()]
+    assert found in ([], [(1, 24)])  # found where it holds an anchor's window, and then whole
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_recall_over_the_lines_of_a_table_by_length(spark):
+    """Against all lines with shingles: exact repeats of an earlier document's, and near ones by an inverted index over all shingles."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, places, sets, index, near = {}, [], {}, defaultdict(list), {}
+    for doc, text in sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()):
+        at = 0
+        for words in (x.split() for x in text.encode().lower().split(b"\n")):
+            if len(words) >= 5:
+                line = tuple(words)
+                if line not in seen:
+                    seen[line] = doc
+                    sets[line] = set(zip(*(words[i:] for i in range(5))))
+                    common = Counter(other for g in sets[line] for other in index[g])
+                    near[line] = any(5 * k >= 4 * (len(sets[line]) + len(sets[o]) - k) and seen[o] < doc for o, k in common.items())
+                    for g in sets[line]:
+                        index[g].append(line)
+                if seen[line] < doc or near[line]:
+                    places.append((doc, at, len(words)))
+            at += len(words)
+    gone = defaultdict(set)
+    for r in sd.repeated_spans(docs).collect():
+        gone[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    totals, caught = Counter(), Counter()
+    for doc, at, n in places:
+        size = "short" if n < 20 else "middle" if n < 50 else "long"
+        totals[size] += 1
+        caught[size] += gone[doc] >= set(range(at, at + n))
+    assert totals and all(caught[k] >= 0.9 * totals[k] for k in totals), (caught, totals)
