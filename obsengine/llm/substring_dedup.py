@@ -10,7 +10,7 @@ they fall on the same places of a passage wherever it stands. Any passage of GAP
 documents share holds one whole window of both, whatever surrounds it. Windows have one band, their whole content: at
 their size a single changed word already takes the similarity below 0.8. Windows that continue each other in both documents are
 one passage. All passages have their words compared with the kept occurrence's (128 bits) and are extended as far as those
-to both sides agree too (under GAP words, as more would hold another window; 128 bits a word).
+to both sides agree too (under GAP words, as more would hold another window; 64 bits of each word's bytes).
 
 Equal paragraphs are one class from the start. In a band's bucket each class is first compared with the bucket's
 smallest and largest, which joins most of a hot bucket in linear time. Of the classes of a bucket that are still in
@@ -174,8 +174,8 @@ def content_of(words: list[bytes]) -> bytes:
 
 
 def names_of(words: list[bytes]) -> bytes:
-    """128 bits for each word."""
-    return b"".join(map(xxhash.xxh128_digest, words))
+    """64 bits of the bytes of each word."""
+    return b"".join(map(xxhash.xxh3_64_digest, words))
 
 
 def shingle_set(h: np.ndarray) -> bytes:
@@ -385,19 +385,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def asked_lines(lines: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, words, node): one occurrence of each node of the pairs and of large buckets."""
+    """(doc_id, version, start, words, node, edge): one occurrence of each node of the pairs and of large buckets."""
     wanted = members.filter(F.col("size") > FEW).select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select(*DOCUMENT, "start", "words", "node")
+    return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select(*DOCUMENT, "start", "words", "node", F.lit(False).alias("edge"))
 
 
 def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """ANSWERS to (doc_id, version, start, words, node), as a written table, from one join with the texts.
+    """ANSWERS to (doc_id, version, start, words, node, edge), as a written table, from one join with the texts.
 
-    Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and of
-    those of each of the GAP - 1 words before, nearest first, and after. What is asked of one document is no more than
+    Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and, if they
+    are at an edge, the names of the GAP - 1 words before, nearest first, and after. Without a column edge none is. What is asked of one document is no more than
     the paragraphs it has.
     """
-    by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node")).alias("asked"))
+    edge = (F.col("edge") if "edge" in asked.columns else F.lit(False)).alias("edge")
+    by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node", edge)).alias("asked"))
 
     def run(part: dict[str, list]) -> dict[str, list]:
         out = []
@@ -409,7 +410,8 @@ def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_c
                 first, end, node = q["start"], q["start"] + q["words"], q["node"]
                 place = (doc, version, first, q["words"], node)
                 if node is None:
-                    out.append((*place, None, content_of(words[first:end]), names_of(words[max(0, first - GAP + 1) : first][::-1]), names_of(words[end : end + GAP - 1])))
+                    sides = (words[max(0, first - GAP + 1) : first][::-1], words[end : end + GAP - 1]) if q["edge"] else ([], [])
+                    out.append((*place, None, content_of(words[first:end]), *map(names_of, sides)))
                 else:
                     out.append((*place, shingle_set(shingles_of(w[first:end])), None, None, None))
         names = [f.split()[0] for f in ANSWERS.split(", ")]
@@ -471,10 +473,19 @@ def aligned(removals: DataFrame) -> DataFrame:
     return spans.select(*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", (F.col("start") - F.col("shift")).alias("kept_start"))
 
 
+def at_ends(spans: DataFrame) -> DataFrame:
+    """spans with `edge`: whether one could outgrow what it makes together with those that it overlaps or touches."""
+    placed = numbered_spans(spans.withColumn("end", F.col("start") + F.col("words")), *DOCUMENT)
+    block = Window.partitionBy(*DOCUMENT, "span")
+    edge = (F.col("start") - F.min("start").over(block) < GAP) | (F.max("end").over(block) - F.col("end") < GAP)
+    return placed.withColumn("edge", edge).select(*spans.columns, "edge")
+
+
 def asked_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, version, start, words, node) of the spans and what they repeat."""
-    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_version").alias("version"), F.col("kept_start").alias("start"), "words")
-    return spans.select(*DOCUMENT, "start", "words").union(kept).distinct().withColumn("node", F.lit(None).cast("long"))
+    """(doc_id, version, start, words, node, edge) of the spans and what they repeat."""
+    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_version").alias("version"), F.col("kept_start").alias("start"), "words", "edge")
+    both = spans.select(*DOCUMENT, "start", "words", "edge").union(kept).groupBy(*DOCUMENT, "start", "words").agg(F.max("edge").alias("edge"))
+    return both.select(*DOCUMENT, "start", "words", F.lit(None).cast("long").alias("node"), "edge")
 
 
 def extended(spans: DataFrame, around: DataFrame) -> DataFrame:
@@ -501,16 +512,16 @@ def extended(spans: DataFrame, around: DataFrame) -> DataFrame:
 
 
 def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """How many of the first words, by their 128 bits, are the same, for each pair."""
-    x, y = (np.frombuffer(b"".join(h.ljust(16 * GAP, fill) for h in side), "<u8").reshape(-1, GAP, 2) for side, fill in ((one, b"\0"), (two, b"\1")))
-    return np.logical_and.accumulate((x == y).all(2), axis=1).sum(1, dtype=np.int32)
+    """How many of the first words, by their names, are the same, for each pair."""
+    x, y = (np.frombuffer(b"".join(h.ljust(8 * GAP, fill) for h in side), "<u8").reshape(-1, GAP) for side, fill in ((one, b"\0"), (two, b"\1")))
+    return np.logical_and.accumulate(x == y, axis=1).sum(1, dtype=np.int32)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, kept_doc_id, version): what to remove of each document; the smallest document that keeps it."""
     table = paragraph_table(docs, id_column, text_column)
     found = _removals(table.filter("bands IS NULL").drop("bands"), "node")
-    spans = staged(aligned(found), "window-spans")
+    spans = staged(at_ends(aligned(found)), "window-spans")
     lines = table.filter("bands IS NOT NULL")
     named = staged(lines.select("node", "check", "n", *SKETCH, "bands").dropDuplicates(["node", "check"]), "line-nodes")  # copies of a line are one
     clashes = staged(named.groupBy("node").count().filter("count > 1").select("node"), "line-clashes")
