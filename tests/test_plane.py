@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from obsengine import schema
+from obsengine import schema, session
 from obsengine.functions import geometry as g
 from obsengine.operators import clips, ground, rules, support
 from obsengine.plans import plane_queries
@@ -54,6 +54,32 @@ def test_fit_finds_the_camera_and_replicates_surround_it(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, ensemble.collect()))  # whatever the partitions
 
 
+def test_fits_are_spread_over_tasks_and_stop_when_at_rest(spark, monkeypatch):
+    """Groups of few bytes and much work are not put in one task; starts that are at rest are not solved on; draws are those of rows looked at one by one."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([r for k in range(6) for r in verticals(rng, 6, 10, run=f"r{k}")], VERTICALS)
+    gates = replace(ground.Gates(), replicates=100, least_replicates=40)
+    fitted = session.written(ground.fit_planes(df, FRAME, gates), "fitted")
+    refits = ground.bootstrap(df, fitted, FRAME, gates)
+    pairs = spark.range(6000).selectExpr("concat('r', id % 6) AS run_id", "CAST(id AS INT) AS id", "960D AS wx", "700D AS wy", "1D AS w_noise", "array(named_struct('x', 900D, 'y', 800D)) AS targets", "1D AS t_noise")
+    bounds = ground.distance_intervals(pairs, session.written(refits, "refits"), ["id"], FRAME.cx, FRAME.cy, least=40)
+    for out in (ground.fit_planes(df, FRAME, gates), refits, bounds):
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    assert bounds.filter("lower <= median AND median <= upper").count() == 6000
+    rows = own(verticals(rng, 6, 10)).sort_values(["track", "t"])
+    tracks, at = np.unique(rows["track"], return_inverse=True)
+    blocks, draws, want = (rows["t"] // 2.0).to_numpy(int), ground.seeded("r", 7), np.zeros(len(rows))
+    for k in draws.integers(0, len(tracks), len(tracks)):
+        labels = np.unique(blocks[at == k])
+        for label in draws.choice(labels, len(labels)):
+            want += (at == k) & (blocks == label)
+    assert (ground.block_counts(rows, ground.seeded("r", 7), 2.0) == want).all() and want.sum() > 0
+    sizes, real = [], ground.residuals
+    monkeypatch.setattr(ground, "residuals", lambda p, *a: sizes.append(len(p)) or real(p, *a))
+    ground.solve(np.array([[p, np.log(f * FRAME.width), h] for p, f, h in ground.STARTS]), ground._arrays(rows), FRAME)
+    assert sizes[0] == len(ground.STARTS) and min(sizes) < len(ground.STARTS) / 2
+
+
 def test_solutions_beat_a_grid():
     """The robust cost of the fit is no higher than that of any camera on a grid around the true one."""
     o = ground._arrays(own(verticals(np.random.default_rng(2), 6, 5, noise=3.0)))
