@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.operators.sequence import in_order
+from obsengine.session import written
 
 
 def average_precision(ranked: DataFrame, keys: Sequence[str], score: str, hit: str, row_id: str, truths: Column) -> DataFrame:
-    """(keys, ap): area under the precision envelope over recall, all points; null without truths."""
+    """(keys, ap): area under the precision envelope over recall, all points; null without truths. A null key is a key.
+
+    Ranks go through all keys' rows: stretches of the order are partitions, however many rows a key has. What lies before a stretch is
+    added to its own counts, and the envelope of what follows to its own, by one row for each stretch and key.
+    """
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
     total = ranked.groupBy(*keys).agg(truths.alias("_truths"))
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), row_id)
+    rows = ranked.select(*keys, F.col(score).alias("_score"), F.col(row_id).alias("_id"), F.col(hit).cast("int").alias("_hit"))
+    dealt = written(rows.repartitionByRange(*keys, F.desc("_score"), "_id").withColumn("_part", F.spark_partition_id()), "ranked")
+    order = Window.partitionBy("_part", *keys).orderBy(F.desc("_score"), "_id")
     seen = order.rowsBetween(Window.unboundedPreceding, 0)
-    curve = ranked.withColumn("_tp", F.sum(F.col(hit).cast("int")).over(seen)).withColumn("_n", F.row_number().over(order))
-    envelope = F.max(F.col("_tp") / F.col("_n")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    gained = curve.withColumn("_p", envelope).filter(F.col(hit)).groupBy(*keys).agg(F.sum("_p").alias("_area"))
-    return total.join(gained, list(keys), "left").select(*keys, F.when(F.col("_truths") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("_truths")).alias("ap"))
+    local = dealt.withColumns({"_tp": F.coalesce(F.sum("_hit").over(seen), F.lit(0)), "_n": F.row_number().over(order)})
+    sums = dealt.groupBy("_part", *keys).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("_tp"), F.count("*").alias("_n"))
+    past = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *keys, *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"_past{c}") for c in ("_tp", "_n")))
+    placed = local.filter("_hit = 1").alias("l").join(before.alias("b"), same("l", "b") & (F.col("l._part") == F.col("b._part")))
+    precision = (F.col("_tp") + F.col("_past_tp")) / (F.col("_n") + F.col("_past_n"))  # highest at hits: those between them lower it only
+    curve = placed.select("l._part", *(F.col(f"l.{k}").alias(k) for k in keys), F.col("_n"), precision.alias("_p"))
+    heights = curve.groupBy("_part", *keys).agg(F.max("_p").alias("_top"))
+    coming = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = heights.select("_part", *keys, F.max("_top").over(coming).alias("_ahead"))
+    # from the last row on: a frame of all that follows would be gone through anew for every row
+    envelope = F.max("_p").over(Window.partitionBy("_part", *keys).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
+    raised = curve.withColumn("_p", envelope).alias("l").join(ahead.alias("a"), same("l", "a") & (F.col("l._part") == F.col("a._part")))
+    gained = raised.groupBy(*(F.col(f"l.{k}").alias(k) for k in keys)).agg(F.sum(F.greatest("_p", "_ahead")).alias("_area"))
+    ap = F.when(F.col("_truths") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("_truths")).alias("ap")
+    return total.alias("t").join(gained.alias("g"), same("t", "g"), "left").select(*(F.col(f"t.{k}").alias(k) for k in keys), ap)
 
 
 def precision_recall(df: DataFrame, keys: Sequence[str], predicted: Column, actual: Column) -> DataFrame:
