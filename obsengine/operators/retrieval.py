@@ -82,7 +82,7 @@ def _top_in_tasks(docs: DataFrame, doc_key: str, names: list, query_key: str, ki
         q, at = np.nonzero(scores > 0)
         yield pd.DataFrame({query_key: [names[i] for i in q], doc_key: ids[q, at], "score": scores[q, at]})
 
-    rows = docs.select(F.col(doc_key).cast("long").alias(doc_key), column).filter(F.col(column).isNotNull())
+    rows = docs.select(F.col(doc_key).cast("long").alias(doc_key), column).filter(F.col(column).isNotNull() & F.col(doc_key).isNotNull())
     found = rows.mapInPandas(run, f"{query_key} {kind}, {doc_key} long, score double")
     return top(found, query_key, doc_key, k)
 
@@ -120,8 +120,11 @@ def lexical_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: st
 
     That min(n, m) of a term's counts is shared is a sum over the first, second and further time that it occurs: queries are one matrix of such
     occurrences in every task, and a document's shared counts the sum of the lines of those that it has. Documents are read once, and
-    nothing of them is shuffled but hits. doc_key is a long. Texts that are null, and queries without terms, have no hits.
+    nothing of them is shuffled but hits. doc_key is a long. Rows that share an id are one document, of all their texts. Texts that are null,
+    and queries without terms, have no hits. More queries than one matrix holds are asked by `lexical`, which shuffles all terms of the documents.
     """
+    if not docs.groupBy(doc_key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        docs = docs.groupBy(doc_key).agg(F.concat_ws(" ", F.collect_list(text)).alias(text))
     kind = dict(queries.dtypes)[query_key]
     asked = term_counts(queries, query_key, text).limit(QUERY_CELLS + 1).collect()
     most: dict[str, int] = {}
@@ -129,7 +132,8 @@ def lexical_top(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: st
         most[r["term"]] = max(r["n"], most.get(r["term"], 0))
     names = sorted({r[query_key] for r in asked if r[query_key] is not None})
     if len(names) * sum(most.values()) > QUERY_CELLS or len(asked) > QUERY_CELLS:
-        raise ValueError(f"queries by occurrences of their terms are more than {QUERY_CELLS}: ask in blocks")
+        found = lexical(queries.filter(F.col(query_key).isNotNull()), query_key, docs.filter(F.col(doc_key).isNotNull()), doc_key, text)
+        return top(found.withColumns({"score": F.round("score", digits), doc_key: F.col(doc_key).cast("long")}).filter("score > 0"), query_key, doc_key, k)
     if not names:
         return _no_hits(docs, query_key, kind, doc_key)
     start = dict(zip(most, np.cumsum([0, *most.values()])[:-1].tolist()))

@@ -15,9 +15,7 @@ ROUTES = {"R1": ("helmet", "the"), "R2": ("vest", "que"), "R4": ("near", "ung")}
 
 
 def lexical_topk(spark, sf_dir):
-    scored = retrieval.lexical(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id")
-    scored = scored.withColumn("score", F.round("score", 9))
-    return retrieval.top(scored, "item_id", "doc_id", 5)
+    return retrieval.lexical_top(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id", 5)
 
 
 def label_vectors(spark, sf_dir):

@@ -8,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from obsengine.functions.text import STOP_WORDS
 from obsengine.operators import profiles, retrieval
+from obsengine.plans import text_queries
 
 RNG = random.Random(26)
 BOXES = "clip string, frame long, row_id long, track long, name string, box struct<x1:double,y1:double,x2:double,y2:double>"
@@ -151,3 +153,20 @@ def test_too_many_query_vectors_are_an_error(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "q long, embedding array<double>")
     with pytest.raises(ValueError):
         retrieval.dense_top(rows, "q", rows.withColumnRenamed("q", "d"), "d", 2)
+
+
+def test_lexical_top_moves_no_terms_and_takes_any_number_of_queries(spark, monkeypatch):
+    """Rows of one id are one document, null ids none; queries beyond a matrix are joined, with the same result; the query shuffles hits only."""
+    docs = spark.createDataFrame(
+        [(1, "red fox red fox"), (2, "blue fox"), (2, "red"), (3, "red red red the"), (None, "red fox"), (4, None), (5, "nothing"), (6, "Blue, fox; RED")], "doc_id long, text string"
+    )
+    asked = spark.createDataFrame([(1, "red fox red"), (2, "blue"), (3, "the"), (4, None), (5, "missing")], "item_id int, text string")
+    whole = retrieval.lexical(asked, "item_id", docs.filter("doc_id IS NOT NULL"), "doc_id").withColumn("score", F.round("score", 9))
+    want = sorted(map(tuple, retrieval.top(whole, "item_id", "doc_id", 2).collect()))
+    few = lambda: sorted(map(tuple, retrieval.lexical_top(asked, "item_id", docs, "doc_id", 2).select("item_id", "doc_id", "score", "rank").collect()))
+    assert few() == want and len(want) == 4
+    monkeypatch.setattr(retrieval, "QUERY_CELLS", 3)
+    assert few() == want
+    monkeypatch.undo()
+    plan = text_queries.lexical_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
