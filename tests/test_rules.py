@@ -130,6 +130,19 @@ def test_doubts_of_proximity_have_to_last(spark):
     assert run_rule(spark, rules.proximity, rows, planes, measures(spark, "s0/vehicle-50", (0.2, 1.4), frames), states) == ([], ("clear", "outside_active_near_band"))
 
 
+def test_repeated_rows_make_no_more_pairs(spark, monkeypatch):
+    """Rows of a track that stand in a frame several times, on both sides, change nothing and are not multiplied."""
+    rows = [row(t) for t in STEPS] + [row(t, 50, "vehicle") for t in STEPS]
+    planes = spark.createDataFrame([("r", False, True, 0.81)], PLANE_ROWS)
+    frames = [round(t * 10) for t in STEPS]
+    states = spark.createDataFrame([("r", "s0", f, "s0/vehicle-50", "active") for f in frames], STATES)
+    seen, real = [], rules.joins.lookup
+    monkeypatch.setattr(rules.joins, "lookup", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    once, often = (run_rule(spark, rules.proximity, rows * n, planes, measures(spark, "s0/vehicle-50", (0.2, 1.4), frames), states) for n in (1, 20))
+    assert once == often and once[1] == ("alert", "active_machine_near_band") and len(once[0]) == 1
+    assert seen == [len(STEPS)] * 2
+
+
 EDGE = {
     "alert": ((True, "sufficient", "unguarded_or_inadequate"), (0.0, 0.7), ("alert", "visible_unguarded_edge")),
     "far": ((True, "sufficient", "unguarded_or_inadequate"), (2.0, 3.0), ("clear", "guarded_or_outside_edge_band")),
