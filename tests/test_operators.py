@@ -176,3 +176,14 @@ def test_quantiles_and_averages(spark):
         for v in values[1:]:
             e = 0.65 * e + 0.35 * v
         assert averages[k][0] == len(values) and abs(averages[k][1] - e) < 1e-9
+
+
+def test_even_thinning_against_all_places(spark):
+    """Every place of every number of rows, found without a list of places for each row."""
+    for n in (1, 2, 20, 150):
+        sizes = [1, 2, n - 1, n, n + 1, 2 * n - 1, 2 * n, 3 * n + 1, 1001]
+        rows = [(k, i) for k, size in enumerate(sizes) for i in range(size)]
+        thinned = sequence.evenly_thinned(spark.createDataFrame(rows, "k int, i int"), ["k"], ["i"], n)
+        want = {(k, i) for k, size in enumerate(sizes) for i in range(size) if size <= n or i in {round(j * (size - 1) / max(1, n - 1)) for j in range(n)}}
+        assert {tuple(r) for r in thinned.collect()} == want
+        assert "transform" not in thinned._jdf.queryExecution().optimizedPlan().toString()

@@ -80,6 +80,33 @@ def test_fits_are_spread_over_tasks_and_stop_when_at_rest(spark, monkeypatch):
     assert sizes[0] == len(ground.STARTS) and min(sizes) < len(ground.STARTS) / 2
 
 
+def test_slopes_are_the_residuals_and_replicates_are_solved_with_few_residuals(monkeypatch):
+    """Derivatives against differences, also where feet are above the horizon; a step takes one pass over the residuals, not four, and a replicate two draws."""
+    rng = np.random.default_rng(8)
+    rows = own(verticals(rng, 6, 25)).sort_values(["track", "t"])
+    o = ground._arrays(rows)
+    p, h = np.array([[0.5, 7.3, 3.0], [0.2, 7.0, 5.0], [-0.05, 6.5, 2.0]]), 1e-6
+    assert (ground.residuals(p[2:], o, FRAME) > 100).any()
+    differences = np.stack([(ground.residuals(p + h * e, o, FRAME) - ground.residuals(p - h * e, o, FRAME)) / (2 * h) for e in np.eye(3)], 1)
+    assert np.allclose(ground.slopes(p, o, FRAME), differences.transpose(0, 1, 3, 2), rtol=1e-5, atol=1e-4)
+    passes, steps, real, draws = [], [], ground.residuals, []
+    linear = np.linalg.solve
+    monkeypatch.setattr(ground, "residuals", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: steps.append(1) or linear(*a))
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = np.random.default_rng(seed)
+
+        def integers(self, *a):
+            draws.append(1)
+            return self.rng.integers(*a)
+
+    weights = np.stack(list(ground._counts(rows, [Counted(i) for i in range(20)], 2.0)))
+    ground.solve(np.repeat(ground.parameters(CAMERA)[None], 20, 0), o, FRAME, weights)
+    assert len(passes) == len(steps) + 1 and len(draws) == 40
+
+
 def test_solutions_beat_a_grid():
     """The robust cost of the fit is no higher than that of any camera on a grid around the true one."""
     o = ground._arrays(own(verticals(np.random.default_rng(2), 6, 5, noise=3.0)))
