@@ -47,6 +47,7 @@ GAP, SPAN = 32, 16
 BANDS, ROWS = 10, 4
 LONG_WORDS, JOIN = 50, 30
 M = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.array([pow(int(M), SPAN - 1 - k, 1 << 64) for k in range(SPAN)], np.uint64)
 PIECE = 1 << 19
 SPACE = re.compile(rb"[\t-\r ]")
 IN_WORD = np.array([not SPACE.match(bytes([b])) for b in range(256)])
@@ -79,9 +80,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         gap = SPACE.search(data, at + PIECE)
         letters = np.frombuffer(data[at : gap.start() if gap else len(data)], np.uint8)
-        first = np.flatnonzero(np.diff(IN_WORD[letters].view(np.int8), prepend=np.int8(0)) == 1)
+        inside = IN_WORD[letters]
+        first = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+        if inside[0]:
+            first = np.concatenate([[0], first])
         if len(first):
-            place = np.arange(first[0], len(letters)) - np.repeat(first, np.diff(first, append=len(letters)))
+            place = np.arange(first[0], len(letters)) - np.repeat(first, np.concatenate([first[1:], [len(letters)]]) - first)
             factors = _factors(1 << max(12, int(place.max()).bit_length()))
             hashes.append(_mix(np.add.reduceat(BYTE_HASHES[letters[first[0] :]] * factors[place], first - first[0])))
             starts.append(first + at)
@@ -125,10 +129,7 @@ def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows and their contents' hashes."""
     at = anchors(h)
     at = at[at + SPAN <= len(h)]
-    total = np.zeros(len(at), np.uint64)
-    for k in range(SPAN):
-        total = total * M + h[at + k]
-    return at, _mix(total)
+    return at, _mix((h[at[:, None] + np.arange(SPAN)] * POWERS).sum(1, dtype=np.uint64))
 
 
 def bands_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -164,7 +165,7 @@ def joined_parts(h: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
     ends = np.empty(0, np.int64)
     if len(mine) > 2 * JOIN:
         ends = np.flatnonzero(_sliding(np.minimum, mine, 2 * JOIN + 1) == mine[JOIN:-JOIN]) + JOIN
-        ends = ends[np.diff(ends, prepend=-JOIN - 1) > JOIN] + first
+        ends = ends[ends - np.concatenate([[-JOIN - 1], ends[:-1]]) > JOIN] + first
     cuts = [first, *ends.tolist(), end]
     return list(zip(cuts, cuts[1:]))
 
@@ -215,7 +216,7 @@ def paragraphs(texts: list[str | None]) -> list[tuple[np.ndarray, ...]]:
         word_at = np.append(word_at, len(plain) + 1)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n"))
         ends = np.append(np.searchsorted(at, breaks), len(w))
-        counts = np.diff(ends, prepend=0).tolist()
+        counts = (ends - np.concatenate([[0], ends[:-1]])).tolist()
         at, contents = windows(h)
         places.append(np.full(len(at), i))
         starts.append(at)
@@ -395,7 +396,7 @@ def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_c
 
     Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and, if they
     are at an edge, the names of the GAP - 1 words before, nearest first, and after. Without a column edge none is. What is asked of one document is no more than
-    the paragraphs it has.
+    the paragraphs it has. It is answered once, however often the document's row is repeated.
     """
     edge = (F.col("edge") if "edge" in asked.columns else F.lit(False)).alias("edge")
     by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node", edge)).alias("asked"))
@@ -417,7 +418,8 @@ def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_c
         names = [f.split()[0] for f in ANSWERS.split(", ")]
         return dict(zip(names, zip(*out) if out else [()] * len(names)))
 
-    return staged(map_rows(documents(docs, id_column, text_column).join(by_doc, list(DOCUMENT)), run, ANSWERS, 64), "answers")
+    texts = documents(docs, id_column, text_column).join(by_doc, list(DOCUMENT)).dropDuplicates(list(DOCUMENT))  # on the join's own partitions and order
+    return staged(map_rows(texts, run, ANSWERS, 64), "answers")
 
 
 def clustered(members: DataFrame, pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -531,16 +533,17 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = bucket_members(nodes)
     pairs = first_pairs(members, nodes)
     told = answers(asked_lines(lines, members, pairs).union(asked_spans(spans)), docs, id_column, text_column)
-    sets = staged(told.filter("node IS NOT NULL").select("node", "shingles").dropDuplicates(["node"]), "line-shingles")
-    place = [*DOCUMENT, "start", "words"]
-    around = staged(told.filter("node IS NULL").select(*place, "content", "before", "after").dropDuplicates(place), "contexts")
-    dropped(told)
+    around = told.filter("node IS NULL").select(*DOCUMENT, "start", "words", "content", "before", "after")
+    sets = staged(told.filter("node IS NOT NULL").select("node", "shingles"), "line-shingles")
     roots = clustered(members, pairs, sets, nodes)
+    dropped(members, pairs, sets, named)
     occurrences = lines.join(roots, "node", "left").select(*DOCUMENT, "start", "words", F.coalesce("root", "node").alias("cluster"))
     occurrences = staged(occurrences, "line-clusters")
+    dropped(written, clashes)
     whole = _removals(occurrences, "cluster")
-    removed = staged(extended(spans, around).union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")
-    dropped(whole, spans, around, written, named, clashes, members, pairs, sets, occurrences)
+    dropped(occurrences)
+    removed = staged(extended(spans, around).union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")  # the widest joins, when little else is left
+    dropped(whole, spans, told)
     return merged(removed)
 
 
