@@ -35,11 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import dropped, map_rows, staged
+from obsengine.llm.common import dropped, map_rows, slices, staged
 from obsengine.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -55,8 +56,10 @@ BYTE_HASHES = np.array([xxhash.xxh64_intdigest(bytes([b]), 5) for b in range(256
 FEW, OWN_BITS = 32, 44
 SKETCH = ("s0", "s1", "s2", "s3")
 PARAGRAPHS = "doc_id long, version int, start int, words int, node long, check long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
-ANSWERS = "doc_id long, version int, start int, words int, node long, shingles binary, content binary, before binary, after binary"
+KEPT = "kept_doc_id long, kept_version int, kept_start int"
+ANSWERS = f"doc_id long, version int, start int, words int, node long, {KEPT}, shingles binary, content binary, before binary, after binary"
 DOCUMENT = ("doc_id", "version")
+KEPT_PLACE = tuple(f.split()[0] for f in KEPT.split(", "))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -305,10 +308,14 @@ def _of(side: str, nodes: DataFrame, *more: str) -> DataFrame:
 
 
 def first_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v), as a written table: the pairs of a bucket that may be similar; of a large bucket those with its ends."""
-    small = staged(members.filter(F.col("size") <= FEW).select("key", "node").join(nodes.drop("bands"), "node"), "line-small")
+    """(u, v), as a written table: the pairs of a bucket that may be similar; of a large bucket those with its ends.
+
+    The ends make all pairs of a bucket of up to three, as most are, and bands share these pairs, so that they are looked at once.
+    """
+    middling = (F.col("size") > 3) & (F.col("size") <= FEW)
+    small = staged(members.filter(middling).select("key", "node").join(nodes.drop("bands"), "node"), "line-small")
     met = _of("u", small, "key").join(_of("v", small, "key"), "key").filter("u < v").filter(may_be_similar()).select("u", "v")
-    ends = staged(bucket_ends(members.filter(F.col("size") > FEW)), "line-ends")
+    ends = staged(bucket_ends(members.filter(~middling)), "line-ends")
     far = ends.join(_of("u", nodes), "u").join(_of("v", nodes), "v").filter(may_be_similar()).select("u", "v")
     pairs = staged(met.union(far).distinct(), "line-pairs")
     dropped(small, ends)
@@ -386,40 +393,65 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def asked_lines(lines: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, version, start, words, node, edge): one occurrence of each node of the pairs and of large buckets."""
+    """(doc_id, version, start, words, node, edge, kept place): one occurrence of each node of the pairs and of large buckets."""
     wanted = members.filter(F.col("size") > FEW).select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    return lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select(*DOCUMENT, "start", "words", "node", F.lit(False).alias("edge"))
+    found = lines.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return found.select(*DOCUMENT, "start", "words", "node", F.lit(False).alias("edge"), *nowhere())
+
+
+def nowhere() -> list[Column]:
+    """The kept place of what is no removal."""
+    return [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in KEPT.split(", ")]
 
 
 def answers(asked: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """ANSWERS to (doc_id, version, start, words, node, edge), as a written table, from one join with the texts.
+    """ANSWERS to (doc_id, version, start, words, node, edge, kept place), as a written table, from one join with the texts.
 
     Lines, which have a node, get their shingles. Spans, which have none, get 128 bits of their words' hash and, if they
-    are at an edge, the names of the GAP - 1 words before, nearest first, and after. Without a column edge none is. What is asked of one document is no more than
+    are at an edge, the names of the GAP - 1 words before, nearest first, and after. Without a column edge none is. A removal's
+    answer has its kept place, as it was asked. What is asked of one document is no more than twice
     the paragraphs it has. It is answered once, however often the document's row is repeated.
     """
     edge = (F.col("edge") if "edge" in asked.columns else F.lit(False)).alias("edge")
-    by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node", edge)).alias("asked"))
+    kept = KEPT_PLACE if "kept_doc_id" in asked.columns else nowhere()
+    by_doc = asked.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "words", "node", edge, *kept)).alias("asked"))
 
-    def run(part: dict[str, list]) -> dict[str, list]:
-        out = []
-        for doc, version, text, questions in zip(part["doc_id"], part["version"], part["text"], part["asked"]):
-            data = (text or "").encode().lower()
-            w = word_hashes(data)[0] if any(q["node"] is not None for q in questions) else None
-            words = data.split() if any(q["node"] is None for q in questions) else []
-            for q in questions:
-                first, end, node = q["start"], q["start"] + q["words"], q["node"]
-                place = (doc, version, first, q["words"], node)
-                if node is None:
-                    sides = (words[max(0, first - GAP + 1) : first][::-1], words[end : end + GAP - 1]) if q["edge"] else ([], [])
-                    out.append((*place, None, content_of(words[first:end]), *map(names_of, sides)))
-                else:
-                    out.append((*place, shingle_set(shingles_of(w[first:end])), None, None, None))
-        names = [f.split()[0] for f in ANSWERS.split(", ")]
-        return dict(zip(names, zip(*out) if out else [()] * len(names)))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 64):
+                yield pa.RecordBatch.from_arrays(*answered(part))
 
     texts = documents(docs, id_column, text_column).join(by_doc, list(DOCUMENT)).dropDuplicates(list(DOCUMENT))  # on the join's own partitions and order
-    return staged(map_rows(texts, run, ANSWERS, 64), "answers")
+    return staged(texts.select(*DOCUMENT, "text", "asked").mapInArrow(run, ANSWERS), "answers")
+
+
+def answered(part: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
+    """ANSWERS to a slice of (doc_id, version, text, asked), as columns and their names. What was asked is sent back as it came."""
+    doc_id, version, texts, asked = part.columns
+    sizes = np.diff(asked.offsets)
+    questions = asked.flatten()
+    first, words, node, edge, *kept = questions.flatten()
+    starts, ends = (x.to_numpy().tolist() for x in (first, pc.add(first, words)))
+    of_line, edges = node.is_valid().to_pylist(), edge.to_pylist()
+    shingles, contents, before, after = ([None] * len(questions) for _ in range(4))
+    at = 0
+    for text, n in zip(texts.to_pylist(), sizes.tolist()):
+        mine = range(at, at + n)
+        at += n
+        data = (text or "").encode().lower()
+        h = shingles_of(word_hashes(data)[0]) if any(of_line[k] for k in mine) else None
+        words_of = [] if all(of_line[k] for k in mine) else data.split()
+        for k in mine:
+            start, end = starts[k], ends[k]
+            if of_line[k]:
+                shingles[k] = shingle_set(h[start : end - SHINGLE + 1])
+                continue
+            contents[k], before[k], after[k] = content_of(words_of[start:end]), b"", b""
+            if edges[k]:
+                before[k], after[k] = names_of(words_of[max(0, start - GAP + 1) : start][::-1]), names_of(words_of[end : end + GAP - 1])
+    owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+    told = [pa.array(x, pa.binary()) for x in (shingles, contents, before, after)]
+    return [doc_id.take(owner), version.take(owner), first, words, node, *kept, *told], [f.split()[0] for f in ANSWERS.split(", ")]
 
 
 def clustered(members: DataFrame, pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -470,7 +502,7 @@ def aligned(removals: DataFrame) -> DataFrame:
     """(document, start, words, kept document, kept_start): windows that overlap, and do so in the kept document too, as one span."""
     shifted = removals.withColumn("shift", F.col("start") - F.col("kept_start"))
     keys = (*DOCUMENT, "kept_doc_id", "kept_version", "shift")
-    spans = numbered_spans(shifted, *keys).groupBy(*keys, "span")
+    spans = numbered_spans(shifted.repartition(*DOCUMENT), *keys).groupBy(*keys, "span")  # dealt once, for at_ends() too
     spans = spans.agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("words"))
     return spans.select(*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", (F.col("start") - F.col("shift")).alias("kept_start"))
 
@@ -484,21 +516,23 @@ def at_ends(spans: DataFrame) -> DataFrame:
 
 
 def asked_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, version, start, words, node, edge) of the spans and what they repeat."""
-    kept = spans.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_version").alias("version"), F.col("kept_start").alias("start"), "words", "edge")
-    both = spans.select(*DOCUMENT, "start", "words", "edge").union(kept).groupBy(*DOCUMENT, "start", "words").agg(F.max("edge").alias("edge"))
-    return both.select(*DOCUMENT, "start", "words", F.lit(None).cast("long").alias("node"), "edge")
+    """(doc_id, version, start, words, node, edge, kept place) of the spans and, once each and without a kept place, of what they repeat."""
+    place, no_node = [*DOCUMENT, "start", "words"], F.lit(None).cast("long").alias("node")
+    kept = spans.groupBy(*KEPT_PLACE, "words").agg(F.max("edge").alias("edge")).toDF(*place, "edge")
+    return spans.select(*place, no_node, "edge", *KEPT_PLACE).union(kept.select(*place, no_node, "edge", *nowhere()))
 
 
-def extended(spans: DataFrame, around: DataFrame) -> DataFrame:
+def extended(around: DataFrame) -> DataFrame:
     """Removals (document, start, end, kept_doc_id): the spans with the words to both sides that the kept occurrence has too.
 
-    In the kept document itself a span does not grow into the kept occurrence. Spans whose own words are not the kept ones
-    (windows are joined by 64 bits) are none.
+    around: answers to asked_spans(), those with a kept place being the spans. In the kept document itself a span does not
+    grow into the kept occurrence. Spans whose own words are not the kept ones (windows are joined by 64 bits) are none.
     """
-    place, kept_place = [*DOCUMENT, "start", "words"], ["kept_doc_id", "kept_version", "kept_start", "words"]
-    kept = around.toDF(*kept_place, "kept_content", "kept_before", "kept_after")
-    both = spans.join(around, place).join(kept, kept_place).filter("content = kept_content")
+    sides = ("content", "before", "after")
+    spans = around.filter("kept_doc_id IS NOT NULL").select(*DOCUMENT, "start", "words", *KEPT_PLACE, *sides)
+    kept = around.filter("kept_doc_id IS NULL").select(*DOCUMENT, "start", "words", *sides)
+    kept = kept.toDF(*KEPT_PLACE, "words", *(f"kept_{c}" for c in sides))
+    both = spans.join(kept, [*KEPT_PLACE, "words"]).filter("content = kept_content")
     names = [*DOCUMENT, "start", "words", "kept_doc_id", "kept_version", "kept_start"]
 
     def run(batches):
@@ -533,7 +567,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = bucket_members(nodes)
     pairs = first_pairs(members, nodes)
     told = answers(asked_lines(lines, members, pairs).union(asked_spans(spans)), docs, id_column, text_column)
-    around = told.filter("node IS NULL").select(*DOCUMENT, "start", "words", "content", "before", "after")
+    dropped(spans)
+    around = told.filter("node IS NULL")
     sets = staged(told.filter("node IS NOT NULL").select("node", "shingles"), "line-shingles")
     roots = clustered(members, pairs, sets, nodes)
     dropped(members, pairs, sets, named)
@@ -542,8 +577,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     dropped(written, clashes)
     whole = _removals(occurrences, "cluster")
     dropped(occurrences)
-    removed = staged(extended(spans, around).union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")  # the widest joins, when little else is left
-    dropped(whole, spans, told)
+    removed = staged(extended(around).union(whole.select(*DOCUMENT, "start", "end", "kept_doc_id")), "removed")  # the widest join, when little else is left
+    dropped(whole, told)
     return merged(removed)
 
 

@@ -297,6 +297,40 @@ def test_repeated_rows_are_answered_once_and_the_lines_tables_are_gone_when_pass
     assert "answers" in left and not {"line-nodes", "line-members", "line-shingles", "line-clusters"} & set(left)
 
 
+def test_pairs_that_several_bands_of_small_buckets_share_are_looked_at_once(spark, monkeypatch):
+    base = some(120)
+    lines = [" ".join(base[:-1] + [f"other{i}"]) for i in range(3)]
+    rows, real = {}, sd.staged
+    nodes = sd.paragraph_table(frame(spark, list(enumerate(lines)))).filter("bands IS NOT NULL").drop("doc_id", "version", "start", "words")
+    members = sd.bucket_members(nodes)
+
+    def counted(df, name):
+        table = real(df, name)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(sd, "staged", counted)
+    ids = sorted(r.node for r in nodes.collect())
+    got = sorted(map(tuple, sd.first_pairs(members, nodes).collect()))
+    assert got == [(u, v) for u in ids for v in ids if u < v]
+    assert members.filter("size = 3").count() > 3 and rows["line-small"] == 0 and rows["line-ends"] == 3
+
+
+def test_spans_meet_what_they_repeat_in_one_join(spark):
+    passage = some(60)
+    docs = frame(spark, [(i, " ".join(some(40) + passage + some(40))) for i in range(3)])
+    versions = {r.doc_id: r.version for r in sd.documents(docs, "doc_id", "text").collect()}
+    spans = spark.createDataFrame(
+        [(i, versions[i], 50, 30, 0, versions[0], 50, True) for i in (1, 2)], f"doc_id long, version int, start int, words int, {sd.KEPT}, edge boolean"
+    )
+    asked = sd.asked_spans(spans)
+    assert sorted((r.doc_id, r.kept_doc_id) for r in asked.filter("kept_doc_id IS NOT NULL").collect()) == [(1, 0), (2, 0)]
+    assert [tuple(r) for r in asked.filter("kept_doc_id IS NULL").collect()] == [(0, versions[0], 50, 30, None, True, None, None, None)]
+    grown = sd.extended(sd.answers(asked, docs))
+    assert sorted((r.doc_id, r.start, r.end, r.kept_doc_id) for r in grown.collect()) == [(1, 40, 100, 0), (2, 40, 100, 0)]
+    assert grown._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 SF = "/root/testdata/sf0.001"
 
 
