@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import crc_mod, filter_rows, map_rows, require_small
+from obsengine.llm.common import crc_mod, filter_rows, give_back, map_rows, require_small
 
 DIMENSIONS, SEED = 1024, 20240607
 BUCKETS = 512  # letters up to U+017F have their own, the others share the rest; 0 is whatever is no letter
 OWN = 0x180
 SHARPNESS = 20.0
-PART, BLOCK = 1 << 20, 1 << 13  # letters and different trigrams at a time
+PART, BLOCK = 1 << 20, 1 << 10  # letters and different trigrams at a time: a block's vectors take 4 MB, and some are made at once
 LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -112,6 +112,7 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total)], ["lang", "at", "value"]
             )
+        give_back()
 
     sums = rows.mapInArrow(run, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     by_lang = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("values"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.llm import bpe
-from obsengine.llm.common import map_rows, require_small, staged
+from obsengine.llm.common import give_back, map_rows, require_small, staged
 
 ROUNDS, STEP, SLACK, RATE = 600, 0.1, 0.001, 0.05
 CONFIGURATIONS = 1_000_000
@@ -174,6 +174,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                         seen[b - a] += 1
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     names = [f.split()[0] for f in PIECES.split(", ")]
     kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in PIECES.split(", ")]

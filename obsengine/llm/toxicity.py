@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import crc_mod, filter_rows, map_rows, require_small, staged
+from obsengine.llm.common import crc_mod, filter_rows, give_back, map_rows, require_small, staged
 
 TERMS = re.compile(r"[^\W\d_]+")
 STEM = 4
@@ -48,6 +48,11 @@ def buckets(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(t, SEED) % BUCKETS for t in found)
 
 
+def forget() -> None:
+    """Drops the words that a task has met; its worker goes on to other tasks and stages."""
+    buckets.cache_clear()
+
+
 def terms_of(text: str | None) -> np.ndarray:
     """The text's set of terms, ascending."""
     found = set(chain.from_iterable(map(buckets, set(TERMS.findall((text or "").lower())))))
@@ -77,17 +82,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def telling_terms(documents: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The terms, ascending, whose documents' labels differ from the share of all by more than chance."""
-    flat = np.concatenate([*documents, np.empty(0, np.int32)])
-    terms, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    times, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)  # 48 MB, however many documents and terms they have
+    for document, label in zip(documents, labels):
+        times[document] += 1
+        toxic[document] += label
+    terms = np.flatnonzero(times).astype(np.int32)
+    times, toxic = times[terms], toxic[terms]
     share = labels.mean() if len(labels) else 0.0
-    toxic = np.bincount(at, np.repeat(labels, [len(d) for d in documents]), len(terms))
     evidence = abs(toxic - share * times) / np.sqrt(share * (1 - share) * times + 0.5)
     return np.sort(terms[np.argsort(-evidence, kind="stable")[: min(TERMS_KEPT, int((evidence > EVIDENCE).sum()))]])
 
 
 def fit(documents: list[np.ndarray], labels: np.ndarray) -> Model:
     """Trains on sets of terms, equal ones with equal labels once, whatever their order."""
-    distinct = sorted({(d.tobytes(), float(y)) for d, y in zip(documents, labels)})
+    return fit_distinct({(d.tobytes(), float(y)) for d, y in zip(documents, labels)})
+
+
+def fit_distinct(rows: set[tuple[bytes, float]]) -> Model:
+    """The same for sets of terms as bytes with their labels, which are not copied."""
+    distinct = sorted(rows)
     documents, labels = [np.frombuffer(d, np.int32) for d, _ in distinct], np.array([y for _, y in distinct])
     terms = telling_terms(documents, labels)
     rng = np.random.default_rng(SEED)
@@ -137,18 +150,20 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", folds
     def featurize(part: dict[str, list]) -> dict[str, list]:
         return {"label": part["label"], "terms": [terms_of(t).tobytes() for t in part["text"]]}
 
-    rows = map_rows(texts.select("label", "text"), featurize, "label int, terms binary")
+    rows = map_rows(texts.select("label", "text"), featurize, "label int, terms binary", done=forget)
     staged_rows = staged(rows.distinct(), "toxicity-sample")  # repeated rows are one
     kept = min(1.0, 2 * sample / max(1, staged_rows.count()))  # under 1 only where ids have many different texts
     staged_rows = staged_rows.filter((F.xxhash64("label", "terms") / 2.0**64 + 0.5) < kept)
 
     def train(batches):
-        held_rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))  # the same model however rows were dealt out
+        held_rows = {(terms, float(label)) for b in batches for label, terms in zip(*(c.to_pylist() for c in b.columns))}
         if held_rows:
-            bias, terms, weights, factors = fit([np.frombuffer(r[1], np.int32) for r in held_rows], np.array([r[0] for r in held_rows], float))
+            bias, terms, weights, factors = fit_distinct(held_rows)  # the same model however rows were dealt out
+            held_rows.clear()
             names = ["bias", "terms", "weights", "factors"]
             columns = [pa.array([x]) for x in (bias, terms.tolist(), weights.tolist(), factors.ravel().tolist())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], names)
+        give_back()
 
     kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
     schema = "bias double, terms array<long>, weights array<double>, factors array<double>"
@@ -180,10 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         found = score(part["text"], model)
         return {"doc_id": part["doc_id"], "held_out": part["held_out"], "score": found, "predicted": (found >= THRESHOLD).astype(int)}
 
-    return map_rows(rows, run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_rows(rows, run, "doc_id long, held_out boolean, score double, predicted int", done=forget)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the toxic ones."""
     model = learn(docs, labels)
-    return filter_rows(docs, "text", lambda texts: (score(texts, model) < THRESHOLD).tolist(), 512)
+    return filter_rows(docs, "text", lambda texts: (score(texts, model) < THRESHOLD).tolist(), 512, forget)

@@ -49,6 +49,17 @@ def test_a_long_text_of_many_trigrams_takes_bounded_memory():
     assert many[0] == len(text) and peak < 1 << 29
 
 
+def test_a_slice_of_many_trigrams_takes_little_memory():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1000)) for _ in range(64)]
+    li.bundles(["a"], [0], 1)
+    tracemalloc.start()
+    li.bundles(texts, list(range(64)), 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
+
+
 def corpus(n):
     rng = random.Random(8)
     parts = {"x": ["tha", "ing", "er", "on"], "y": ["sch", "ung", "en", "ver"], "z": ["ção", "que", "os", "ar"]}

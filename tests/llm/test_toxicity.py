@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from obsengine.llm import toxicity as tx
 
@@ -63,3 +65,36 @@ def test_nothing_to_learn_from(spark):
     got = tx.classify(docs, labels.limit(0)).agg({"score": "max"}).first()[0]
     assert got == 0
     assert tx.classify(docs.limit(0), labels).count() == 0
+
+
+def test_a_fit_takes_memory_for_its_rows_and_not_for_sorting_them():
+    rng = np.random.default_rng(6)
+    documents = [np.unique(rng.integers(0, 1 << 18, 1000, np.int32)) for _ in range(4000)]
+    labels = rng.integers(0, 2, len(documents)).astype(float)
+    tracemalloc.start()
+    tx.fit(documents, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6  # rows are 16 MB, sums 48
+
+
+def test_telling_terms_by_one_pass_over_all_terms():
+    rng = np.random.default_rng(7)
+    documents = [np.unique(rng.integers(0, 400, 30, np.int32)) for _ in range(2000)]
+    labels = np.array([float(d[0] < 3 or rng.random() < 0.1) for d in documents])
+    terms, at, times = np.unique(np.concatenate(documents), return_inverse=True, return_counts=True)
+    toxic, share = np.bincount(at, np.repeat(labels, [len(d) for d in documents])), labels.mean()
+    evidence = abs(toxic - share * times) / np.sqrt(share * (1 - share) * times + 0.5)
+    assert 0 < (evidence > tx.EVIDENCE).sum() < len(terms)
+    assert tx.telling_terms(documents, labels).tolist() == terms[evidence > tx.EVIDENCE].tolist()
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    docs, labels = tables(spark)
+    assert tx.accepted(docs, labels).count()
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tx.buckets.cache_info().currsize] * b.num_rows)], ["n"])
+
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
